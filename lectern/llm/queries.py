@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import near_sql
+from lectern.llm.ann import nearest_neighbours
+from lectern.llm.embedding_dedup import embedding_duplicates
 from lectern.llm.ngram_join import near_duplicates
+from lectern.llm.quality import quality_scores
+from lectern.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +34,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(near_sql.NGRAM_JACCARD)
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query(near_sql.EMBEDDING_LINKS)
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
