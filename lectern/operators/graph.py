@@ -64,6 +64,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         ).first()
         if tuple(before) == tuple(state):
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaves = e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     roots = e.select(F.col("lo").alias("id"), F.col("lo").alias("component"))
     alone = loops.select(F.col("hi").alias("id"), F.col("hi").alias("component"))
