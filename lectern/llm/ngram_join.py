@@ -32,6 +32,9 @@ _B = _rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
 _C = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Pairs are compared in tiles of this many rows a side; a block holds at most this many documents and shingles.
 TILE, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4096, 2_000_000
+#: Size of the filter that spares texts without candidates the shuffle: 8 MB for any input.
+FILTER_BITS = 1 << 26
+SEEDS = (0x51ED270B7A1F3C29, 0x2545F4914F6CDD1D)
 
 
 def minhashes(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,6 +72,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def fingerprint(s: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit sum for each document's set."""
+    total = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(words.mix(s ^ np.uint64(seed)), out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, fp1, fp2, n_shingles, bands): fp1, fp2 and n_shingles name the shingle set."""
 
@@ -78,13 +88,7 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 s, offsets = words.shingles(b.column(1).slice(lo, to - lo), width)
                 n = len(offsets) - 1
                 counts = np.diff(offsets)
-                doc = np.repeat(np.arange(n), counts)
-                sums = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-                for k, seed in enumerate((0x51ED270B7A1F3C29, 0x2545F4914F6CDD1D)):
-                    total = np.zeros(len(s) + 1, np.uint64)
-                    np.cumsum(words.mix(s ^ np.uint64(seed)), out=total[1:])
-                    sums[k] = total[offsets[1:]] - total[offsets[:-1]]
-                del doc
+                sums = [fingerprint(s, offsets, seed) for seed in SEEDS]
                 sig = minhashes(s, offsets).astype(np.uint64).reshape(n, BANDS, ROWS)
                 bands = words.mix((sig * _C).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), _signed(bands.reshape(-1)))
@@ -97,20 +101,31 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return rows.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
 
 
-def _shingle_rows(rows: DataFrame, width: int) -> DataFrame:
-    """rows: rep, cluster, n_docs, blocks, text -> the same with the shingles as bytes instead of text."""
+def _id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """FILTER_BITS flags of hashed ids: a filter of fixed size whose false positives a join removes later."""
+    h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+    rows = ids.select(h.alias("h")).groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for row in rows.collect():
+        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _shingle_rows(docs: DataFrame, members: np.ndarray, width: int) -> DataFrame:
+    """(rep, fp1, shingles as bytes) of the documents whose id may be one of ``members``; the other texts go no further."""
+    bits = docs.sparkSession.sparkContext.broadcast(members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
-            for lo, to in words.slices(b.column(at)):
-                s, offsets = words.shingles(b.column(at).slice(lo, to - lo), width)
+            h = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0))
+            for lo, to in words.slices(b.column(1)):
+                s, offsets = words.shingles(b.column(1).slice(lo, to - lo), width)
                 raw = s.tobytes()
                 cut = pa.array([raw[8 * x : 8 * y] for x, y in zip(offsets[:-1], offsets[1:])], pa.binary())
-                part = b.slice(lo, to - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), cut], names=["rep", "cluster", "n_docs", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, to - lo), _signed(fingerprint(s, offsets, SEEDS[0])), cut], names=["rep", "fp1", "shingles"])
 
-    return rows.select("rep", "cluster", "n_docs", "blocks", "text").mapInArrow(run, "rep long, cluster long, n_docs long, blocks int, shingles binary")
+    return docs.select("rep", "text", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(run, "rep long, fp1 long, shingles binary")
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -196,6 +211,8 @@ def _block_links(threshold: float, schedule: list[tuple[int, int]]):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         rep = table.column("rep").to_numpy()
+        first = np.append(True, rep[1:] != rep[:-1])  # a repeated row of the table counts once
+        table, rep = table.filter(pa.array(first)), rep[first]
         block = table.column("block").to_numpy()
         n_docs = table.column("n_docs").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
@@ -258,9 +275,8 @@ def near_duplicates(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    rows = _shingle_rows(
-        texts.join(clusters, "rep").join(blocks, "component").withColumnRenamed("component", "cluster"), width
-    ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = _shingle_rows(texts, _id_bitmap(clusters, "rep"), width).join(clusters.select("rep", "fp1", "component", "n_docs"), ["rep", "fp1"]).join(blocks, "component")
+    rows = rows.withColumnRenamed("component", "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = rows.select("cluster", "rep", "n_docs", "shingles", "block", other)
     pairs = pairs.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
