@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import near_sql
+from lectern.llm import bpe, near_sql, packing, pii
 from lectern.llm.ann import nearest_neighbours
 from lectern.llm.embedding_dedup import embedding_duplicates
 from lectern.llm.ngram_join import near_duplicates
 from lectern.llm.quality import quality_scores
+from lectern.llm.token_histogram import token_length_limits
 from lectern.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_length_limits(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
