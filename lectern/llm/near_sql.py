@@ -22,7 +22,7 @@ WITH RECURSIVE words AS (
   SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v
 ), classes AS (SELECT u AS doc_id, min(v) AS class_id FROM reach GROUP BY u
 ), degrees AS (SELECT u AS doc_id, count(*) AS n_links FROM links GROUP BY u)
-SELECT w.doc_id, c.class_id, coalesce(d.n_links, 0) AS n_links, coalesce(s.n, 0) AS n_shingles, c.class_id = w.doc_id AS kept
+SELECT w.doc_id, c.class_id, coalesce(d.n_links, 0) AS n_links, coalesce(s.n, 0) AS n_shingles, c.class_id = w.doc_id AS kept, 1 AS n_rows
 FROM words w JOIN classes c USING (doc_id) LEFT JOIN degrees d USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 

@@ -101,12 +101,16 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return rows.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
 
 
-def _id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
-    """FILTER_BITS flags of hashed ids: a filter of fixed size whose false positives a join removes later."""
+def _bits(ids: DataFrame, col: str) -> DataFrame:
+    """(bucket, bits): FILTER_BITS flags of hashed ids, in at most FILTER_BITS / 32768 rows of 4 KB."""
     h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
-    rows = ids.select(h.alias("h")).groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits"))
+    return ids.select(h.alias("h")).groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def _id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """The flags of ``_bits`` as bytes: a filter of fixed size whose false positives a join removes later."""
     out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in rows.collect():
+    for row in _bits(ids, col).collect():
         out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -247,7 +251,7 @@ def near_duplicates(
     width: int = 5,
     tolerance: float = 1e-6,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_shingles, kept.
+    """One row per document: doc_id, class_id, n_links, n_shingles, kept, n_rows (rows that share the id).
 
     Two documents link when the Jaccard similarity of their sets of ``width``-word shingles is at
     least ``threshold``. class_id is the least doc_id reachable by links, n_links the number of
@@ -261,7 +265,7 @@ def near_duplicates(
     other columns are ignored, whatever their names.
     """
     keys = materialize(class_keys(docs, id_col, text_col, width), "shingle-classes")
-    members = keys.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "fp1", "fp2")).alias("k")).select("doc_id", "k.n_shingles", "k.fp1", "k.fp2")
+    members = keys.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "fp1", "fp2")).alias("k"), F.count(F.lit(1)).alias("n_rows")).select("doc_id", "n_rows", "k.n_shingles", "k.fp1", "k.fp2")
     classes = (
         keys.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.first("bands").alias("bands"))
         .join(members.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs")), ["fp1", "fp2", "n_shingles"])
@@ -298,4 +302,25 @@ def near_duplicates(
         F.coalesce("found_links", F.lit(0)).cast("long").alias("n_links"),
         "n_shingles",
         (class_id == F.col("doc_id")).alias("kept"),
+        "n_rows",
     )
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of docs that ``near_duplicates`` keeps, with all their columns; one row of each repeated id.
+
+    Rows without an id stay. Texts whose id cannot be one of the dropped or repeated ids, by a filter of
+    fixed size, are not moved; only the others meet the list of those ids in a join.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, threshold, width).where("not kept or n_rows > 1").select("doc_id", "kept"), "dropped")
+    names = dict(zip(("id", "h", "bucket", "bits", "drop"), (f"_near_{x}" for x in ("id", "h", "bucket", "bits", "drop"))))
+    bits = F.broadcast(_bits(found, "doc_id").select(F.col("bucket").alias(names["bucket"]), F.col("bits").alias(names["bits"])))
+    tagged = docs.withColumn(names["id"], F.col(id_col).cast("long"))
+    tagged = tagged.withColumn(names["h"], F.when(F.col(names["id"]).isNotNull(), F.pmod(F.xxhash64(names["id"]), F.lit(FILTER_BITS))))
+    tagged = tagged.join(bits, F.shiftright(names["h"], 15) == F.col(names["bucket"]), "left")
+    flag = F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring({names['bits']}, cast(shiftright({names['h']} & 32767, 3) as int) + 1, 1)), 16, 10) as int), cast({names['h']} & 7 as int)) & 1"), F.lit(0))
+    tagged = tagged.withColumn(names["drop"], flag == 1).drop(names["h"], names["bucket"], names["bits"])
+    sure = tagged.where(~F.col(names["drop"])).select(*docs.columns)
+    listed = found.select(F.col("doc_id").alias(names["id"]), F.col("kept").alias(names["h"]))
+    doubtful = tagged.where(names["drop"]).join(listed, names["id"], "left").where(F.coalesce(names["h"], F.lit(True)))
+    return sure.unionByName(doubtful.dropDuplicates([names["id"]]).select(*docs.columns))

@@ -213,6 +213,27 @@ def fit(rows: DataFrame) -> QualityModel | None:
     return model
 
 
+def _fit_on(table: DataFrame, labels: DataFrame, label_col: str) -> QualityModel | None:
+    return fit(table.join(labelled(labels, label_col), "doc_id").select("x", "label", "fold"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that ``quality_scores`` predicts as 1, with all their columns; rows are judged one by one, without a shuffle of texts."""
+    model = _fit_on(materialize(_statistics_table(docs, id_col, text_col), "statistics"), labels, label_col)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            for lo, to in words.slices(b.column(at)):
+                part = b.slice(lo, to - lo)
+                s = model.probability(model.features(statistics(part.column(at))) @ model.weights)
+                yield part.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted; score estimates the probability of label 1.
 
@@ -225,7 +246,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     ignored, whatever their names.
     """
     table = materialize(_statistics_table(docs, id_col, text_col), "statistics")
-    model = fit(table.join(labelled(labels, label_col), "doc_id").select("x", "label", "fold"))
+    model = _fit_on(table, labels, label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

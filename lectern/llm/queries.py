@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm import bpe, near_sql, packing, pii
 from lectern.llm.ann import nearest_neighbours
 from lectern.llm.embedding_dedup import embedding_duplicates
+from lectern.llm.html_extract import extract
 from lectern.llm.ngram_join import near_duplicates
 from lectern.llm.quality import quality_scores
 from lectern.llm.token_histogram import token_length_limits
@@ -75,3 +76,8 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))

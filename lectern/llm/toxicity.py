@@ -174,7 +174,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     share = F.create_map(*[F.lit(v) for k in (0, 1) for v in (k, int(min(1.0, FIT_DOCS / max(1, counts.get(k, 1))) * (1 << 30)))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("label")])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(sample.limit(4 * FIT_DOCS), "doc_id").select("doc_id", "text", "label", "fold").orderBy("doc_id", "text").toArrow()
+    rows = texts.join(F.broadcast(sample.limit(4 * FIT_DOCS)), "doc_id").select("doc_id", "text", "label", "fold").orderBy("doc_id", "text").toArrow()
     text = rows.column("text").combine_chunks().cast(pa.large_string())
     within = int((np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) <= FIT_BYTES).sum()) if len(rows) else 0
     rows = rows.slice(0, within)
@@ -183,6 +183,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return fit(text.slice(0, within), rows.column("label").to_numpy(), rows.column("fold").to_numpy())
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that ``toxicity_scores`` predicts as 0, with all their columns; rows are judged one by one, without a shuffle of texts."""
+    model = fit_on(docs, labels, label_col, id_col, text_col)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            for lo, to in words.slices(b.column(at)):
+                part = b.slice(lo, to - lo)
+                yield part.filter(pa.array(model.scores(part.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted; score estimates the probability of label 1.
 
