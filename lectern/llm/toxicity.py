@@ -26,7 +26,7 @@ from lectern.llm.quality import isotonic
 
 #: Words a window, compression level, labelled documents of each label that the fit samples (about), and the
 #: bytes of its texts it takes at most.
-WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 4000, 96_000_000
+WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 2500, 24_000_000
 #: How far a word's share of documents must differ between the labels (standard errors), and the least share it needs.
 CONTRAST, SHARE = 5.0, 0.02
 COMMON_BYTES, EXTRA_BYTES = 4096, 2048
@@ -35,9 +35,13 @@ THRESHOLDS = range(3, 9)
 
 def word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code, document) of each word."""
-    buf, offsets = words.raw_bytes(pc.utf8_lower(pc.fill_null(text, "")))
-    start, end, doc = words.spans(buf, offsets)
-    return (words.span_hashes(buf, start, end) if len(start) else np.zeros(0, np.uint64)), doc
+    codes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, to in words.slices(text):
+        buf, offsets = words.raw_bytes(pc.utf8_lower(pc.fill_null(text.slice(lo, to - lo), "")))
+        start, end, doc = words.spans(buf, offsets)
+        if len(start):
+            codes.append(words.span_hashes(buf, start, end)), docs.append(doc + lo)
+    return np.concatenate(codes), np.concatenate(docs)
 
 
 def windows(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,10 +117,14 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
 def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityModel:
     """Dictionaries from word codes of distinct documents."""
     n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
-    pairs = np.unique(np.stack([doc.astype(np.int64), codes.view(np.int64)]), axis=1)
-    word, inverse = np.unique(pairs[1], return_inverse=True)
-    d1 = np.bincount(inverse, label[pairs[0]], len(word))
-    d0 = np.bincount(inverse, 1 - label[pairs[0]], len(word))
+    order = np.lexsort((doc, codes))
+    c, d = codes[order], doc[order]
+    once = np.append(True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]))[: len(c)]
+    c, d = c[once], d[once]
+    first = np.append(True, c[1:] != c[:-1])[: len(c)]
+    word, inverse = c[first], np.cumsum(first) - 1
+    d1 = np.bincount(inverse, label[d], len(word))
+    d0 = np.bincount(inverse, 1 - label[d], len(word))
     p = (d1 + d0) / (n1 + n0)
     z = (d1 / n1 - d0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     rng = np.random.default_rng(5)
