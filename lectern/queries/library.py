@@ -1 +1,3 @@
-"""Queries of the library operators."""
+"""Imports every module of library queries, which registers them."""
+
+from lectern.queries import catalogue  # noqa: F401
