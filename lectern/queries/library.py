@@ -1,3 +1,3 @@
 """Imports every module of library queries, which registers them."""
 
-from lectern.queries import catalogue  # noqa: F401
+from lectern.queries import catalogue, texts  # noqa: F401
