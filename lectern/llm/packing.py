@@ -8,6 +8,7 @@ so they cut independently and only the very last sequence is not full.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -59,13 +60,23 @@ _rng = np.random.default_rng(97)
 _PROJECTION = _rng.standard_normal((BUCKETS, DIMS))
 
 
+@functools.lru_cache(maxsize=1)
+def _hash_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = words.mix(np.arange(size, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return (h % np.uint64(BUCKETS)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+
+
+def _hashed(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, sign) of every token id below ``size``."""
+    return _hash_table(1 << max(16, (size - 1).bit_length()))
+
+
 def curve_keys(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hilbert key of each document's token ids."""
     n = len(offsets) - 1
-    h = words.mix(ids.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    bucket, sign = (h % np.uint64(BUCKETS)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    v = np.bincount(doc * BUCKETS + bucket, sign, n * BUCKETS).reshape(n, BUCKETS)
+    bucket, sign = _hashed(int(ids.max()) + 1 if len(ids) else 1)
+    doc = np.repeat(np.arange(n) * BUCKETS, np.diff(offsets))
+    v = np.bincount(doc + bucket[ids], sign[ids], n * BUCKETS).reshape(n, BUCKETS)
     v = np.sign(v) * np.sqrt(np.abs(v))
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     flat = (v / np.where(norm > 0, norm, 1)) @ _PROJECTION  # about normal, whatever the length
