@@ -209,5 +209,5 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     if few.isEmpty():
         return found
     everywhere = few.join(base.select("part", F.col("size").alias("s")).distinct().where("part >= 0").unionByName(base.where("part < 0").select("part", F.col("size").alias("s")).distinct()), F.col("size") == F.col("s")).select("vec_id", "size", "embedding", "part")
-    again = _search(everywhere, base, k)
+    again = _search(materialize(everywhere, "everywhere"), base, k)
     return found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)

@@ -330,6 +330,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     49k word vocabulary. Defined cases: null or blank text has no ids and decodes to the empty string;
     rows are independent, so repeated ids, null ids and other columns do not matter.
     """
+    words.bound_batches(docs.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from lectern.llm import words
 from lectern.llm.bpe import SPACE, byte_alphabet
 
 #: Pieces whose ids one generation of a Python worker's memory holds, about.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 #: Outside these characters the standard module's classes differ from the pattern's.
 _OTHER = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
@@ -107,6 +107,7 @@ def default_path() -> str:
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of each row's whole text; null text has none."""
+    words.bound_batches(docs.sparkSession)
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import dom
+from lectern.llm import dom, words
 from lectern.llm.boosting import Boosted, boost
 
 #: Composed pages to train on, their seed, and elements that are scored together.
@@ -202,6 +202,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     empty table gives an empty result.
     """
     model = trained()
+    words.bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

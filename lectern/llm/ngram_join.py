@@ -97,6 +97,7 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     names=["doc_id", "fp1", "fp2", "n_shingles", "bands"],
                 )
 
+    words.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     return rows.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
 

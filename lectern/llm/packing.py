@@ -135,6 +135,7 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end_id: i
     repeated or null ids give a piece each time; an empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
+    words.bound_batches(docs.sparkSession)
     path = path or default_path()
     rows = materialize(encoded(docs, path, end_id, id_col, text_col), "encoded")
     total = rows.agg(F.sum("n")).first()[0] or 0

@@ -170,6 +170,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     independent, so repeated ids, null ids and other columns do not matter; an empty table gives an
     empty result.
     """
+    words.bound_batches(docs.sparkSession)
     schema = "doc_id long, base string, spans string, items array<struct<kind:string,start:int,end:int,score:double>>, masked string"
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -199,6 +200,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def mask_spans(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with the spans in ``text_col`` masked and ``chars_col``, where present, counted anew; null text stays null."""
+    words.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate(KINDS)}

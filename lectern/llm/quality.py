@@ -113,6 +113,7 @@ def _statistics_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 flat = pa.array(x.reshape(-1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, to - lo), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), flat)], names=["doc_id", "x"])
 
+    words.bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
 
 

@@ -177,6 +177,7 @@ def fit(text: pa.Array, label: np.ndarray, folds: np.ndarray) -> ToxicityModel |
 
 def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
     """Fit on a hash sample of about FIT_DOCS labelled documents of each label."""
+    words.bound_batches(docs.sparkSession)
     known = labelled(labels, label_col)
     counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
     share = F.create_map(*[F.lit(v) for k in (0, 1) for v in (k, int(min(1.0, FIT_DOCS / max(1, counts.get(k, 1))) * (1 << 30)))])

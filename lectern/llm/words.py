@@ -1,7 +1,7 @@
 """Word boundaries and hashes of whole Arrow batches of text, without a Python loop over words.
 
 A word is a maximal run of ASCII letters, digits and non-ASCII characters of the lower-cased
-text. Texts are handled in slices of about a megabyte, so memory follows the slice (or the longest
+text. Texts are handled in slices of about half a megabyte, so memory follows the slice (or the longest
 single text), not the batch.
 """
 
@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Whole texts that one Arrow batch carries between Spark and Python, at most.
+BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
@@ -21,6 +24,14 @@ _WORD[ord("a") : ord("z") + 1] = _WORD[ord("0") : ord("9") + 1] = _WORD[128:] =
 _powers: dict[int, np.ndarray] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_ROWS rows for this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
