@@ -139,14 +139,16 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, positives: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; points (centre, rate) of each pooled block, from rates smoothed by half a row of each label."""
+    """Pool adjacent violators; points (first and last x, rate) of each pooled block, the rates smoothed by half a row of each label."""
     blocks: list[list[float]] = []
     for a, p, c in zip(x, positives, counts):
-        blocks.append([a * c, p, c])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            last = blocks.pop()
-            blocks[-1] = [u + v for u, v in zip(blocks[-1], last)]
-    return np.array([b[0] / b[2] for b in blocks]), np.maximum.accumulate(np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks]))
+        blocks.append([p, c, a, a])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            p1, c1, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + p1, blocks[-1][1] + c1, blocks[-1][2], last]
+    rate = np.maximum.accumulate(np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks]))
+    points = [(a, r) for b, r in zip(blocks, rate) for a in sorted({b[2], b[3]})]
+    return np.array([a for a, _ in points]), np.array([r for _, r in points])
 
 
 def _summed(rows: DataFrame, part, size: int) -> dict[int, np.ndarray]:
