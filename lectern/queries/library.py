@@ -1,3 +1,3 @@
 """Imports every module of library queries, which registers them."""
 
-from lectern.queries import catalogue, changes, enrich, exported, index, recorded, texts, tokenised  # noqa: F401
+from lectern.queries import catalogue, changes, embedded, enrich, exported, index, recorded, texts, tokenised  # noqa: F401
