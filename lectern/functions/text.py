@@ -187,6 +187,15 @@ def nearest_type(color: Column, comment: Column, palette: dict[int, str], withou
     return F.when(F.coalesce(comment, F.lit("")) != "", nearest(with_comment)).otherwise(nearest(without_comment))
 
 
+#: The quotation types of the highlight exchange and their colours; those that keep a comment.
+QUOTATION_COLORS = {1: "#2ea8e5", 2: "#a6507b", 3: "#5fb236", 4: "#ff8c19", 5: "#ffd400", 6: "#ff6666"}
+
+
+def quotation_type(color: Column, comment: Column) -> Column:
+    """Quotation type of nearest colour; a comment allows only types that keep it."""
+    return nearest_type(color, comment, QUOTATION_COLORS, (1, 3, 4, 5, 6), (1, 3, 4))
+
+
 def joined_citations(texts: Column) -> Column:
     """Citation texts, each freed of one pair of outer brackets, as one bracketed list; empty without any."""
     clean = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")

@@ -169,8 +169,6 @@ def links_and_keys(spark, sf_dir):
     )
 
 
-#: The quotation colours of the exchange format.
-PALETTE = {1: "#ffd400", 3: "#5fb236", 4: "#2ea8e5", 5: "#a28ae5", 6: "#ff6666"}
 _HEX = "'#' || lpad(lower(to_hex(p_partkey * 7919 % 16777216)), 6, '0')"
 _PART = lambda c, k: f"CAST(('0x' || substr({c}, {2 + 2 * k}, 2)) AS INTEGER)"
 _DISTANCE = lambda c, target: " + ".join(f"({_PART(c, k)} - {int(target[1 + 2 * k : 3 + 2 * k], 16)}) ** 2" for k in range(3))
@@ -179,14 +177,14 @@ _DISTANCE = lambda c, target: " + ".join(f"({_PART(c, k)} - {int(target[1 + 2 *
 @query(
     f"""WITH t AS (SELECT p_partkey AS key, {_HEX} AS color, p_partkey % 3 = 0 AS commented FROM part),
 d AS (SELECT key, color, n, rank() OVER (PARTITION BY key ORDER BY dist, i) AS r FROM (
-  {" UNION ALL ".join(f"SELECT key, color, {n} AS n, {i} AS i, {_DISTANCE('color', c)} AS dist FROM t" + (" WHERE NOT commented" if n in (5, 6) else "") for i, (n, c) in enumerate(PALETTE.items()))}))
+  {" UNION ALL ".join(f"SELECT key, color, {n} AS n, {i} AS i, {_DISTANCE('color', c)} AS dist FROM t" + (" WHERE NOT commented" if n in (5, 6) else "") for i, (n, c) in enumerate((n, tx.QUOTATION_COLORS[n]) for n in (1, 3, 4, 5, 6)))}))
 SELECT key, color, n AS quotation_type FROM d WHERE r = 1"""
 )
 def quotation_types(spark, sf_dir):
     color = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 7919 % 16777216)), 6, "0"))
     comment = F.when(F.col("p_partkey") % 3 == 0, "note").otherwise("")
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), color.alias("color"), comment.alias("comment"))
-    return t.select("key", "color", tx.nearest_type(F.col("color"), F.col("comment"), PALETTE, (1, 3, 4, 5, 6), (1, 3, 4)).alias("quotation_type"))
+    return t.select("key", "color", tx.quotation_type(F.col("color"), F.col("comment")).alias("quotation_type"))
 
 
 @query(
