@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.byte_tokens import token_counts
+from lectern.storage import materialize
 
 #: Lengths in one window partition: sums run inside such blocks, over blocks only totals are summed.
 BLOCK = 4096
@@ -51,4 +52,4 @@ def limits(histogram: DataFrame) -> DataFrame:
 
 def token_length_limits(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``limits`` of the documents' histogram; null text counts as a document of 0 tokens, ids do not matter."""
-    return limits(length_histogram(docs, path))
+    return limits(materialize(length_histogram(docs, path), "lengths"))
