@@ -21,9 +21,9 @@ from lectern.llm.vectors import matrix, units, usable
 from lectern.operators.graph import connected_components
 from lectern.storage import materialize
 
-#: Vectors a cell should hold; pivots in all and labels that get any, at most (the pivots are sent to every task);
-#: a label without pivots is one cell. Blocks bound what one task holds, however large a cell is.
-CELL, MAX_PIVOTS, MAX_LABELS, BLOCK = 2048, 8192, 1024, 4096
+#: Vectors a cell should hold; pivots in all, their bytes and labels that get any, at most (the pivots are sent to
+#: every task); a label without pivots is one cell. Blocks bound what one task holds, however large a cell is.
+CELL, MAX_PIVOTS, PIVOT_BYTES, MAX_LABELS, BLOCK = 2048, 8192, 1 << 25, 1024, 4096
 
 
 def _pivots(vectors: DataFrame, radius: float) -> dict[tuple[int, int], np.ndarray]:
@@ -33,10 +33,11 @@ def _pivots(vectors: DataFrame, radius: float) -> dict[tuple[int, int], np.ndarr
     total = sum(row["n"] for row in large)
     if not large:
         return {}
-    share = min(1 / CELL, MAX_PIVOTS / total)
+    most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(row["size"] for row in large))))
+    share = min(1 / CELL, most / total)
     wanted = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
     keys = F.broadcast(vectors.sparkSession.createDataFrame([(r["label"], r["size"]) for r in large], "label long, size int"))
-    rows = wanted.join(keys, ["label", "size"]).orderBy("rep").limit(2 * MAX_PIVOTS).select("label", "size", "embedding").collect()
+    rows = wanted.join(keys, ["label", "size"]).orderBy("rep").limit(2 * most).select("label", "size", "embedding").collect()
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for row in rows:
         x = units(np.array([row["embedding"]], np.float64))[0]
