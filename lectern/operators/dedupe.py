@@ -59,6 +59,27 @@ def weak_pairs(c: DataFrame, title_threshold: float = 0.9, author_threshold: flo
     )
 
 
+def rejected_pairs(c: DataFrame, title_threshold: float = 0.9, author_threshold: float = 0.9, year_tolerance: int = 1) -> DataFrame:
+    """(first, second, reason): compared pairs of distinct comparison forms that do not match, with the first test that fails.
+
+    Compared are forms of one type whose year buckets are at most two apart, and forms without a year with
+    all dated ones of the type. Take a limit where only examples are wanted.
+    """
+    f = folded(c)
+    width = max(1, year_tolerance + 1)
+    columns = ("title_key", "author_key", "year", "rep")
+    side = lambda df, p: df.select("item_type", *[F.col(x).alias(f"{p}_{x}") for x in columns], *[x for x in df.columns if x == "bucket"])
+    dated, bucket = f.where("year is not null"), F.floor(F.col("year") / width)
+    wide = dated.withColumn("bucket", F.explode(F.sequence(bucket - 2, bucket + 2)))
+    near = side(wide, "l").join(side(dated.withColumn("bucket", bucket), "r"), ["item_type", "bucket"]).where("l_rep < r_rep").drop("bucket")
+    pairs = near.unionByName(side(f.where("year is null"), "l").join(side(dated, "r"), "item_type"))
+    short = ~could_reach(F.col("l_title_key"), F.col("r_title_key"), title_threshold)
+    far = F.coalesce(F.abs(F.col("l_year") - F.col("r_year")) > year_tolerance, F.lit(False))
+    pairs = pairs.withColumn("t", jaro_winkler_udf("l_title_key", "r_title_key")).withColumn("a", jaro_winkler_udf("l_author_key", "r_author_key"))
+    reason = F.when(short | (F.col("t") < title_threshold), "title").when(far, "year").when(F.col("a") < author_threshold, "author")
+    return pairs.select(F.least("l_rep", "r_rep").alias("first"), F.greatest("l_rep", "r_rep").alias("second"), reason.alias("reason")).where("reason is not null")
+
+
 def equal_form_edges(c: DataFrame) -> DataFrame:
     """(src, dst): items of equal comparison form to the least one of them; without a year equal items are not compared."""
     f = folded(c).where("n > 1 and year is not null").select(*[F.col(x).alias(f"f_{x}") for x in ("item_type", "title_key", "author_key", "year", "rep")])

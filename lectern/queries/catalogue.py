@@ -122,6 +122,15 @@ def weak_pairs(spark, sf_dir):
     return dedupe.weak_pairs(dedupe.candidates(catalogue(spark, sf_dir))).select("src", "dst", "year_gap")
 
 
+@query(
+    f"""WITH {ITEMS}, {WEAK}, p AS (SELECT jaro_winkler_similarity(a.title_key, b.title_key) AS t, jaro_winkler_similarity(a.author_key, b.author_key) AS s, abs(a.year - b.year) AS gap FROM folded a JOIN folded b
+  ON a.item_type = b.item_type AND ((a.year IS NULL AND b.year IS NOT NULL) OR (a.rep < b.rep AND abs(a.year // 2 - b.year // 2) <= 2)))
+SELECT CASE WHEN t < 0.9 THEN 'title' WHEN gap > 1 THEN 'year' ELSE 'author' END AS reason, count(*) AS n FROM p WHERE t < 0.9 OR coalesce(gap > 1, false) OR coalesce(s < 0.9, false) GROUP BY 1"""
+)
+def rejected_pairs(spark, sf_dir):
+    return dedupe.rejected_pairs(dedupe.candidates(catalogue(spark, sf_dir))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _counts(spark, sf_dir):
     return attachments(spark, sf_dir).groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("n_attachments"))
 
