@@ -15,7 +15,7 @@ from lectern.llm.labelled import fold, labelled
 from lectern.storage import materialize
 
 #: Random features, ridge penalty per row, and the decimals of a ridge score that calibration tells apart.
-FEATURES, RIDGE, DECIMALS = 384, 2e-4, 3
+FEATURES, RIDGE, DECIMALS = 256, 2e-4, 3
 NAMES = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "stop", "mark", "bang", "bar", "symbol", "symbol_run", "other_script",
     "lines", "line_length", "repeated_lines", "repeated_line_bytes", "distinct_words", "top_word", "repeated_shingles", "short_words", "long_words", "upper_words", "marked_words",
@@ -152,7 +152,7 @@ def isotonic(x: np.ndarray, positives: np.ndarray, counts: np.ndarray) -> tuple[
 
 
 def _summed(rows: DataFrame, part, size: int) -> dict[int, np.ndarray]:
-    """Sums by fold of part(x, label), a vector of ``size`` numbers for a batch: within partitions, then in groups of partitions, then here."""
+    """Sums by fold of part(x, label), a vector of ``size`` numbers for a batch: within partitions, in groups of partitions, and over the groups; one row a fold comes here."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -169,7 +169,8 @@ def _summed(rows: DataFrame, part, size: int) -> dict[int, np.ndarray]:
         return pa.table({"fold": table.column("fold").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     sums = rows.select("x", "label", "fold").mapInArrow(within, "fold int, sums binary")
-    sums = sums.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("fold", "g").applyInArrow(grouped, "fold int, sums binary")
+    sums = sums.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("fold", "g").applyInArrow(grouped, "fold int, sums binary")
+    sums = sums.groupBy("fold").applyInArrow(grouped, "fold int, sums binary")
     out: dict[int, np.ndarray] = {}
     for row in sums.collect():
         out[row["fold"]] = out.get(row["fold"], np.zeros(size)) + np.frombuffer(row["sums"], np.float64)

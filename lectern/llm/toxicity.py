@@ -26,7 +26,7 @@ from lectern.llm.quality import isotonic
 
 #: Words a window, compression level, labelled documents of each label that the fit samples (about), and the
 #: bytes of its texts it takes at most.
-WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 2500, 24_000_000
+WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 2500, 12_000_000
 #: How far a word's share of documents must differ between the labels (standard errors), and the least share it needs.
 CONTRAST, SHARE = 5.0, 0.02
 COMMON_BYTES, EXTRA_BYTES = 4096, 2048
