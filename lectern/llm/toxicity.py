@@ -2,8 +2,8 @@
 
 Text is first written as one 8-byte code a word (its hash), so that whatever a dictionary can match
 is a word or a phrase and incompressible otherwise. Both dictionaries share a part trained on
-ordinary windows; one adds a part trained on the wording that sets toxic documents apart, the other
-a part trained on the wording that sets ordinary documents apart. The bytes a window saves with the
+ordinary windows; one adds the words that set toxic documents apart, the other the words that set
+ordinary documents apart, every one of them. The bytes a window saves with the
 toxic one are the evidence; windows count from a calibrated threshold on.
 """
 
@@ -27,9 +27,10 @@ from lectern.llm.quality import isotonic
 #: Words a window, compression level, labelled documents of each label that the fit samples (about), and the
 #: bytes of its texts it takes at most.
 WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 2500, 12_000_000
-#: How far a word's share of documents must differ between the labels (standard errors), and the least share it needs.
-CONTRAST, SHARE = 5.0, 0.02
-COMMON_BYTES, EXTRA_BYTES = 4096, 2048
+#: How far a word's share of documents must differ between the labels (standard errors), and in how many documents of
+#: its label it must occur: a count, not a share, as a language may hold few of a label's documents.
+CONTRAST, LEAST = 5.0, 3
+COMMON_BYTES = 4096
 THRESHOLDS = range(3, 9)
 
 
@@ -129,17 +130,16 @@ def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityMode
     z = (d1 / n1 - d0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     rng = np.random.default_rng(5)
 
-    def recurring(sign: int, d: np.ndarray, n: int) -> bytes:
-        take = (sign * z >= CONTRAST) & (d >= max(3, SHARE * n))
-        stream = rng.permutation(np.repeat(word[take], d[take].astype(np.int64)))
-        samples = [stream[i : i + WINDOW].tobytes() for i in range(0, len(stream), WINDOW)]
-        return _trained(samples, EXTRA_BYTES, 8) if samples else b""
+    def recurring(sign: int, d: np.ndarray) -> bytes:
+        """Codes of the words that set a label apart, the most frequent one last; trained dictionaries left some out."""
+        take = (sign * z >= CONTRAST) & (d >= LEAST)
+        return word[take][np.argsort(d[take], kind="stable")].tobytes()
 
     owner, start, size = windows(doc, len(label))
     ordinary = rng.permutation(np.flatnonzero(label[owner] == 0))[:40000]
     raw = codes.tobytes()
     common = _trained([raw[8 * start[i] : 8 * (start[i] + size[i])] for i in ordinary], COMMON_BYTES, 16) if len(ordinary) else b""
-    return ToxicityModel(recurring(1, d1, n1) + common or b"\0" * 8, recurring(-1, d0, n0) + common or b"\0" * 8)
+    return ToxicityModel(recurring(1, d1) + common or b"\0" * 8, recurring(-1, d0) + common or b"\0" * 8)
 
 
 def fit(text: pa.Array, label: np.ndarray, folds: np.ndarray) -> ToxicityModel | None:

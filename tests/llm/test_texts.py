@@ -232,6 +232,18 @@ def test_classifiers_on_awkward_rows(spark, scores):
     assert scores(docs, labels.limit(0)).where("score < 0 or score > 1").count() == 0
 
 
+def test_toxic_wording_of_a_rare_language_is_kept():
+    rng = np.random.default_rng(1)
+    common, rare = np.arange(1, 11, dtype=np.uint64), np.arange(11, 16, dtype=np.uint64)
+    codes, doc, label = [], [], []
+    for k in range(4000):  # 1000 toxic documents, 12 of them of a language with its own wording
+        own = rng.integers(1000, 3000, 30).astype(np.uint64)
+        extra = (rare if k < 12 else common) if k < 1000 else own[:0]
+        codes.append(np.concatenate((own, extra))), doc.append(np.full(30 + len(extra), k)), label.append(float(k < 1000))
+    model = toxicity.train(np.concatenate(codes), np.concatenate(doc), np.array(label))
+    assert all(int(w).to_bytes(8, "little") in model.toxic for w in [*common, *rare])
+
+
 def test_isotonic_pools_violators():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 3, 1, 4, 4]), np.array([4, 4, 4, 4, 4.0]))
     assert (np.diff(y) >= 0).all() and x.tolist() == [0, 1, 2, 3, 4] and y[1] == y[2] == 0.5 and y[3] == y[4]
