@@ -25,8 +25,10 @@ from lectern.llm.ngram_join import minhashes
 from lectern.llm.quality import isotonic
 
 #: Words a window, compression level, labelled documents of each label that the fit samples (about), and the
-#: bytes of its texts it takes at most.
+#: bytes of their texts it takes at most, half of them for each label.
 WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 2500, 12_000_000
+#: Windows that the fit takes of one document at most, and the bytes that such a document counts as at most.
+DOC_WINDOWS, DOC_BYTES = 1024, 1 << 17
 #: How far a word's share of documents must differ between the labels (standard errors), and in how many documents of
 #: its label it must occur: a count, not a share, as a language may hold few of a label's documents.
 CONTRAST, LEAST = 5.0, 3
@@ -79,8 +81,11 @@ class ToxicityModel:
 
     def savings(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(document, bytes the toxic dictionary saves) of each window."""
-        codes, doc = word_codes(text)
-        owner, start, size = windows(doc, len(text))
+        return self.saved(*word_codes(text), len(text))
+
+    def saved(self, codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """``savings`` of n documents by their word codes."""
+        owner, start, size = windows(doc, n)
         return owner, _lengths(codes, start, size, _compressor(self.ordinary)) - _lengths(codes, start, size, _compressor(self.toxic))
 
     def evidence(self, owner: np.ndarray, saved: np.ndarray, n: int) -> np.ndarray:
@@ -92,21 +97,34 @@ class ToxicityModel:
         return np.clip(0.995 * np.interp(x, self.curve_x, self.curve_y) + 0.005 * x / (1 + x), 0, 1)
 
 
-def distinct_documents(text: pa.Array) -> np.ndarray:
+def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(8 MinHash values of each document, whether it has words)."""
+    s, offsets = words.shingles(text)
+    return minhashes(s, offsets)[:, :8], offsets[:-1] < offsets[1:]
+
+
+def distinct_documents(signature: np.ndarray) -> np.ndarray:
     """Rows that share none of 8 MinHash values with an earlier one: copies must not pass for independent evidence."""
     seen: set[tuple[int, int]] = set()
     keep = []
-    for lo, to in words.slices(text):
-        s, offsets = words.shingles(text.slice(lo, to - lo))
-        m = minhashes(s, offsets)[:, :8]
-        for k in np.flatnonzero(offsets[:-1] < offsets[1:]):
-            key = set(enumerate(m[k].tolist()))
-            if not key & seen:
-                keep.append(lo + k)
-            seen |= key
+    for k, m in enumerate(signature):
+        key = set(enumerate(m.tolist()))
+        if not key & seen:
+            keep.append(k)
+        seen |= key
     return np.array(keep, np.int64)
 
 
+def excerpt(codes: np.ndarray) -> tuple[np.ndarray, float]:
+    """(word codes, windows of the document by windows taken): all of a document, or DOC_WINDOWS windows of a longer one, chosen by hash."""
+    n = -(-len(codes) // WINDOW)
+    if n <= DOC_WINDOWS:
+        return codes, 1.0
+    full = codes[: len(codes) // WINDOW * WINDOW].reshape(-1, WINDOW)
+    order = np.argsort(words.mix(full.sum(axis=1, dtype=np.uint64) + np.arange(len(full), dtype=np.uint64)), kind="stable")
+    return full[np.sort(order[:DOC_WINDOWS])].reshape(-1), n / DOC_WINDOWS
+
+
 def _trained(samples: list[bytes], size: int, k: int) -> bytes:
     """A trained dictionary; the samples' own bytes where they are too few to train on."""
     try:
@@ -142,13 +160,11 @@ def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityMode
     return ToxicityModel(recurring(1, d1) + common or b"\0" * 8, recurring(-1, d0) + common or b"\0" * 8)
 
 
-def fit(text: pa.Array, label: np.ndarray, folds: np.ndarray) -> ToxicityModel | None:
-    """Train on all; threshold and curve come from documents scored with dictionaries that have not seen their fold."""
-    keep = distinct_documents(text)
-    text, label, folds = text.take(pa.array(keep)), label[keep].astype(float), folds[keep]
-    if not len(keep) or label.min() == label.max():
+def fit(codes: np.ndarray, doc: np.ndarray, label: np.ndarray, folds: np.ndarray, grown: np.ndarray) -> ToxicityModel | None:
+    """Train on all documents, copies left out; threshold and curve come from documents scored with dictionaries that have not seen their fold."""
+    if not len(label) or label.min() == label.max():
         return None
-    codes, doc = word_codes(text)
+    label = label.astype(float)
     model = train(codes, doc, label)
     owner, saved = [], []
     for f in np.unique(folds):
@@ -157,8 +173,8 @@ def fit(text: pa.Array, label: np.ndarray, folds: np.ndarray) -> ToxicityModel |
             rest = np.ones(len(folds), bool)
         inside = rest[doc]
         half = train(codes[inside], (np.cumsum(rest) - 1)[doc[inside]], label[rest])
-        rows = np.flatnonzero(folds == f)
-        o, s = half.savings(text.take(pa.array(rows)))
+        rows, inside = np.flatnonzero(folds == f), (folds == f)[doc]
+        o, s = half.saved(codes[inside], (np.cumsum(folds == f) - 1)[doc[inside]], len(rows))
         owner.append(rows[o]), saved.append(s)
     owner, saved = np.concatenate(owner), np.concatenate(saved)
 
@@ -168,28 +184,70 @@ def fit(text: pa.Array, label: np.ndarray, folds: np.ndarray) -> ToxicityModel |
         return hit[label == 1].mean() - hit[label == 0].mean()
 
     model.threshold = max(THRESHOLDS, key=gap)
-    x = np.round(model.evidence(owner, saved, len(label)), 2)
+    # windows of an excerpt stand for all windows of their document
+    x = np.round(model.evidence(owner, saved, len(label)) * np.sqrt(grown), 2)
     level, inverse = np.unique(x, return_inverse=True)
     cx, cy = isotonic(level, np.bincount(inverse, label), np.bincount(inverse).astype(float))
     model.curve_x, model.curve_y = tuple(cx), tuple(cy)
     return model
 
 
+def _within_budget(label: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows of each label that its half of FIT_BYTES holds, in the order of their hashes; the first one always."""
+    take = []
+    for k in (0, 1):
+        rows = np.flatnonzero(label == k)
+        rows = rows[np.argsort(order[rows], kind="stable")]
+        n = int(np.searchsorted(np.cumsum(size[rows]), FIT_BYTES // 2, "right"))
+        take.append(rows[: max(1, n)])
+    return np.sort(np.concatenate(take))
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
-    """Fit on a hash sample of about FIT_DOCS labelled documents of each label."""
+    """Fit on a hash sample of about FIT_DOCS labelled documents of each label, held to FIT_BYTES.
+
+    The sizes of the sampled documents decide which are taken, by hash order within each label; a long
+    one counts with its excerpt only, so that none can use up the budget or fall out of it. Texts become
+    word codes in the tasks and do not reach the driver.
+    """
     words.bound_batches(docs.sparkSession)
     known = labelled(labels, label_col)
     counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
     share = F.create_map(*[F.lit(v) for k in (0, 1) for v in (k, int(min(1.0, FIT_DOCS / max(1, counts.get(k, 1))) * (1 << 30)))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("label")])
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample.limit(4 * FIT_DOCS)), "doc_id").select("doc_id", "text", "label", "fold").orderBy("doc_id", "text").toArrow()
-    text = rows.column("text").combine_chunks().cast(pa.large_string())
-    within = int((np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) <= FIT_BYTES).sum()) if len(rows) else 0
-    rows = rows.slice(0, within)
-    if not len(rows):
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("text", F.lit(1)))
+    sizes = rows.select("doc_id", "h", "label", F.least(F.octet_length("text"), F.lit(DOC_BYTES)).alias("size"), F.xxhash64("doc_id", "h", F.lit(2)).alias("o")).distinct().toArrow()
+    if not len(sizes):
         return None
-    return fit(text.slice(0, within), rows.column("label").to_numpy(), rows.column("fold").to_numpy())
+    sizes = sizes.sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    kept = _within_budget(*(sizes.column(c).to_numpy() for c in ("label", "size", "o")))
+    ids, hashes = (sizes.column(c).to_numpy()[kept] for c in ("doc_id", "h"))
+    chosen = docs.sparkSession.createDataFrame(pa.table({"doc_id": np.unique(ids)}))
+    wanted = set(zip(ids.tolist(), hashes.tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            b = b.filter(pa.array([p in wanted for p in pairs], pa.bool_()))
+            for lo, to in words.slices(b.column(4)):
+                part = b.slice(lo, to - lo)
+                signature, full = signatures(part.column(4))
+                codes, doc = word_codes(part.column(4))
+                at = np.searchsorted(doc, np.arange(to - lo + 1))
+                taken = [excerpt(codes[at[k] : at[k + 1]]) for k in np.flatnonzero(full)]
+                columns = [pa.array([c.tobytes() for c, _ in taken], pa.binary()), pa.array([g for _, g in taken], pa.float64()), pa.array([m.tobytes() for m in signature[full]], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.filter(pa.array(full)).columns[:4], *columns], names=["doc_id", "h", "label", "fold", "codes", "grown", "signature"])
+
+    coded = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "h", "label", "fold", "text")
+    table = coded.mapInArrow(run, "doc_id long, h long, label int, fold int, codes binary, grown double, signature binary").toArrow()
+    order = np.lexsort((table.column("h").to_numpy(), table.column("doc_id").to_numpy()))
+    signature = np.array([np.frombuffer(table.column("signature")[k].as_py(), np.uint32) for k in order.tolist()])
+    order = order[distinct_documents(signature)]
+    parts = [np.frombuffer(table.column("codes")[k].as_buffer(), np.uint64) for k in order.tolist()]
+    codes = np.concatenate([np.zeros(0, np.uint64), *parts])
+    label, folds, grown = (table.column(c).to_numpy()[order] for c in ("label", "fold", "grown"))
+    return fit(codes, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), label, folds, grown)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -213,7 +271,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
     Every window of the whole text is compressed; the text is the only input of a score. Labels are
     learnt from rows whose crc32(doc_id as text) mod 3 is not 1: a hash sample of about FIT_DOCS
-    documents of each label, copies left out.
+    documents of each label within its half of FIT_BYTES, copies left out.
 
     Defined cases: null text counts as empty; a text without words has no evidence and gets the lowest
     score; a row without an id is scored, is not held out and teaches nothing; rows that repeat an id

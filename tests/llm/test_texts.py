@@ -244,6 +244,27 @@ def test_toxic_wording_of_a_rare_language_is_kept():
     assert all(int(w).to_bytes(8, "little") in model.toxic for w in [*common, *rare])
 
 
+def test_a_long_document_does_not_end_the_toxicity_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 400_000)
+    docs, labels, truth = labelled_docs(spark)
+    first = next(k for k in range(-1, -20, -1) if zlib.crc32(str(k).encode()) % 3 != 1)
+    long = " ".join(f"w{k % 5000}" for k in range(100_000))
+    docs = docs.unionByName(spark.createDataFrame([(first, long, "score")], docs.schema))
+    held = [r for r in toxicity.toxicity_scores(docs, labels.unionByName(spark.createDataFrame([(first, 1, 0)], labels.schema))).collect() if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]][1] for r in held) >= 0.95 * len(held)
+
+
+def test_the_toxicity_sample_is_cut_by_hash_and_label(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 2000)
+    label, order = np.repeat([0, 1], 100), np.random.default_rng(2).permutation(200)
+    kept = toxicity._within_budget(label, np.full(200, 100), order)
+    assert [sorted(order[kept[label[kept] == k]]) for k in (0, 1)] == [sorted(order[label == k])[:10] for k in (0, 1)]
+    assert len(toxicity._within_budget(label, np.full(200, 5000), order)) == 2
+    codes = np.arange(16 * 3000 + 5, dtype=np.uint64)
+    part, grown = toxicity.excerpt(codes)
+    assert len(part) == 16 * toxicity.DOC_WINDOWS and part.max() > 16 * 2500 and grown > 2.9 and toxicity.excerpt(codes[:100])[1] == 1
+
+
 def test_isotonic_pools_violators():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 3, 1, 4, 4]), np.array([4, 4, 4, 4, 4.0]))
     assert (np.diff(y) >= 0).all() and x.tolist() == [0, 1, 2, 3, 4] and y[1] == y[2] == 0.5 and y[3] == y[4]
