@@ -19,7 +19,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+#: What follows an IBAN's first four characters, at its greatest length; and at the length that its country fixes.
+_IBAN_REST = re.compile(r"(?:[\x20-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AO25 AT20 AZ28 BA20 BE16 BF28 BG22 BH22 BI27 BJ28 BR29 BY28 CF27 CG27 CH21 CI28 CM27 CR22 CV25 CY28 CZ24 DE22 DJ27 DK18 DO28 DZ26 EE20 EG29 ES24 FI18 FK18 FO18 FR27 "
+    "GA27 GB22 GE22 GI23 GL18 GQ27 GR27 GT28 GW25 HN28 HR21 HU28 IE22 IL23 IQ23 IR26 IS26 IT27 JO30 KM27 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MA28 MC27 MD24 ME22 MG27 MK19 ML28 "
+    "MN20 MR27 MT31 MU30 MZ25 NE28 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SN28 SO23 ST25 SV28 TD27 TG28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+_IBAN_FIXED = {x[:2]: re.compile(rf"(?:[\x20-]?[A-Z0-9]){{{int(x[2:]) - 4}}}(?![A-Za-z0-9])") for x in _IBAN_LENGTHS.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -52,6 +60,19 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that pass mod 97, at their country's length or, failing that, at the greatest one; a failed start hides nothing after its country code."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 2
+        for rest in (_IBAN_FIXED.get(m[0][:2]), _IBAN_REST):
+            r = rest.match(text, m.end()) if rest else None
+            if r and mod97(text[m.start() : r.end()].replace(" ", "").replace("-", "")):
+                yield m.start(), r.end()
+                at = r.end()
+                break
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of local@domain.name, from each @ outwards: linear for any text."""
     out, free, at = [], 0, text.find("@")
@@ -116,10 +137,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             for m in _PHONE.finditer(text):
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     base.append(_scored(text, *m.span(), "phone"))
-        for m in _IBAN.finditer(text):
-            compact = m[0].replace(" ", "").replace("-", "")
-            if 15 <= len(compact) <= 34 and mod97(compact):
-                added.append(_scored(text, *m.span(), "iban"))
+        added += [_scored(text, a, b, "iban") for a, b in ibans(text)]
         added += [_scored(text, *m.span(), "ssn") for m in _SSN.finditer(text)]
         added += [_scored(text, *m.span(), "phone", "local phone") for m in _LOCAL_PHONE.finditer(text)]
     order = {k: i for i, k in enumerate(KINDS)}

@@ -140,6 +140,15 @@ def test_added_spans_need_their_checks():
     assert kinds("4111111111111111 5500005555555559") == [("card", "4111111111111111"), ("card", "5500005555555559")]
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 2024 12", " EUR 500", "-A", " GB82 WEST 1234 5698 7654 32", " ok"])
+def test_what_follows_an_iban_does_not_hide_it(after):
+    for iban in ("DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"):
+        found = [after.strip()] if after.startswith(" GB") else []
+        for before in ("", "AB12 CD34 ", "DE88 3704 "):
+            text = f"{before}{iban}{after}"
+            assert [text[a:b] for a, b, k, _ in pii.find(text)[1] if k == "iban"] == [iban, *found]
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "me a@b.co, 1.2.3.4", "en", 99), (2, None, "de", 7), (3, "plain", "fr", 5)], "doc_id long, text string, lang string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask_spans(df).collect()}
