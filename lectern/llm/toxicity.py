@@ -26,7 +26,7 @@ from lectern.llm.quality import isotonic
 
 #: Words a window, compression level, labelled documents of each label that the fit samples (about), and the
 #: bytes of their texts it takes at most, half of them for each label.
-WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 2500, 12_000_000
+WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 4000, 96_000_000
 #: Windows that the fit takes of one document at most, and the bytes that such a document counts as at most.
 DOC_WINDOWS, DOC_BYTES = 1024, 1 << 17
 #: How far a word's share of documents must differ between the labels (standard errors), and in how many documents of
@@ -64,9 +64,13 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 def _lengths(codes: np.ndarray, start: np.ndarray, size: np.ndarray, compressor: zstandard.ZstdCompressor) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.int64)
-    segments = np.stack([start * 8, size * 8], axis=1).astype(np.uint64).tobytes()
-    out = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(codes.tobytes(), segments))
-    return np.fromiter((len(x) for x in out), np.int64, len(start))
+    out = np.zeros(len(start), np.int64)
+    for lo in range(0, len(start), 1 << 14):
+        a, n = start[lo : lo + (1 << 14)], size[lo : lo + (1 << 14)]
+        segments = np.stack([(a - a[0]) * 8, n * 8], axis=1).astype(np.uint64).tobytes()
+        part = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(codes[a[0] : a[-1] + n[-1]].tobytes(), segments))
+        out[lo : lo + len(a)] = np.fromiter((len(x) for x in part), np.int64, len(a))
+    return out
 
 
 @dataclass
@@ -134,16 +138,18 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
 
 
 def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityModel:
-    """Dictionaries from word codes of distinct documents."""
+    """Dictionaries from word codes of distinct documents, in document order."""
     n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
-    order = np.lexsort((doc, codes))
-    c, d = codes[order], doc[order]
+    order = np.argsort(codes, kind="stable")
+    c, d = codes[order], doc[order].astype(np.int32)
+    del order
     once = np.append(True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]))[: len(c)]
     c, d = c[once], d[once]
     first = np.append(True, c[1:] != c[:-1])[: len(c)]
-    word, inverse = c[first], np.cumsum(first) - 1
-    d1 = np.bincount(inverse, label[d], len(word))
-    d0 = np.bincount(inverse, 1 - label[d], len(word))
+    word, inverse = c[first], np.cumsum(first, dtype=np.int32) - 1
+    toxic = label[d] == 1
+    d1, d0 = (np.bincount(inverse[on], minlength=len(word)) for on in (toxic, ~toxic))
+    del c, d, once, first, inverse, toxic
     p = (d1 + d0) / (n1 + n0)
     z = (d1 / n1 - d0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     rng = np.random.default_rng(5)
@@ -155,8 +161,7 @@ def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityMode
 
     owner, start, size = windows(doc, len(label))
     ordinary = rng.permutation(np.flatnonzero(label[owner] == 0))[:40000]
-    raw = codes.tobytes()
-    common = _trained([raw[8 * start[i] : 8 * (start[i] + size[i])] for i in ordinary], COMMON_BYTES, 16) if len(ordinary) else b""
+    common = _trained([codes[start[i] : start[i] + size[i]].tobytes() for i in ordinary], COMMON_BYTES, 16) if len(ordinary) else b""
     return ToxicityModel(recurring(1, d1) + common or b"\0" * 8, recurring(-1, d0) + common or b"\0" * 8)
 
 
@@ -246,8 +251,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     order = order[distinct_documents(signature)]
     parts = [np.frombuffer(table.column("codes")[k].as_buffer(), np.uint64) for k in order.tolist()]
     codes = np.concatenate([np.zeros(0, np.uint64), *parts])
+    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     label, folds, grown = (table.column(c).to_numpy()[order] for c in ("label", "fold", "grown"))
-    return fit(codes, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), label, folds, grown)
+    del table, parts
+    return fit(codes, doc, label, folds, grown)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

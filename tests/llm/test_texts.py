@@ -274,6 +274,10 @@ def test_the_toxicity_sample_is_cut_by_hash_and_label(monkeypatch):
     assert len(part) == 16 * toxicity.DOC_WINDOWS and part.max() > 16 * 2500 and grown > 2.9 and toxicity.excerpt(codes[:100])[1] == 1
 
 
+def test_fits_have_the_size_the_readme_states():
+    assert quality.FEATURES == 384 and (toxicity.FIT_DOCS, toxicity.FIT_BYTES) == (4000, 96_000_000)
+
+
 def test_isotonic_pools_violators():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 3, 1, 4, 4]), np.array([4, 4, 4, 4, 4.0]))
     assert (np.diff(y) >= 0).all() and x.tolist() == [0, 1, 2, 3, 4] and y[1] == y[2] == 0.5 and y[3] == y[4]
