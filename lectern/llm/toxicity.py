@@ -1,10 +1,12 @@
-"""Toxicity by compression distance: windows are compressed with a dictionary of ordinary text and one that also knows toxic text.
-
-Text is first written as one 8-byte code a word (its hash), so that whatever a dictionary can match
-is a word or a phrase and incompressible otherwise. Both dictionaries share a part trained on
-ordinary windows; one adds the words that set toxic documents apart, the other the words that set
-ordinary documents apart, every one of them. The bytes a window saves with the
-toxic one are the evidence; windows count from a calibrated threshold on.
+"""Toxicity by compression distance: windows are compressed with a dictionary trained on toxic text and one trained on ordinary text.
+
+Text is first written as one 8-byte code a word (its hash), so that what a dictionary matches is a
+word or a phrase and all else is incompressible. Most of a toxic document is ordinary text, so the toxic
+dictionary keeps those stretches of toxic documents that compress better with dictionaries trained on the
+windows of other toxic documents than with ones trained on ordinary windows, in repeated fits that have not
+seen the stretch's document. Both dictionaries end with the one trained on ordinary windows, so that ordinary
+text costs the same with either. The bytes a window saves with the toxic one are the evidence; windows count
+from a calibrated threshold on.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from lectern.llm.quality import isotonic
 WINDOW, LEVEL, FIT_DOCS, FIT_BYTES = 16, 6, 4000, 96_000_000
 #: Windows that the fit takes of one document at most, and the bytes that such a document counts as at most.
 DOC_WINDOWS, DOC_BYTES = 1024, 1 << 17
-#: How far a word's share of documents must differ between the labels (standard errors), and in how many documents of
-#: its label it must occur: a count, not a share, as a language may hold few of a label's documents.
-CONTRAST, LEAST = 5.0, 3
-COMMON_BYTES = 4096
-THRESHOLDS = range(3, 9)
+#: Bytes of a dictionary trained on ordinary and of one trained on toxic windows, and the windows of a label that one
+#: dictionary is trained on at most (chosen at random; zstandard's training takes some ten times their bytes).
+ORDINARY_BYTES, TOXIC_BYTES, TRAIN_WINDOWS = 1 << 19, 1 << 16, 40_000
+#: Rounds of fits on all parts of the documents but one, the parts, the rounds that a stretch must win, the bytes it
+#: must save to win, and the documents that must hold it.
+ROUNDS, PARTS, WINS, SAVES, LEAST = 3, 4, 3, 3, 3
+#: Window thresholds to choose from, and parts of the documents that are scored in turn to calibrate.
+THRESHOLDS, CALIBRATION = range(3, 9), 3
 
 
 def word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +52,26 @@ def word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(docs)
 
 
-def windows(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, words) of the consecutive windows of each document."""
+def windows(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first word) of the windows of each document: one after the other, the last one reaches back to be full."""
     count = np.bincount(doc, minlength=n)
     first, k = np.cumsum(count) - count, -(-count // WINDOW)
     owner = np.repeat(np.arange(n), k)
     j = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-    return owner, first[owner] + j * WINDOW, np.minimum(WINDOW, count[owner] - j * WINDOW)
+    return owner, first[owner] + np.clip(count[owner] - WINDOW, 0, j * WINDOW)
+
+
+def filled(codes: np.ndarray, doc: np.ndarray, n: int, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word codes with documents of fewer words than a window filled up by frequent words."""
+    count = np.bincount(doc, minlength=n)
+    short = np.flatnonzero((count > 0) & (count < WINDOW))
+    if not len(short):
+        return codes, doc
+    more = WINDOW - count[short]
+    at = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    codes, doc = np.concatenate((codes, fill[at])), np.concatenate((doc, np.repeat(short, more)))
+    order = np.argsort(doc, kind="stable")
+    return codes[order], doc[order]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -61,24 +79,24 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _lengths(codes: np.ndarray, start: np.ndarray, size: np.ndarray, compressor: zstandard.ZstdCompressor) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, np.int64)
-    out = np.zeros(len(start), np.int64)
+def _lengths(codes: np.ndarray, start: np.ndarray, content: bytes) -> np.ndarray:
+    """Compressed length of each window with a dictionary."""
+    out, compressor = np.zeros(len(start), np.int64), _compressor(content)
     for lo in range(0, len(start), 1 << 14):
-        a, n = start[lo : lo + (1 << 14)], size[lo : lo + (1 << 14)]
-        segments = np.stack([(a - a[0]) * 8, n * 8], axis=1).astype(np.uint64).tobytes()
-        part = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(codes[a[0] : a[-1] + n[-1]].tobytes(), segments))
+        a = start[lo : lo + (1 << 14)]
+        segments = np.stack([(a - a[0]) * 8, np.full(len(a), WINDOW * 8)], axis=1).astype(np.uint64).tobytes()
+        part = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(codes[a[0] : a[-1] + WINDOW].tobytes(), segments))
         out[lo : lo + len(a)] = np.fromiter((len(x) for x in part), np.int64, len(a))
     return out
 
 
 @dataclass
 class ToxicityModel:
-    """Contents of the two dictionaries, the window threshold in bytes and the calibration curve."""
+    """Contents of the two dictionaries, frequent words that fill up short documents, the window threshold in bytes and the calibration curve."""
 
     toxic: bytes
     ordinary: bytes
+    fill: np.ndarray
     threshold: int = 4
     curve_x: tuple[float, ...] = (0.0,)
     curve_y: tuple[float, ...] = (0.0,)
@@ -89,8 +107,9 @@ class ToxicityModel:
 
     def saved(self, codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """``savings`` of n documents by their word codes."""
-        owner, start, size = windows(doc, n)
-        return owner, _lengths(codes, start, size, _compressor(self.ordinary)) - _lengths(codes, start, size, _compressor(self.toxic))
+        codes, doc = filled(codes, doc, n, self.fill)
+        owner, start = windows(doc, n)
+        return owner, _lengths(codes, start, self.ordinary) - _lengths(codes, start, self.toxic)
 
     def evidence(self, owner: np.ndarray, saved: np.ndarray, n: int) -> np.ndarray:
         """Windows from the threshold on, over the root of the number of windows."""
@@ -129,57 +148,83 @@ def excerpt(codes: np.ndarray) -> tuple[np.ndarray, float]:
     return full[np.sort(order[:DOC_WINDOWS])].reshape(-1), n / DOC_WINDOWS
 
 
-def _trained(samples: list[bytes], size: int, k: int) -> bytes:
-    """A trained dictionary; the samples' own bytes where they are too few to train on."""
+def _trained(codes: np.ndarray, start: np.ndarray, size: int, k: int, rng: np.random.Generator) -> bytes:
+    """A dictionary trained on windows, from segments of k bytes; the windows' own bytes where they are too few to train on."""
+    some = rng.permutation(start)[:TRAIN_WINDOWS]
+    samples = [codes[i : i + WINDOW].tobytes() for i in some.tolist()]
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityModel:
-    """Dictionaries from word codes of distinct documents, in document order."""
-    n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
-    order = np.argsort(codes, kind="stable")
-    c, d = codes[order], doc[order].astype(np.int32)
-    del order
-    once = np.append(True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]))[: len(c)]
-    c, d = c[once], d[once]
-    first = np.append(True, c[1:] != c[:-1])[: len(c)]
-    word, inverse = c[first], np.cumsum(first, dtype=np.int32) - 1
-    toxic = label[d] == 1
-    d1, d0 = (np.bincount(inverse[on], minlength=len(word)) for on in (toxic, ~toxic))
-    del c, d, once, first, inverse, toxic
-    p = (d1 + d0) / (n1 + n0)
-    z = (d1 / n1 - d0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    rng = np.random.default_rng(5)
+def _pair(codes: np.ndarray, start: np.ndarray, toxic: np.ndarray, rng: np.random.Generator) -> tuple[bytes, bytes]:
+    """Dictionaries trained on the windows of toxic and on those of ordinary documents; each ends with the ordinary one."""
+    ordinary = _trained(codes, start[~toxic], ORDINARY_BYTES, 16, rng)
+    return _trained(codes, start[toxic], TOXIC_BYTES, 8, rng) + ordinary, ordinary
 
-    def recurring(sign: int, d: np.ndarray) -> bytes:
-        """Codes of the words that set a label apart, the most frequent one last; trained dictionaries left some out."""
-        take = (sign * z >= CONTRAST) & (d >= LEAST)
-        return word[take][np.argsort(d[take], kind="stable")].tobytes()
 
-    owner, start, size = windows(doc, len(label))
-    ordinary = rng.permutation(np.flatnonzero(label[owner] == 0))[:40000]
-    common = _trained([codes[start[i] : start[i] + size[i]].tobytes() for i in ordinary], COMMON_BYTES, 16) if len(ordinary) else b""
-    return ToxicityModel(recurring(1, d1) + common or b"\0" * 8, recurring(-1, d0) + common or b"\0" * 8)
+def _word_savings(words_: np.ndarray, fill: np.ndarray, toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on each word amid frequent ones."""
+    half = WINDOW // 2
+    rows = np.tile(np.concatenate((fill[:half], fill[:1], fill[half : WINDOW - 1])), (len(words_), 1))
+    rows[:, half] = words_
+    start = np.arange(len(words_)) * WINDOW
+    return _lengths(rows.reshape(-1), start, ordinary) - _lengths(rows.reshape(-1), start, toxic)
 
 
-def fit(codes: np.ndarray, doc: np.ndarray, label: np.ndarray, folds: np.ndarray, grown: np.ndarray) -> ToxicityModel | None:
-    """Train on all documents, copies left out; threshold and curve come from documents scored with dictionaries that have not seen their fold."""
+def train(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> ToxicityModel:
+    """Dictionaries from word codes of distinct documents, in document order."""
+    rng = np.random.default_rng(5)
+    ordinary_words, times = np.unique(codes[label[doc] == 0], return_counts=True)
+    fill = np.resize(ordinary_words[np.argsort(-times, kind="stable")[:WINDOW]], WINDOW) if len(times) else np.arange(WINDOW, dtype=np.uint64)
+    del ordinary_words, times
+    codes, doc = filled(codes, doc, len(label), fill)
+    owner, start = windows(doc, len(label))
+    whole = np.append(start[1:] - start[:-1] >= WINDOW, True)[: len(start)]  # not met again in a window that reaches back
+    owner, start = owner[whole], start[whole]
+    toxic = label[owner] == 1
+    inside = np.flatnonzero(label[doc] == 1)
+    seen, word = np.unique(codes[inside], return_inverse=True)
+    wins = np.zeros(len(inside), np.int8)
+    for r in range(ROUNDS):
+        part = rng.permutation(len(label)) % PARTS
+        for p in range(PARTS):
+            own = np.flatnonzero((part[doc[inside]] == p) & (wins >= r + WINS - ROUNDS))
+            rest = part[owner] != p
+            if not len(own) or toxic[rest].all() or not toxic[rest].any():
+                continue
+            pair = _pair(codes, start[rest], toxic[rest], rng)
+            asked, inverse = np.unique(word[own], return_inverse=True)
+            wins[own] += (_word_savings(seen[asked], fill, *pair) >= SAVES)[inverse]
+    # runs of winning words, and each of the words, are the stretches; the one most documents hold comes last
+    at = np.flatnonzero(wins >= WINS)
+    new = np.append(True, (np.diff(inside[at]) != 1) | (np.diff(doc[inside[at]]) != 0))[: len(at)]
+    held: dict[bytes, set[int]] = {}
+    for run in [*np.split(at, np.flatnonzero(new)[1:]), *at[:, None]]:
+        if len(run):
+            held.setdefault(codes[inside[run]].tobytes(), set()).add(int(doc[inside[run[0]]]))
+    stretches = sorted((x for x, d in held.items() if len(d) >= LEAST), key=lambda x: (len(held[x]), x))
+    ordinary = _trained(codes, start[~toxic], ORDINARY_BYTES, 16, rng) or b"\0" * 8
+    return ToxicityModel(b"".join(stretches) + ordinary, ordinary, fill)
+
+
+def fit(codes: np.ndarray, doc: np.ndarray, label: np.ndarray, grown: np.ndarray) -> ToxicityModel | None:
+    """Train on all documents; threshold and curve come from documents scored with dictionaries that have not seen them."""
     if not len(label) or label.min() == label.max():
         return None
     label = label.astype(float)
     model = train(codes, doc, label)
     owner, saved = [], []
-    for f in np.unique(folds):
-        rest = folds != f
+    part = np.random.default_rng(6).permutation(len(label)) % CALIBRATION
+    for p in range(CALIBRATION):
+        rest = part != p
         if not rest.any() or label[rest].min() == label[rest].max():
-            rest = np.ones(len(folds), bool)
+            rest = np.ones(len(part), bool)
         inside = rest[doc]
-        half = train(codes[inside], (np.cumsum(rest) - 1)[doc[inside]], label[rest])
-        rows, inside = np.flatnonzero(folds == f), (folds == f)[doc]
-        o, s = half.saved(codes[inside], (np.cumsum(folds == f) - 1)[doc[inside]], len(rows))
+        most = train(codes[inside], (np.cumsum(rest) - 1)[doc[inside]], label[rest])
+        rows, inside = np.flatnonzero(part == p), (part == p)[doc]
+        o, s = most.saved(codes[inside], (np.cumsum(part == p) - 1)[doc[inside]], len(rows))
         owner.append(rows[o]), saved.append(s)
     owner, saved = np.concatenate(owner), np.concatenate(saved)
 
@@ -235,30 +280,34 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         for b in batches:
             pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
             b = b.filter(pa.array([p in wanted for p in pairs], pa.bool_()))
-            for lo, to in words.slices(b.column(4)):
+            for lo, to in words.slices(b.column(3)):
                 part = b.slice(lo, to - lo)
-                signature, full = signatures(part.column(4))
-                codes, doc = word_codes(part.column(4))
+                signature, full = signatures(part.column(3))
+                codes, doc = word_codes(part.column(3))
                 at = np.searchsorted(doc, np.arange(to - lo + 1))
                 taken = [excerpt(codes[at[k] : at[k + 1]]) for k in np.flatnonzero(full)]
                 columns = [pa.array([c.tobytes() for c, _ in taken], pa.binary()), pa.array([g for _, g in taken], pa.float64()), pa.array([m.tobytes() for m in signature[full]], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.filter(pa.array(full)).columns[:4], *columns], names=["doc_id", "h", "label", "fold", "codes", "grown", "signature"])
+                yield pa.RecordBatch.from_arrays([*part.filter(pa.array(full)).columns[:3], *columns], names=["doc_id", "h", "label", "codes", "grown", "signature"])
 
-    coded = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "h", "label", "fold", "text")
-    table = coded.mapInArrow(run, "doc_id long, h long, label int, fold int, codes binary, grown double, signature binary").toArrow()
+    coded = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "h", "label", "text")
+    table = coded.mapInArrow(run, "doc_id long, h long, label int, codes binary, grown double, signature binary").toArrow()
     order = np.lexsort((table.column("h").to_numpy(), table.column("doc_id").to_numpy()))
     signature = np.array([np.frombuffer(table.column("signature")[k].as_py(), np.uint32) for k in order.tolist()])
     order = order[distinct_documents(signature)]
     parts = [np.frombuffer(table.column("codes")[k].as_buffer(), np.uint64) for k in order.tolist()]
     codes = np.concatenate([np.zeros(0, np.uint64), *parts])
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    label, folds, grown = (table.column(c).to_numpy()[order] for c in ("label", "fold", "grown"))
+    label, grown = (table.column(c).to_numpy()[order] for c in ("label", "grown"))
     del table, parts
-    return fit(codes, doc, label, folds, grown)
+    return fit(codes, doc, label, grown)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that ``toxicity_scores`` predicts as 0, with all their columns; rows are judged one by one, without a shuffle of texts."""
+    """The rows of docs that ``toxicity_scores`` predicts as 0, with all their columns; rows are judged one by one, without a shuffle of texts.
+
+    Defined cases are those of ``toxicity_scores``: null, empty and wordless texts stay, rows that repeat
+    an id or have none are judged each by its text, and without labels of both kinds all rows stay.
+    """
     model = fit_on(docs, labels, label_col, id_col, text_col)
     if model is None:
         return docs

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, dom, html_extract, packing, pii, quality, token_histogram, toxicity
+from lectern.llm import bpe, dom, html_extract, packing, pii, quality, token_histogram, toxicity, words
 from lectern.llm.byte_tokens import ByteTokens, default_path
 
 AWKWARD = [
@@ -243,16 +243,35 @@ def test_classifiers_on_awkward_rows(spark, scores):
 
 def test_toxic_wording_of_a_rare_language_is_kept():
     rng = np.random.default_rng(1)
-    common, rare = np.arange(1, 11, dtype=np.uint64), np.arange(11, 16, dtype=np.uint64)
+    coded = lambda x: words.mix(x.astype(np.uint64))  # noqa: E731  codes are hashes, as word_codes makes them
+    common, rare = coded(np.arange(1, 11)), coded(np.arange(11, 16))
     codes, doc, label = [], [], []
     for k in range(4000):  # 1000 toxic documents, 12 of them of a language with its own wording
-        own = rng.integers(1000, 3000, 30).astype(np.uint64)
+        own = coded(rng.integers(1000, 3000, 30))
         extra = (rare if k < 12 else common) if k < 1000 else own[:0]
         codes.append(np.concatenate((own, extra))), doc.append(np.full(30 + len(extra), k)), label.append(float(k < 1000))
     model = toxicity.train(np.concatenate(codes), np.concatenate(doc), np.array(label))
     assert all(int(w).to_bytes(8, "little") in model.toxic for w in [*common, *rare])
 
 
+def test_window_savings_equal_plain_compression():
+    rng = np.random.default_rng(4)
+    lexicon = np.array([f"word{k}" for k in range(300)])
+    texts = [" ".join(rng.choice(lexicon, n)) for n in (1, 5, 15, 16, 17, 40, 200)] + ["", None]
+    codes, doc = toxicity.word_codes(pa.array(texts))
+    toxic, fill = np.unique(codes)[:40].tobytes(), np.arange(1, 17, dtype=np.uint64)
+    model = toxicity.ToxicityModel(toxic + b"\1" * 64, b"\1" * 64, fill)
+    expected = []
+    for k in range(len(texts)):
+        own = codes[doc == k].tolist()
+        own += fill[: 16 - len(own)].tolist() if 0 < len(own) < 16 else []
+        for at in range(0, len(own), 16):
+            window = np.array(own[min(at, len(own) - 16) :][:16], np.uint64).tobytes()
+            sizes = [len(toxicity._compressor(d).compress(window)) for d in (model.ordinary, model.toxic)]
+            expected.append((k, sizes[0] - sizes[1]))
+    assert list(zip(*(x.tolist() for x in model.savings(pa.array(texts))))) == expected and any(s > 0 for _, s in expected)
+
+
 def test_a_long_document_does_not_end_the_toxicity_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FIT_BYTES", 400_000)
     docs, labels, truth = labelled_docs(spark)
