@@ -28,39 +28,61 @@ class Boosted:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 32, penalty: float = 1.0) -> Boosted:
-    """Fit by histograms of gradients; every tree is complete, a node that gains nothing sends all rows left."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 32, penalty: float = 1.0, share: float = 0.5, seed: int = 0) -> Boosted:
+    """Fit by histograms of gradients, each tree on a random share of the rows; every tree is complete, a node that gains nothing sends all rows left.
+
+    Features of two values, most of them flags, are summed for all nodes at once by a matrix product.
+    """
     n, d = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
-    coded = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
+    flag = np.array([len(v) == 2 for v in (np.unique(x[:, j]) for j in range(d))])
+    edges = [np.array([x[:, j].min()]) if flag[j] else e for j, e in enumerate(edges)]
+    coded = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1).astype(np.int32)
+    flags, others = np.flatnonzero(flag), [j for j in np.flatnonzero(~flag) if len(edges[j])]
+    raised = coded[:, flags].astype(np.float32)
     inner, total = (1 << depth) - 1, (1 << depth + 1) - 1
     rate0 = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Boosted(float(np.log(rate0 / (1 - rate0))), np.zeros((trees, total), np.int64), np.full((trees, total), np.inf), np.zeros((trees, total)), depth)
     margin = np.full(n, model.base)
+    rng = np.random.default_rng(seed)
+
+    def gains(gs: np.ndarray, hs: np.ndarray, gt: np.ndarray, ht: np.ndarray) -> np.ndarray:
+        gain = gs**2 / (hs + penalty) + (gt - gs) ** 2 / (ht - hs + penalty) - gt**2 / (ht + penalty)
+        return np.where((hs < 2) | (ht - hs < 2), 0, gain)
+
     for k in range(trees):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
-        at = np.zeros(n, np.int64)
+        rows = np.sort(rng.choice(n, int(np.ceil(n * share)), replace=False))
+        p = 1 / (1 + np.exp(-margin[rows]))
+        g, h = y[rows] - p, np.maximum(p * (1 - p), 1e-6)
+        at = np.zeros(len(rows), np.int64)
+        code, up = coded[rows], raised[rows]
         for level in range(depth):
             lo, width = (1 << level) - 1, 1 << level
-            best = np.full(width, 1e-3)
-            for j in range(d):
-                key = (at - lo) * bins + coded[:, j]
+            node = at - lo
+            gt, ht = np.bincount(node, g, width)[:, None], np.bincount(node, h, width)[:, None]
+            best, feature, cut = np.full(width, 1e-3), np.zeros(width, np.int64), np.full(width, np.inf)
+            if len(flags):
+                mine = (node[None, :] == np.arange(width)[:, None]).astype(np.float32)
+                gain = gains(gt - (mine * g.astype(np.float32)) @ up, ht - (mine * h.astype(np.float32)) @ up, gt, ht)
+                j = gain.argmax(axis=1)
+                top = gain[np.arange(width), j]
+                on = top > best
+                best[on], feature[on], cut[on] = top[on], flags[j[on]], [edges[flags[q]][0] for q in j[on]]
+            for j in others:
+                key = node * bins + code[:, j]
                 gs = np.bincount(key, g, width * bins).reshape(width, bins).cumsum(axis=1)
                 hs = np.bincount(key, h, width * bins).reshape(width, bins).cumsum(axis=1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + penalty) + (gt - gs) ** 2 / (ht - hs + penalty) - gt**2 / (ht + penalty)
-                gain[(hs < 2) | (ht - hs < 2)] = 0
-                gain = gain[:, : len(edges[j])]
-                if gain.shape[1]:
-                    cut = gain.argmax(axis=1)
-                    top = gain[np.arange(width), cut]
-                    for w in np.flatnonzero(top > best):
-                        best[w] = top[w]
-                        model.feature[k, lo + w], model.threshold[k, lo + w] = j, edges[j][cut[w]]
-            at = 2 * at + 1 + (x[np.arange(n), model.feature[k, at]] > model.threshold[k, at])
+                gain = gains(gs, hs, gt, ht)[:, : len(edges[j])]
+                c = gain.argmax(axis=1)
+                top = gain[np.arange(width), c]
+                on = top > best
+                best[on], feature[on], cut[on] = top[on], j, edges[j][c[on]]
+            model.feature[k, lo : lo + width], model.threshold[k, lo : lo + width] = feature, cut
+            at = 2 * at + 1 + (x[rows, feature[node]] > cut[node])
         leaf = at - inner
-        value = rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + penalty)
-        model.value[k, inner:] = value
-        margin += value[leaf]
+        model.value[k, inner:] = rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + penalty)
+        at = np.zeros(n, np.int64)
+        for _ in range(depth):
+            at = 2 * at + 1 + (x[np.arange(n), model.feature[k, at]] > model.threshold[k, at])
+        margin += model.value[k, at]
     return model

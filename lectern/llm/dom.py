@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +24,15 @@ CLOSES = {
 }
 SCOPES = frozenset("html body table ul ol dl td th article section div main aside nav header footer form blockquote figure".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Comments and sections that run to the page's end, where no ">" follows.
+_UNENDED = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z|<(?!)()()()", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAMES = frozenset(("class", "id", "role", "itemprop", "aria-label", "hidden", "style", "aria-hidden", "data-gold"))
+_NAMES = frozenset(("class", "id", "role", "itemprop", "aria-label", "hidden", "style", "aria-hidden"))
+#: The attribute by which composed training pages mark their article; on other pages it is an attribute like any.
+GOLD = "data-gold"
+#: Characters that stand for about three letters each, and marks that end or divide a sentence, in any script.
+_FAR, _WIDE, _STOPS = re.compile("[\u0589-\U0010ffff]"), re.compile("[\u1100-\u11ff\u2e80-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]"), re.compile("[.,\u3002\u3001\uff0c\uff0e\uff01\uff1f\u060c\u061b\u061f\u06d4\u0964\u0589]")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 #: Attribute tokens that describe the role of an element, by group.
@@ -48,6 +55,15 @@ for _k, _names in enumerate(TOKENS.values()):
 HIDDEN = 1 << len(GROUPS)
 KINDS = ("article", "main section", "div center", "p", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl menu", "li dt dd", "table thead tbody tfoot tr td th caption", "nav", "header", "footer", "aside", "form fieldset legend search dialog", "blockquote pre figure figcaption")
 _KIND_OF = {t: k for k, names in enumerate(KINDS) for t in names.split()}
+#: Attribute tokens outside the groups are told apart by so many hashes.
+HASHES = 24
+
+
+def measured(text: str) -> tuple[int, int]:
+    """(length in letters, stops) of a stretch of text."""
+    if text.isascii() or not _FAR.search(text):
+        return len(text), text.count(".") + text.count(",")
+    return len(text) + 2 * len(_WIDE.findall(text)), len(_STOPS.findall(text))
 
 
 @dataclass
@@ -60,6 +76,9 @@ class Blocks:
     depth: list[int] = field(default_factory=list)
     kind: list[int] = field(default_factory=list)
     groups: list[int] = field(default_factory=list)
+    #: groups and kinds of all elements above
+    above: list[int] = field(default_factory=list)
+    kinds_above: list[int] = field(default_factory=list)
     chars: list[int] = field(default_factory=list)
     link_chars: list[int] = field(default_factory=list)
     stops: list[int] = field(default_factory=list)
@@ -71,32 +90,83 @@ class Blocks:
         self.page.append(page), self.parent.append(parent), self.end.append(0)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.kind.append(_KIND_OF.get(tag, len(KINDS))), self.groups.append(groups)
+        self.above.append(self.above[parent] | self.groups[parent] if parent >= 0 else 0)
+        self.kinds_above.append(self.kinds_above[parent] | 1 << self.kind[parent] if parent >= 0 else 0)
         self.chars.append(0), self.link_chars.append(0), self.stops.append(0), self.gold.append(gold)
         return len(self.page) - 1
 
 
-def _attributes(text: str) -> tuple[int, int]:
-    """(token groups as bits, gold label or -1)."""
+def _attributes(text: str, training: bool) -> tuple[int, int]:
+    """(token groups, then hashes of other tokens, as bits; gold label of a training page or -1)."""
     groups, gold = 0, -1
     for name, a, b, c in _ATTRIBUTE.findall(text):
         name = name.lower()
         if name in _NAMES:
             value = a or b or c
-            if name == "data-gold":
-                gold = int(value)
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "none" in value and "display" in value):
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "none" in value and "display" in value):
                 groups |= HIDDEN
             elif name != "style":
                 for t in _SPLIT.split(value):
                     t = t.lower()
-                    groups |= _GROUP_OF.get(t, 0) or (_GROUP_OF.get(t[:-1], 0) if t.endswith("s") else 0)
+                    known = _GROUP_OF.get(t, 0) or (_GROUP_OF.get(t[:-1], 0) if t.endswith("s") else 0)
+                    groups |= known or (HIDDEN << 1 + zlib.crc32(t.encode()) % HASHES if len(t) > 1 else 0)
+        elif training and name == GOLD:
+            gold = int(a or b or c)
     return groups, gold
 
 
-def add_page(blocks: Blocks, page: int, source: str) -> None:
-    """Parse one page into ``blocks``. Never fails: what is no tag is text, unclosed elements end with their parent."""
-    root = blocks.open(page, -1, "html", 0, 0)
-    stack: list[tuple[str, int]] = [("#root", root)]  # open elements: tag, their block
+class _Stack:
+    """Open elements, with the places of each tag and of those that bound a search, so that no search walks the stack."""
+
+    def __init__(self, root: int):
+        self.items: list[tuple[str, int]] = [("#root", root)]  # tag ("#" before it inside silent elements), its block
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.silents: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, block: int) -> None:
+        k = len(self.items)
+        self.places.setdefault(tag, []).append(k)
+        if tag in BLOCKS:
+            self.blocks.append(k)
+        if tag in SILENT:
+            self.silents.append(k)
+        if tag in SCOPES:
+            self.scopes.append(k)
+        self.items.append((tag, block))
+
+    def pop(self) -> tuple[str, int]:
+        tag, block = self.items.pop()
+        self.places[tag].pop()
+        for kind, places in ((BLOCKS, self.blocks), (SILENT, self.silents), (SCOPES, self.scopes)):
+            if tag in kind:
+                places.pop()
+        return tag, block
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of the tags, 0 where none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def ended_by(self, tag: str) -> int:
+        """Place of the element that an end tag ends, 0 for none: an inline one does not close a block, and none ends an element whose content is no text."""
+        k = self.last(tag, f"#{tag}")
+        bound = max(self.silents[-1] if self.silents else 0, self.blocks[-1] if self.blocks and tag not in BLOCKS else 0)
+        return k if k >= bound else 0
+
+    def closed_by(self, *tags: str) -> int:
+        """Place of the innermost element of the tags that no scope hides, else 0."""
+        k = self.last(*tags)
+        return k if k > (self.scopes[-1] if self.scopes else 0) or k and k == self.scopes[-1] else 0
+
+
+def add_page(blocks: Blocks, page: int, source: str, training: bool = False, gold: int = 0) -> None:
+    """Parse one page into ``blocks``; ``training`` reads the marks of composed pages, ``gold`` is the mark of text outside all elements.
+
+    Never fails: what is no tag is text, unclosed elements end with their parent.
+    """
+    root = blocks.open(page, -1, "html", 0, gold)
+    stack = _Stack(root)
     current, silent, links = root, 0, 0
     run: list[str] = []
     runs: list[tuple[int, str]] = []
@@ -107,12 +177,13 @@ def add_page(blocks: Blocks, page: int, source: str) -> None:
             run.clear()
             if text:
                 runs.append((current, text))
-                blocks.chars[current] += len(text)
-                blocks.stops[current] += text.count(".") + text.count(",") + text.count("。")
+                length, stops = measured(text)
+                blocks.chars[current] += length
+                blocks.stops[current] += stops
 
     def close_to(depth: int) -> None:
         nonlocal current, silent, links
-        while len(stack) > depth:
+        while len(stack.items) > depth:
             tag, block = stack.pop()
             if tag in SILENT:
                 silent -= 1
@@ -121,9 +192,9 @@ def add_page(blocks: Blocks, page: int, source: str) -> None:
             if tag in BLOCKS:
                 flush()
                 blocks.end[block] = len(blocks.page)
-                current = stack[-1][1]
+                current = stack.items[-1][1]
 
-    at, size = 0, len(source)
+    at, size, last_end = 0, len(source), source.rfind(">")
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
@@ -134,10 +205,10 @@ def add_page(blocks: Blocks, page: int, source: str) -> None:
                 text = html_module.unescape(text) if "&" in text else text
                 run.append(text)
                 if links:
-                    blocks.link_chars[current] += len(text.strip())
+                    blocks.link_chars[current] += measured(text.strip())[0]
             at = lt
             continue
-        m = _TOKEN.match(source, at) or _LOOSE.match(source, at)
+        m = _TOKEN.match(source, at) or _LOOSE.match(source, at) if at < last_end else _UNENDED.match(source, at)
         if m is None:
             if not silent:
                 run.append("<")
@@ -151,42 +222,31 @@ def add_page(blocks: Blocks, page: int, source: str) -> None:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0].lstrip("#") == tag:
-                    close_to(k)
-                    break
-                if stack[k][0] in SILENT or tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break  # an inline end tag does not close a block, and none ends an element whose content is no text
+            k = stack.ended_by(tag)
+            if k:
+                close_to(k)
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr", "img", "input"):
                 run.append(" " if tag != "wbr" else "")
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and stack.last(tag):
             continue
         if tag in BLOCKS:
-            if not tag.startswith("body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close_to(k)
-                        break
-                    if stack[k][0] in SCOPES:
-                        break
+            if tag != "body" and (k := stack.closed_by("p")):
+                close_to(k)
             if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        close_to(k)
-                        if tag not in ("tr", "tbody", "thead", "tfoot"):
-                            break
-                    elif stack[k][0] in SCOPES:
+                while k := stack.closed_by(*CLOSES[tag]):
+                    close_to(k)
+                    if tag not in ("tr", "tbody", "thead", "tfoot"):
                         break
             flush()
             if not silent:
-                groups, gold = _attributes(m[3]) if m[3] else (0, -1)
+                groups, gold = _attributes(m[3], training) if m[3] else (0, -1)
                 current = blocks.open(page, current, tag, groups, gold if gold >= 0 else blocks.gold[current])
-                stack.append((tag, current))
+                stack.push(tag, current)
             else:
-                stack.append((f"#{tag}", current))
+                stack.push(f"#{tag}", current)
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(source, at)
@@ -200,26 +260,18 @@ def add_page(blocks: Blocks, page: int, source: str) -> None:
             links += 1
         elif tag in SILENT:
             silent += 1
-        stack.append((tag, current))
+        stack.push(tag, current)
     close_to(1)
     flush()
     blocks.end[root] = len(blocks.page)
     blocks.runs.append(runs)
 
 
-def _inherited(parent: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Bitwise or of all ancestors' values, by levels of the parent chain."""
-    out, up = np.zeros_like(own), parent.copy()
-    while (up >= 0).any():
-        has = up >= 0
-        out[has] |= own[up[has]]
-        up[has] = parent[up[has]]
-    return out
-
-
 def features(blocks: Blocks) -> np.ndarray:
     """(elements, features) float64: kind, attribute tokens here and above, text and link density, depth, place, siblings."""
-    page, parent, end, depth, kind, groups, chars, links, stops = (np.array(v, np.int64) for v in (blocks.page, blocks.parent, blocks.end, blocks.depth, blocks.kind, blocks.groups, blocks.chars, blocks.link_chars, blocks.stops))
+    page, parent, end, depth, kind, groups, above, kinds_above, chars, links, stops = (
+        np.array(v, np.int64) for v in (blocks.page, blocks.parent, blocks.end, blocks.depth, blocks.kind, blocks.groups, blocks.above, blocks.kinds_above, blocks.chars, blocks.link_chars, blocks.stops)
+    )
     n = len(page)
     index = np.arange(n)
     end = np.maximum(end, index + 1)
@@ -247,11 +299,9 @@ def features(blocks: Blocks) -> np.ndarray:
     previous, following = np.zeros(n), np.zeros(n)
     previous[order[1:]] = np.where(first[1:], 0, np.log1p(text[order[:-1]]) * (1 - density[order[:-1]]))
     following[order[:-1]] = np.where(first[1:], 0, np.log1p(text[order[1:]]) * (1 - density[order[1:]]))
-    kinds = 1 << kind
-    above, kinds_above = _inherited(parent, groups), _inherited(parent, kinds)
     up = np.maximum(parent, 0)
     columns = [(kind == k).astype(float) for k in range(len(KINDS))]
-    columns += [(groups >> k & 1).astype(float) for k in range(len(GROUPS) + 1)]
+    columns += [(groups >> k & 1).astype(float) for k in range(len(GROUPS) + 1 + HASHES)]
     columns += [(above >> k & 1).astype(float) for k in range(len(GROUPS) + 1)]
     columns += [(kinds_above >> k & 1).astype(float) for k in (0, 1, 6, 8, 9, 10, 11, 12)]
     columns += [

@@ -7,6 +7,7 @@ and without telling element names and class names, whose elements know whether t
 from __future__ import annotations
 
 import functools
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +19,22 @@ from lectern.llm import dom, words
 from lectern.llm.boosting import Boosted, boost
 
 #: Composed pages to train on, their seed, and elements that are scored together.
-TRAINING_PAGES, SEED, BATCH = 600, 31, 40_000
+TRAINING_PAGES, SEED, BATCH = 1200, 31, 40_000
 
 
 class _Composer:
     """Composes one page from random parts; data-gold marks what is the article (1) and what is not (0)."""
 
-    def __init__(self, rng: np.random.Generator):
+    def __init__(self, rng: random.Random):
         self.rng = rng
-        syllables = ["".join(rng.choice(list("bcdfghklmnprstvwz")) + rng.choice(list("aeiou")) for _ in range(rng.integers(1, 3))) for _ in range(60)]
-        self.lexicon = np.array(["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(300)])
+        self.script = rng.choices(["latin", "spaced", "dense"], [0.64, 0.18, 0.18])[0]
+        if self.script == "latin":
+            syllables = ["".join(rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randrange(1, 3))) for _ in range(60)]
+            self.lexicon = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(300)]
+        else:  # alphabets beyond ASCII, and scripts without blanks between words
+            alphabets, longest = (((0x430, 32), (0x3B1, 24), (0x627, 36), (0x905, 52), (0x5D0, 26)), 10) if self.script == "spaced" else (((0x4E00, 3000), (0x3042, 80), (0xAC00, 3000)), 3)
+            first, n = rng.choice(alphabets)
+            self.lexicon = ["".join(chr(first + rng.randrange(n)) for _ in range(rng.randrange(2 if longest > 3 else 1, longest + 1))) for _ in range(300)]
         self.named = rng.random() < 0.75
         self.semantic = rng.random() < 0.65
 
@@ -35,16 +42,16 @@ class _Composer:
         return self.rng.random() < p
 
     def words(self, lo: int, hi: int) -> str:
-        w = self.lexicon[self.rng.integers(0, len(self.lexicon), self.rng.integers(lo, hi + 1))].tolist()
-        for k in range(6, len(w), int(self.rng.integers(5, 14))):
-            w[k] += self.rng.choice([".", ",", ",", "."])
-        return " ".join(w).capitalize()
+        w = self.rng.choices(self.lexicon, k=self.rng.randrange(lo, hi + 1))
+        for k in range(6, len(w), self.rng.randrange(5, 14)):
+            w[k] += self.rng.choice(["\u3002", "\u3001", "\u3001", "\u3002"] if self.script == "dense" else [".", ",", ",", "."])
+        return "".join(w) if self.script == "dense" else " ".join(w).capitalize()
 
     def sentence(self, lo: int = 4, hi: int = 18) -> str:
-        return self.words(lo, hi) + "."
+        return self.words(lo, hi) + ("\u3002" if self.script == "dense" else ".")
 
     def paragraph(self, lo: int = 5, hi: int = 140) -> str:
-        text = self.words(lo, hi) + "."
+        text = self.sentence(lo, hi)
         if self.chance(0.2):
             text += f' <a href="/{self.words(1, 1)}">{self.words(1, 4)}</a> {self.words(2, 9)}.'
         if self.chance(0.1):
@@ -55,13 +62,13 @@ class _Composer:
         """A class or id attribute: one of the choices, or an opaque one."""
         if self.named and self.chance(0.9):
             return f' {self.rng.choice(["class", "class", "id"])}="{self.rng.choice(choices)}"'
-        return f' class="c{self.rng.integers(1000)}"' if self.chance(0.5) else ""
+        return f' class="c{self.rng.randrange(1000)}"' if self.chance(0.5) else ""
 
     def tag(self, semantic: str, plain: str = "div") -> str:
         return semantic if self.semantic and self.chance(0.85) else plain
 
     def links(self, lo: int, hi: int) -> str:
-        n, style = self.rng.integers(lo, hi + 1), self.rng.integers(3)
+        n, style = self.rng.randrange(lo, hi + 1), self.rng.randrange(3)
         items = [f'<a href="/{k}">{self.words(1, 4 if self.chance(0.6) else 9)}</a>' for k in range(n)]
         return ["<ul>" + "".join(f"<li>{a}</li>" for a in items) + "</ul>", " | ".join(items), "".join(f"<div>{a}</div>" for a in items)][style]
 
@@ -69,7 +76,7 @@ class _Composer:
         return f'<{tag}{attributes} data-gold="{gold}">{inner}</{tag}>'
 
     def menu(self) -> str:
-        return self.wrap(self.tag("nav"), self.name("nav", "menu", "main-menu", "navbar", "topnav", "breadcrumb"), self.links(2, 12))
+        return self.wrap(self.tag("nav"), self.name("drawer", "hamburger", "nav", "menu", "main-menu", "navbar", "topnav", "breadcrumb"), self.links(2, 12))
 
     def header(self) -> str:
         inner = f'<a href="/">{self.words(1, 3)}</a>' + (f"<p>{self.words(3, 9)}</p>" if self.chance(0.5) else f"<h1>{self.words(1, 3)}</h1>" if self.chance(0.3) else "")
@@ -77,11 +84,11 @@ class _Composer:
 
     def footer(self) -> str:
         inner = "&copy; 2020 " + self.words(1, 4) + (f" &middot; {self.sentence()}" if self.chance(0.5) else "") + (f"<p>{self.paragraph(5, 40)}</p>" if self.chance(0.4) else "") + (self.links(2, 9) if self.chance(0.5) else "")
-        return self.wrap(self.tag("footer"), self.name("footer", "site-footer", "copyright", "bottom"), inner)
+        return self.wrap(self.tag("footer"), self.name("colophon", "footer", "site-footer", "copyright", "bottom"), inner)
 
     def advert(self) -> str:
         inner = self.sentence(2, 20) if self.chance(0.6) else f"<p>{self.sentence(3, 25)}</p>" + (f'<a href="/x">{self.words(1, 3)}</a>' if self.chance(0.5) else "")
-        return self.wrap(self.tag("aside") if self.chance(0.2) else "div", self.name("ad", "ads", "advert", "banner-ad", "sponsored", "promo", "ad-slot"), inner)
+        return self.wrap(self.tag("aside") if self.chance(0.2) else "div", self.name("skyscraper", "leaderboard", "mpu", "ad", "ads", "advert", "banner-ad", "sponsored", "promo", "ad-slot"), inner)
 
     def notice(self) -> str:
         inner = f"<p>{self.sentence(5, 40)}</p>" + (f"<button>{self.words(1, 2)}</button>" if self.chance(0.6) else "") + (f'<a href="/p">{self.words(1, 3)}</a>' if self.chance(0.5) else "")
@@ -90,20 +97,20 @@ class _Composer:
 
     def form(self) -> str:
         inner = f"<label>{self.words(1, 5)}</label><input type=text><button>{self.words(1, 2)}</button>" + (f"<p>{self.sentence(3, 20)}</p>" if self.chance(0.5) else "") + (f"<h3>{self.words(1, 4)}</h3>" if self.chance(0.3) else "")
-        return self.wrap("form", self.name("newsletter", "subscribe", "search-form", "login", "signup"), inner)
+        return self.wrap("form", self.name("mailing", "paywall", "newsletter", "subscribe", "search-form", "login", "signup"), inner)
 
     def sidebar(self) -> str:
         parts = []
-        for _ in range(self.rng.integers(1, 5)):
-            kind = self.rng.integers(4)
-            body = self.links(3, 8) if kind < 2 else f"<p>{self.paragraph(5, 50)}</p>" if kind == 2 else "".join(f"<div><h4><a href='/{k}'>{self.words(2, 8)}</a></h4><p>{self.sentence(4, 22)}</p></div>" for k in range(self.rng.integers(2, 5)))
+        for _ in range(self.rng.randrange(1, 5)):
+            kind = self.rng.randrange(4)
+            body = self.links(3, 8) if kind < 2 else f"<p>{self.paragraph(5, 50)}</p>" if kind == 2 else "".join(f"<div><h4><a href='/{k}'>{self.words(2, 8)}</a></h4><p>{self.sentence(4, 22)}</p></div>" for k in range(self.rng.randrange(2, 5)))
             parts.append(f"<div{self.name('widget', 'box', 'related', 'popular-posts')}><h3>{self.words(1, 4)}</h3>{body}</div>")
         return self.wrap(self.tag("aside"), self.name("sidebar", "side", "widget-area", "related-posts", "rail"), "".join(parts))
 
     def comments(self) -> str:
         one = lambda: f"<{item}{cls}><b>{self.words(1, 2)}</b> {'<span>' + self.words(2, 4) + '</span>' if self.chance(0.5) else ''}<p>{self.paragraph(3, 60)}</p>" + (f'<a href="#r">{self.words(1, 1)}</a>' if self.chance(0.5) else "") + f"</{item}>"
-        item, cls = ("li" if self.chance(0.5) else "div"), self.name("comment", "reply", "comment-body")
-        body = "".join(one() for _ in range(self.rng.integers(1, 8)))
+        item, cls = ("li" if self.chance(0.5) else "div"), self.name("shoutbox", "comment", "reply", "comment-body")
+        body = "".join(one() for _ in range(self.rng.randrange(1, 8)))
         body = f"<ol>{body}</ol>" if item == "li" else body
         return self.wrap(self.tag("section"), self.name("comments", "comment-list", "disqus_thread", "responses", "discussion"), f"<h2>{self.words(1, 4)}</h2>{body}" + (self.form() if self.chance(0.5) else ""))
 
@@ -120,7 +127,7 @@ class _Composer:
             out.append(self.share())
         loose, broken = self.chance(0.12), self.chance(0.3)
         tiny = self.chance(0.2)
-        n = self.rng.integers(1, 4) if tiny or self.chance(0.25) else self.rng.integers(3, 16)
+        n = self.rng.randrange(1, 4) if tiny or self.chance(0.25) else self.rng.randrange(3, 16)
         for _ in range(n):
             kind = self.rng.random()
             if kind < 0.78:
@@ -132,9 +139,9 @@ class _Composer:
                 else:
                     out.append(f"<p{gold}>{text}</p>")
             elif kind < 0.84:
-                out.append(f"<h{self.rng.integers(2, 5)}{gold}>{self.words(1, 8)}</h2>")
+                out.append(f"<h{self.rng.randrange(2, 5)}{gold}>{self.words(1, 8)}</h2>")
             elif kind < 0.89:
-                out.append(f"<ul{gold}>" + "".join(f"<li>{self.sentence(2, 22)}</li>" for _ in range(self.rng.integers(2, 6))) + "</ul>")
+                out.append(f"<ul{gold}>" + "".join(f"<li>{self.sentence(2, 22)}</li>" for _ in range(self.rng.randrange(2, 6))) + "</ul>")
             elif kind < 0.92:
                 out.append(f"<blockquote{gold}><p>{self.paragraph(5, 50)}</p></blockquote>")
             elif kind < 0.94:
@@ -149,7 +156,24 @@ class _Composer:
             body = f"<div{self.name('content', 'entry-content', 'post-body', 'article-body', 'text')}{gold}>{body}</div>"
         return f"<{self.tag('article')}{self.name('article', 'post', 'entry', 'story', 'main-content', 'content')}{gold}>{body}</" + "div></article>"
 
+    def bare(self) -> str:
+        """An article alone or nearly so: paragraphs right in the body or in plain wrappers, a single one, or text without any element."""
+        gold = ' data-gold="1"'
+        if self.chance(0.1):
+            return "<br>".join(self.paragraph(10, 140) for _ in range(self.rng.randrange(1, 4)))
+        tag = "p" if self.chance(0.7) else "div"
+        n = 1 if self.chance(0.5) else self.rng.randrange(2, 9)
+        body = f"<{tag}{gold}>{self.paragraph(12, 140)}</{tag}>" + "".join(f"<{tag}{gold}>{self.paragraph(4, 120)}</{tag}>" for _ in range(n - 1))
+        title = f"<h1{gold}>{self.words(2, 10)}</h1>" if self.chance(0.4) else ""
+        for _ in range(self.rng.randrange(0, 3)):
+            body = f"<{self.tag('article')}{gold}>{body}</div></article>"
+        if self.chance(0.35):
+            return title + body
+        return f"<html><body>{self.menu() if self.chance(0.4) else ''}{title}{body}{self.footer() if self.chance(0.4) else ''}"
+
     def page(self) -> str:
+        if self.chance(0.2):
+            return self.bare()
         some = lambda *parts: "".join(f() for f, p in parts if self.chance(p))
         above = some((self.notice, 0.25), (self.header, 0.6), (self.menu, 0.7), (self.advert, 0.4), (self.form, 0.1), (self.sidebar, 0.15))
         below = some((self.share, 0.2), (self.comments, 0.4), (self.sidebar, 0.4), (self.advert, 0.25), (self.form, 0.2), (self.footer, 0.85), (self.notice, 0.15))
@@ -161,10 +185,11 @@ class _Composer:
 
 def training_set(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the elements with text of composed pages; an element is main when it stands in the article and is not cut from it."""
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     blocks = dom.Blocks()
     for k in range(pages):
-        dom.add_page(blocks, k, _Composer(rng).page())
+        page = _Composer(rng).page()
+        dom.add_page(blocks, k, page, training=True, gold=int("<" not in page.replace("<br>", "").replace("<a ", "").replace("</a>", "").replace("<em>", "").replace("</em>", "")))
     total = np.concatenate(([0], np.cumsum(blocks.chars)))
     index = np.arange(len(blocks.chars))
     some = total[np.maximum(np.array(blocks.end), index + 1)] > total[index]
@@ -173,7 +198,7 @@ def training_set(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[np.ndar
 
 @functools.cache
 def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Boosted:
-    return boost(*training_set(pages, seed), trees=60)
+    return boost(*training_set(pages, seed), trees=80)
 
 
 def main_texts(sources: list[str | None], model: Boosted) -> list[str]:

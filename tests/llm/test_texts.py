@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -179,6 +180,41 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+SAMPLES = {
+    "en": "This is the first paragraph of an English article, which talks about the weather. Then another sentence follows, and one more. " * 3,
+    "ru": "Это первый абзац русской статьи, в котором идёт речь о погоде. Затем следует ещё одно предложение, и ещё одно. " * 3,
+    "ja": "これは日本語の記事の最初の段落です。ここでは、いくつかの文が続きます。そして、段落は十分に長いので、本文として認識されるべきです。" * 3,
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SAMPLES))
+def test_articles_of_any_script_and_wrapping(lang):
+    one, two = SAMPLES[lang].strip(), SAMPLES[lang][:200].strip()
+    around = "<nav><a href=/>x</a> <a href=/y>yy</a></nav>", "<footer>(c) 2020 <a href=/t>t</a></footer>"
+    pages = {
+        f"<html><body><div>{one}</div><div>{two}</div></body></html>": f"{one}\n{two}",
+        f"<html><body><article><div>{one}</div><div>{two}</div></article></body></html>": f"{one}\n{two}",
+        f"<body>{around[0]}<div><div><p>{one}</p><p>{two}</p></div></div>{around[1]}": f"{one}\n{two}",
+        f"<p>{one}</p>": one,
+        one: one,
+    }
+    assert html_extract.main_texts(list(pages), html_extract.trained()) == list(pages.values())
+
+
+def test_marks_of_training_pages_mean_nothing_elsewhere():
+    plain = PAGE.replace("<p>", "<p class='a'>")
+    for mark in ("data-gold", "data-gold='abc'", "data-gold=1", "data-gold=0"):
+        assert html_extract.main_texts([plain.replace("<p class='a'>", f"<p class='a' {mark}>")], html_extract.trained()) == html_extract.main_texts([plain], html_extract.trained())
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<b><div>x</div>" * 6000, '<a "' * 8000, "<b><p>x" * 6000, "<ul><li>" + "<b>" * 5000 + "<li>x" * 5000, "<i><div>" + "<b>" * 5000 + "</i>" * 5000, "<" * 200_000, "<!--" * 50_000])
+def test_parsing_is_linear_in_awkward_pages(page):
+    model = html_extract.trained()
+    began = time.process_time()
+    html_extract.main_texts([page], model)
+    assert time.process_time() - began < 5
+
+
 def test_decoding_is_consistent():
     blocks = dom.Blocks()
     dom.add_page(blocks, 0, PAGE)
