@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ _NONE = 1 << 40
 #: Outside these characters the standard module's classes differ from the pattern's.
 _OTHER = re.compile("[^\\t-\\r -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]")
 _FINAL = np.uint64(0xA5A5_5A5A_1234_9876)
-#: Longer words are merged one by one.
+#: Longer words are proposed and verified one by one instead of in rows.
 LONGEST = 48
 
 
@@ -110,6 +111,9 @@ class WordBpe:
         self.texts: dict[str | int, str] = {}
         self.older: tuple[dict, dict] = ({}, {})
         self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        #: (bytes, whether they end a word) -> id, and the longest token by its first three bytes; made for the first long word
+        self.by_spelling: dict[tuple[bytes, bool], int] = {}
+        self.longest: dict[bytes, int] = {}
         self.merged = 0
 
     def symbols(self, word: bytes) -> list[int]:
@@ -118,21 +122,44 @@ class WordBpe:
         return [i for i in out if i >= 0]
 
     def merge(self, parts: list[int]) -> list[int]:
-        """Exact BPE of one word: the pair of lowest rank first, leftmost of equals, until no pair merges."""
-        get = self.rank.get
-        ranks = [get(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == _NONE:
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [best & 0xFFFFF]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = get(parts[at - 1] << 20 | parts[at], _NONE)
-            if at < len(ranks):
-                ranks[at] = get(parts[at] << 20 | parts[at + 1], _NONE)
-        return parts
+        """Exact BPE of one word: the pair of lowest rank first, leftmost of equals, until no pair merges; a heap keeps it near linear."""
+        get, n = self.rank.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r >> 20 << 32 | k for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := get(a << 20 | b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, k = divmod(heappop(heap), 1 << 32)
+            j = after[k]
+            if parts[k] < 0 or j >= n or (r := get(parts[k] << 20 | parts[j], -1)) >> 20 != rank:
+                continue  # one of the two has merged meanwhile
+            parts[k], parts[j] = r & 0xFFFFF, -1
+            after[k] = right = after[j]
+            if right < n:
+                before[right] = k
+                if (q := get(parts[k] << 20 | parts[right])) is not None:
+                    heappush(heap, q >> 20 << 32 | k)
+            left = before[k]
+            if left >= 0 and (q := get(parts[left] << 20 | parts[k])) is not None:
+                heappush(heap, q >> 20 << 32 | left)
+        return [x for x in parts if x >= 0]
+
+    def propose(self, raw: bytes) -> list[int] | None:
+        """Greedy longest match of one word; None where a byte is not matched."""
+        if not self.by_spelling:
+            self.by_spelling = {s: i for i, s in self.spelling.items()}
+            for s, _ in self.spelling.values():
+                self.longest[s[:3]] = max(self.longest.get(s[:3], 0), len(s))
+        get, longest, out, at, n = self.by_spelling.get, self.longest.get, [], 0, len(raw)
+        while at < n:
+            for to in range(min(n, at + longest(raw[at : at + 3], 2)), at, -1):
+                i = get((raw[at:to], to == n))
+                if i is not None:
+                    break
+            else:
+                return None
+            out.append(i)
+            at = to
+        return out
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         found = self.rank_table.get((left.astype(np.uint64) << np.uint64(20)) | right.astype(np.uint64))
@@ -236,7 +263,11 @@ class WordBpe:
         raw = [w.encode() for w in new]
         size = np.array([len(r) for r in raw])
         for k in np.flatnonzero(size > LONGEST).tolist():
-            self._remember(new[k], self.merge(self.symbols(raw[k])))
+            ids = self.propose(raw[k])
+            if ids is None or not self._compatible(np.array([ids], np.int64))[0]:
+                self.merged += 1
+                ids = self.merge(self.symbols(raw[k]))
+            self._remember(new[k], ids)
         order = np.argsort(size, kind="stable")
         order = order[size[order] <= LONGEST]
         for lo in range(0, len(order), 8192):
@@ -345,7 +376,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's encoding."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's encoding, one row per row of docs.
+
+    Defined cases are those of ``encode``: a null or blank text has 0 tokens and the digests of nothing;
+    repeated and null ids give a row each; an empty table gives an empty result; other columns do not matter.
+    """
     return encode(docs, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

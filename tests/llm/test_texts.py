@@ -59,6 +59,18 @@ def test_word_bpe_verifies_and_merges():
     assert 0 < model.merged < 12 and len(model.pair_keys) > 0
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "etaoinshr", "日本語の記事は長い", "абвгдеж"])
+def test_long_words_are_proposed_verified_and_merged(alphabet):
+    model, t = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    rng = np.random.default_rng(3)
+    for n in (bpe.LONGEST + 1, 200, 3000, 60_000):
+        word = "".join(rng.choice(list(alphabet), n))
+        assert np.frombuffer(model.encode_batch([word])[0][0], "<u4").tolist() == t.encode(word, add_special_tokens=False).ids
+    before = model.merged
+    repeated = "information" * 200
+    assert np.frombuffer(model.encode_batch([repeated])[0][0], "<u4").tolist() == t.encode(repeated, add_special_tokens=False).ids and model.merged <= before + 1
+
+
 def test_byte_tokens_equal_the_library():
     t = library("byte_bpe_50k.json")
     texts = [x or "" for x in AWKWARD]
