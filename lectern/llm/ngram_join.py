@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import words
+from lectern.llm.id_filter import FILTER_BITS, bitmap, flagged
 from lectern.operators.graph import connected_components
 from lectern.storage import materialize
 
@@ -32,8 +33,6 @@ _B = _rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
 _C = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Pairs are compared in tiles of this many rows a side; a block holds at most this many documents and shingles.
 TILE, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4096, 2_000_000
-#: Size of the filter that spares texts without candidates the shuffle: 8 MB for any input.
-FILTER_BITS = 1 << 26
 SEEDS = (0x51ED270B7A1F3C29, 0x2545F4914F6CDD1D)
 
 
@@ -102,20 +101,6 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return rows.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
 
 
-def _bits(ids: DataFrame, col: str) -> DataFrame:
-    """(bucket, bits): FILTER_BITS flags of hashed ids, in at most FILTER_BITS / 32768 rows of 4 KB."""
-    h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
-    return ids.select(h.alias("h")).groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits"))
-
-
-def _id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
-    """The flags of ``_bits`` as bytes: a filter of fixed size whose false positives a join removes later."""
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in _bits(ids, col).collect():
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 def _shingle_rows(docs: DataFrame, members: np.ndarray, width: int) -> DataFrame:
     """(rep, fp1, shingles as bytes) of the documents whose id may be one of ``members``; the other texts go no further."""
     bits = docs.sparkSession.sparkContext.broadcast(members)
@@ -280,7 +265,7 @@ def near_duplicates(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    rows = _shingle_rows(texts, _id_bitmap(clusters, "rep"), width).join(clusters.select("rep", "fp1", "component", "n_docs"), ["rep", "fp1"]).join(blocks, "component")
+    rows = _shingle_rows(texts, bitmap(clusters, "rep"), width).join(clusters.select("rep", "fp1", "component", "n_docs"), ["rep", "fp1"]).join(blocks, "component")
     rows = rows.withColumnRenamed("component", "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = rows.select("cluster", "rep", "n_docs", "shingles", "block", other)
@@ -314,14 +299,9 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     fixed size, are not moved; only the others meet the list of those ids in a join.
     """
     found = materialize(near_duplicates(docs, id_col, text_col, threshold, width).where("not kept or n_rows > 1").select("doc_id", "kept"), "dropped")
-    names = dict(zip(("id", "h", "bucket", "bits", "drop"), (f"_near_{x}" for x in ("id", "h", "bucket", "bits", "drop"))))
-    bits = F.broadcast(_bits(found, "doc_id").select(F.col("bucket").alias(names["bucket"]), F.col("bits").alias(names["bits"])))
-    tagged = docs.withColumn(names["id"], F.col(id_col).cast("long"))
-    tagged = tagged.withColumn(names["h"], F.when(F.col(names["id"]).isNotNull(), F.pmod(F.xxhash64(names["id"]), F.lit(FILTER_BITS))))
-    tagged = tagged.join(bits, F.shiftright(names["h"], 15) == F.col(names["bucket"]), "left")
-    flag = F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring({names['bits']}, cast(shiftright({names['h']} & 32767, 3) as int) + 1, 1)), 16, 10) as int), cast({names['h']} & 7 as int)) & 1"), F.lit(0))
-    tagged = tagged.withColumn(names["drop"], flag == 1).drop(names["h"], names["bucket"], names["bits"])
-    sure = tagged.where(~F.col(names["drop"])).select(*docs.columns)
-    listed = found.select(F.col("doc_id").alias(names["id"]), F.col("kept").alias(names["h"]))
-    doubtful = tagged.where(names["drop"]).join(listed, names["id"], "left").where(F.coalesce(names["h"], F.lit(True)))
-    return sure.unionByName(doubtful.dropDuplicates([names["id"]]).select(*docs.columns))
+    key, drop, kept = "_near_id", "_near_drop", "_near_kept"
+    tagged = flagged(docs.withColumn(key, F.col(id_col).cast("long")), F.col(key), found, "doc_id", drop)
+    sure = tagged.where(~F.col(drop)).select(*docs.columns)
+    listed = found.select(F.col("doc_id").alias(key), F.col("kept").alias(kept))
+    doubtful = tagged.where(drop).join(listed, key, "left").where(F.coalesce(kept, F.lit(True)))
+    return sure.unionByName(doubtful.dropDuplicates([key]).select(*docs.columns))

@@ -210,14 +210,22 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base spans by kind, the digest of the base spans, and all spans."""
+    """doc_id, counts of the base spans by kind, the digest of the base spans, and all spans; one row per row of docs.
+
+    Defined cases are those of ``find_spans``: null text has no spans, counts of 0 and the digest of the
+    empty string; repeated and null ids give a row each; an empty table gives an empty result.
+    """
     found = find_spans(docs)
     count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def mask_spans(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with the spans in ``text_col`` masked and ``chars_col``, where present, counted anew; null text stays null."""
+    """docs with the spans in ``text_col`` masked and ``chars_col``, where present, counted anew.
+
+    Defined cases: null text stays null with its count; a text without spans stays as it is; rows are
+    independent, so repeated and null ids do not matter; an empty table gives an empty result; all columns stay.
+    """
     words.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

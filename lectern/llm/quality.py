@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import words
+from lectern.llm.id_filter import flagged
 from lectern.llm.labelled import fold, labelled
 from lectern.storage import materialize
 
@@ -221,9 +222,20 @@ def _fit_on(table: DataFrame, labels: DataFrame, label_col: str) -> QualityModel
     return fit(table.join(labelled(labels, label_col), "doc_id").select("x", "label", "fold"))
 
 
+def _labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs whose id may be a labelled one, by a filter of fixed size; the join of the statistics with the labels leaves out the rest."""
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    return flagged(rows, F.col(id_col), labelled(labels, label_col), "doc_id", "_may_be_labelled").where("_may_be_labelled")
+
+
 def keep_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that ``quality_scores`` predicts as 1, with all their columns; rows are judged one by one, without a shuffle of texts."""
-    model = _fit_on(materialize(_statistics_table(docs, id_col, text_col), "statistics"), labels, label_col)
+    """The rows of docs that ``quality_scores`` predicts as 1, with all their columns; rows are judged one by one, without a shuffle of texts.
+
+    Statistics for the fit are made of the labelled rows only. Defined cases are those of ``quality_scores``:
+    null and empty texts are judged by zeros, rows that repeat an id or have none are judged each by its
+    text, and without any usable label all rows stay.
+    """
+    model = _fit_on(materialize(_statistics_table(_labelled_rows(docs, labels, label_col, id_col, text_col), id_col, text_col), "statistics"), labels, label_col)
     if model is None:
         return docs
 
