@@ -21,30 +21,43 @@ from lectern.llm.vectors import matrix, units, usable
 from lectern.operators.graph import connected_components
 from lectern.storage import materialize
 
-#: Vectors a cell should hold; pivots in all, their bytes and labels that get any, at most (the pivots are sent to
+#: Vectors a cell should hold, at most and (on small tables, 1/64 of the rows) at least; pivots in all, their bytes and labels that get any, at most (the pivots are sent to
 #: every task); a label without pivots is one cell. Blocks bound what one task holds, however large a cell is.
-CELL, MAX_PIVOTS, PIVOT_BYTES, MAX_LABELS, BLOCK = 2048, 8192, 1 << 25, 1024, 4096
+CELL, LEAST_CELL, MAX_PIVOTS, PIVOT_BYTES, MAX_LABELS, BLOCK = 2048, 64, 8192, 1 << 25, 1024, 4096
+
+
+def thinned(x: np.ndarray, distance: float) -> np.ndarray:
+    """Rows of unit vectors, in order, of which none is within ``distance`` of an earlier one taken; by products of blocks."""
+    limit, kept = 1 - distance**2 / 2, np.zeros((0, x.shape[1]))
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        part = part[(part @ kept.T < limit).all(axis=1)] if len(kept) else part
+        near = part @ part.T >= limit
+        take: list[int] = []
+        for k in range(len(part)):
+            if not near[k, take].any():
+                take.append(k)
+        kept = np.concatenate((kept, part[take]))
+    return kept
 
 
 def _pivots(vectors: DataFrame, radius: float) -> dict[tuple[int, int], np.ndarray]:
     """Pivots by (label, components): a hash sample in proportion to each large label, thinned so that no two are within 2 radii, as near copies would all be."""
-    counts = vectors.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * CELL)
-    large = counts.orderBy(F.desc("n"), "label", "size").limit(MAX_LABELS).collect()
+    sizes = vectors.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
+    cell = min(CELL, max(LEAST_CELL, (sizes.agg(F.sum("n")).first()[0] or 0) // 64))
+    large = sizes.where(F.col("n") >= 2 * cell).orderBy(F.desc("n"), "label", "size").limit(MAX_LABELS).collect()
     total = sum(row["n"] for row in large)
     if not large:
         return {}
     most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(row["size"] for row in large))))
-    share = min(1 / CELL, most / total)
+    share = min(1 / cell, most / total)
     wanted = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
     keys = F.broadcast(vectors.sparkSession.createDataFrame([(r["label"], r["size"]) for r in large], "label long, size int"))
     rows = wanted.join(keys, ["label", "size"]).orderBy("rep").limit(2 * most).select("label", "size", "embedding").collect()
-    out: dict[tuple[int, int], list[np.ndarray]] = {}
+    found: dict[tuple[int, int], list[list[float]]] = {}
     for row in rows:
-        x = units(np.array([row["embedding"]], np.float64))[0]
-        have = out.setdefault((row["label"], row["size"]), [])
-        if all(((x - p) ** 2).sum() > (2 * radius) ** 2 for p in have):
-            have.append(x)
-    return {k: np.array(v) for k, v in out.items()}
+        found.setdefault((row["label"], row["size"]), []).append(row["embedding"])
+    return {key: thinned(units(np.array(x, np.float64)), 2 * radius) for key, x in found.items()}
 
 
 def _assign(pivots: dict[tuple[int, int], np.ndarray], radius: float):

@@ -124,6 +124,7 @@ def test_embedding_duplicates_equal_brute_force(spark, monkeypatch, small):
 
     if small:  # several pivots, cells and blocks on a small table
         monkeypatch.setattr(embedding_dedup, "CELL", 8)
+        monkeypatch.setattr(embedding_dedup, "LEAST_CELL", 8)
         monkeypatch.setattr(embedding_dedup, "BLOCK", 5)
     rows, df = vectors_table(spark)
     v = {r[0]: (r[1], r[2]) for r in rows if r[0] is not None}
@@ -162,6 +163,48 @@ def test_search_recall_order_ties_and_short_tables(spark, monkeypatch):
     assert ann.nearest_neighbours(few.limit(0)).count() == 0
 
 
+def test_small_tables_use_cells_and_parts(spark):
+    from lectern.llm import embedding_dedup
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16))
+    df = spark.createDataFrame([(k, v.tolist(), k % 4) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label long")
+    classes = df.selectExpr("label", "size(embedding) AS size", "vec_id AS rep", "1L AS copies", "embedding")
+    assert min(len(p) for p in embedding_dedup._pivots(classes, 0.2).values()) > 2
+    router = ann.fit_router(x / np.sqrt((x * x).sum(1, keepdims=True)), 2000)
+    assert router.w2.shape[1] == 16
+    hits = 0
+    for r in ann.nearest_neighbours(df).collect():
+        u = x / np.sqrt((x * x).sum(1, keepdims=True))
+        order = [c for c in np.argsort(-(u @ u[r["query_id"]])).tolist() if c != r["query_id"]][:5]
+        hits += r["vec_id"] in order
+    assert hits >= 0.9 * 40 * 5
+
+
+def test_thinned_pivots_equal_the_plain_loop():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 3))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    from lectern.llm.embedding_dedup import thinned
+
+    kept = []
+    for v in x:
+        if all(((v - p) ** 2).sum() > 0.09 for p in kept):
+            kept.append(v)
+    assert np.array_equal(thinned(x, 0.3), np.array(kept))
+
+
+def test_the_row_kept_of_a_repeated_id_is_the_one_compared(spark):
+    a, b = "one two three four five six seven eight nine ten", "a b c d e f g h i j k l m n o p"
+    rows = [(1, a, "x"), (2, b, "y"), (2, a, "z"), (3, b, "w")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        kept = sorted(tuple(r) for r in ngram_join.keep_one_of_each_group(df).collect())
+        classes = {r["doc_id"]: r["class_id"] for r in ngram_join.near_duplicates(df).collect()}
+        assert [r[0] for r in kept] == sorted(i for i, c in classes.items() if i == c)
+        assert len({r[1] for r in kept}) == len(kept) == 2
+
+
 def test_balanced_parts_are_balanced():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((512, 6))
