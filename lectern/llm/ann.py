@@ -20,8 +20,9 @@ from lectern.llm.vectors import matrix, units, usable
 from lectern.storage import materialize
 
 #: Rows the index is fitted on, about; rows of it held out to choose the number of probes; neighbours in the graph;
-#: vectors a part should hold; parts at most (a power of 2); recall that the held-out rows must reach.
-FIT_ROWS, HELD_OUT, DEGREE, PART, MAX_PARTS, RECALL = 8192, 1024, 10, 4096, 256, 0.96
+#: vectors a part should hold, at most and (on small tables, 1/16 of the rows) at least; parts at most (a power of 2);
+#: recall that the held-out rows must reach.
+FIT_ROWS, HELD_OUT, DEGREE, PART, LEAST_PART, MAX_PARTS, RECALL = 8192, 1024, 10, 4096, 32, 256, 0.97
 #: Vectors and queries that meet in one task, at most.
 BLOCK, QUERY_BLOCK = 8192, 2048
 
@@ -79,8 +80,8 @@ def balanced_parts(graph: np.ndarray, depth: int, rng: np.random.Generator) -> n
 def fit_router(x: np.ndarray, n_rows: int, k: int = 5, seed: int = 7) -> Router:
     """Fit on unit vectors ``x``, a sample of n_rows."""
     rng = np.random.default_rng(seed)
-    depth = 0
-    while (1 << depth) * PART < n_rows and (1 << depth) < MAX_PARTS and len(x) >= (1 << depth) * 16:
+    depth, size = 0, min(PART, max(LEAST_PART, n_rows // 16))
+    while (1 << depth) * size < n_rows and (1 << depth) < MAX_PARTS and len(x) >= (1 << depth) * 16:
         depth += 1
     parts = 1 << depth
     dims = x.shape[1]
