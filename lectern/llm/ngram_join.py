@@ -79,7 +79,7 @@ def fingerprint(s: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
 
 
 def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp1, fp2, n_shingles, bands): fp1, fp2 and n_shingles name the shingle set."""
+    """(doc_id, text_hash, fp1, fp2, n_shingles, bands): fp1, fp2 and n_shingles name the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,13 +92,14 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 bands = words.mix((sig * _C).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), _signed(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, to - lo), _signed(sums[0]), _signed(sums[1]), pa.array(counts.astype(np.int64)), flat],
-                    names=["doc_id", "fp1", "fp2", "n_shingles", "bands"],
+                    [b.column(0).slice(lo, to - lo), b.column(2).slice(lo, to - lo), _signed(sums[0]), _signed(sums[1]), pa.array(counts.astype(np.int64)), flat],
+                    names=["doc_id", "text_hash", "fp1", "fp2", "n_shingles", "bands"],
                 )
 
     words.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp1 long, fp2 long, n_shingles long, bands array<long>")
 
 
 def _shingle_rows(docs: DataFrame, members: np.ndarray, width: int) -> DataFrame:
@@ -247,11 +248,11 @@ def near_duplicates(
 
     Defined cases: null or wordless text links with nothing; a text of fewer than ``width`` words
     has one shingle, all its words; rows without an id are left out; rows that repeat an id count as
-    one document (the row of least shingle fingerprint); an empty table gives an empty result;
+    one document (the row of least text hash); an empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
     keys = materialize(class_keys(docs, id_col, text_col, width), "shingle-classes")
-    members = keys.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "fp1", "fp2")).alias("k"), F.count(F.lit(1)).alias("n_rows")).select("doc_id", "n_rows", "k.n_shingles", "k.fp1", "k.fp2")
+    members = keys.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n_shingles", "fp1", "fp2")).alias("k"), F.count(F.lit(1)).alias("n_rows")).select("doc_id", "n_rows", "k.n_shingles", "k.fp1", "k.fp2")
     classes = (
         keys.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.first("bands").alias("bands"))
         .join(members.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs")), ["fp1", "fp2", "n_shingles"])
@@ -293,7 +294,7 @@ def near_duplicates(
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """The rows of docs that ``near_duplicates`` keeps, with all their columns; one row of each repeated id.
+    """The rows of docs that ``near_duplicates`` keeps, with all their columns; of rows that repeat an id, the one whose text was compared.
 
     Rows without an id stay. Texts whose id cannot be one of the dropped or repeated ids, by a filter of
     fixed size, are not moved; only the others meet the list of those ids in a join.
@@ -304,4 +305,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sure = tagged.where(~F.col(drop)).select(*docs.columns)
     listed = found.select(F.col("doc_id").alias(key), F.col("kept").alias(kept))
     doubtful = tagged.where(drop).join(listed, key, "left").where(F.coalesce(kept, F.lit(True)))
-    return sure.unionByName(doubtful.dropDuplicates([key]).select(*docs.columns))
+    # of rows that share an id, the one whose text was compared
+    order = F.struct(F.xxhash64(F.col(text_col).cast("string")), F.xxhash64(*docs.columns))
+    one = doubtful.groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("_near_row")).select("_near_row.*")
+    return sure.unionByName(one)
