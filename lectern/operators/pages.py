@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
+import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,81 +52,108 @@ def fingerprint(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("key").agg(F.substring(F.sha2(ordered.cast("binary"), 256), 1, 16).alias("content_hash"), F.count(F.lit(1)).alias("n_chunks"))
 
 
-_PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*")
-_SENTENCE = re.compile(r"[^。！？!?.;；\n]+[。！？!?.;；]?")
+#: Code points of white space, and of marks that end a sentence.
+_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_ENDS = np.array([ord(c) for c in ".!?;\u3002\uff01\uff1f\uff1b"], np.uint32)
 
+Spans = tuple[np.ndarray, np.ndarray]
 
-def whitespace_ends(text: str) -> list[int]:
-    """Ends of white-space separated tokens."""
-    return [m.end() for m in re.finditer(r"\S+", text)]
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def chunk_spans(text: str, max_tokens: int, overlap: float = 0.125, token_ends: Callable[[str], list[int]] = whitespace_ends) -> list[tuple[int, int, int]]:
+
+def whitespace_tokens(text: str) -> Spans:
+    """(starts, ends) of white-space separated tokens, in code points."""
+    inside = np.concatenate(([False], ~np.isin(code_points(text), _SPACES), [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def boundary_ranks(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How good it is to cut before each token and after the last: 2 after a blank line, 1 after a line or sentence, else 0."""
+    points = code_points(text)
+    lines = np.concatenate(([0], np.cumsum(points == 10)))
+    rank = np.zeros(len(starts) + 1, np.int64)
+    if len(starts):
+        between = lines[starts[1:]] - lines[ends[:-1]]
+        rank[1:-1] = np.where(between > 1, 2, (between > 0) | np.isin(points[ends[:-1] - 1], _ENDS))
+        rank[-1] = 2
+    return rank
+
+
+def chunk_spans(text: str, max_tokens: int, overlap: float = 0.125, tokens: Callable[[str], Spans] = whitespace_tokens) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of overlapping chunks of at most ``max_tokens``.
 
-    Units are paragraphs, else their sentences, else runs of tokens, each small enough to leave room
-    for the overlap. Units are joined while they fit; the next chunk begins ``overlap`` of the last one's
-    tokens (at most 15 % of the limit) before its end. ``token_ends`` gives increasing end offsets, so
-    that counting a stretch is a difference of positions.
+    The text is tokenised once. A chunk that cannot hold the rest ends at the best boundary of its later
+    half (the last of equals); the next one begins ``overlap`` of its tokens before that end. Together the
+    chunks hold every token. ``tokens`` gives increasing start and end offsets of the tokens of any text.
     """
     if not 0 < overlap <= 0.2:
         raise ValueError(f"overlap must lie in (0, 0.2]: {overlap}")
     if max_tokens <= 0:
         raise ValueError(f"max_tokens must be positive: {max_tokens}")
-    count = lambda a, b: len(token_ends(text[a:b]))
-    room = max(1, max_tokens - max(1, round(max_tokens * overlap)))
-
-    def back(a: int, b: int, tokens: int) -> int:
-        """Where the last ``tokens`` tokens of a stretch begin, with the space before them."""
-        ends = token_ends(text[a:b])
-        return a if len(ends) <= tokens else a + ends[-tokens - 1]
-
-    units: list[tuple[int, int]] = []
-    for p in _PARAGRAPH.finditer(text):
-        if not p[0].strip():
-            continue
-        if count(*p.span()) <= room:
-            units.append(p.span())
-            continue
-        for s in _SENTENCE.finditer(text, *p.span()):
-            if not s[0].strip():
-                continue
-            at, stop = s.span()
-            ends = token_ends(text[at:stop])
-            while len(ends) > room:
-                cut = at + ends[room - 1]
-                units.append((at, cut))
-                at = max(at + 1, back(at, cut, max(1, round(max_tokens * overlap)))) if room > 1 else cut
-                ends = token_ends(text[at:stop])
-            if ends:
-                units.append((at, stop))
-    out: list[tuple[int, int, int]] = []
-    current: tuple[int, int] | None = None
-    for start, end in units:
-        if current is None:
-            current = (start, end)
-        elif count(current[0], end) <= max_tokens:
-            current = (current[0], end)
-        else:
-            tokens = count(*current)
-            out.append((*current, tokens))
-            begin = back(*current, max(1, min(round(tokens * overlap), round(max_tokens * 0.15))))
-            current = (begin, end) if count(begin, end) <= max_tokens else (start, end)
-    if current is not None:
-        out.append((*current, count(*current)))
+    starts, ends = tokens(text)
+    n, first, out = len(starts), 0, []
+    rank = boundary_ranks(text, starts, ends)
+    while first < n:
+        cut = n
+        if n - first > max_tokens:
+            least = first + max(1, max_tokens // 2)
+            later = rank[least : first + max_tokens + 1]
+            cut = least + len(later) - 1 - int(later[::-1].argmax())
+        out.append((int(starts[first]), int(ends[cut - 1]), cut - first))
+        if cut == n:
+            break
+        first = cut - min(math.floor((cut - first) * overlap + 0.5), cut - first - 1)
     return out
 
 
 def chunk(texts: DataFrame, max_tokens: int = 128, overlap: float = 0.125) -> DataFrame:
-    """(key, idx, text, char_start, char_end, content_hash, tokens) of (key, text); text[char_start:char_end] is the chunk's text."""
+    """(key, idx, text, char_start, char_end, content_hash, tokens) of (key, text); text[char_start:char_end] is the chunk's text.
+
+    A null, empty or blank text has no chunks; rows that repeat a key are chunked each.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, text in zip(b["key"], b["text"]):
-                for idx, (start, end, tokens) in enumerate(chunk_spans(text or "", max_tokens, overlap)):
-                    part = text[start:end]
-                    rows.append((key, idx, part, start, end, hashlib.sha256(part.encode()).hexdigest()[:16], tokens))
-            yield pd.DataFrame(rows, columns=["key", "idx", "text", "char_start", "char_end", "content_hash", "tokens"])
-
-    return texts.select(F.col("key").cast("string"), "text").mapInPandas(run, "key string, idx int, text string, char_start int, char_end int, content_hash string, tokens int")
+            keys, index, start, end, size, parts = [], [], [], [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans = chunk_spans(text or "", max_tokens, overlap)
+                keys += [key] * len(spans)
+                index += range(len(spans))
+                start += [x[0] for x in spans]
+                end += [x[1] for x in spans]
+                size += [x[2] for x in spans]
+                parts += [text[x[0] : x[1]] for x in spans]
+            ints = lambda v: pa.array(v, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), ints(index), pa.array(parts, pa.string()), ints(start), ints(end), ints(size)], names=["key", "idx", "text", "char_start", "char_end", "tokens"])
+
+    rows = texts.select(F.col("key").cast("string"), F.col("text").cast("string")).mapInArrow(run, "key string, idx int, text string, char_start int, char_end int, tokens int")
+    return rows.select("key", "idx", "text", "char_start", "char_end", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("content_hash"), "tokens")
+
+
+def labelled_chunks(chunks: DataFrame, texts: DataFrame, separator: str = "\f") -> DataFrame:
+    """chunks plus page_label and estimated, by the page that a chunk begins on. texts: key, text, pages and, optionally, labels (array, one a page).
+
+    Where the separators agree with the page count (``page_table`` says ok), the page is exact and its
+    label comes from the table. Otherwise it is estimated in proportion to the position, and without a page
+    count there is no label. Each chunk meets the pages of its own text only.
+    """
+    t = texts.withColumn("key", F.col("key").cast("string"))
+    labels = F.col("labels") if "labels" in texts.columns else F.lit(None).cast("array<string>")
+    t = t.select("key", "text", F.col("pages").cast("int").alias("pages"), labels.alias("labels"))
+    ok = page_table(t, separator).where("status = 'ok'").select(F.col("key").alias("p_key"), "page", "start", "end", "n_pages")
+    exact = chunks.select("key", "idx", "char_start").join(ok, (F.col("key") == F.col("p_key")) & (F.col("char_start") >= F.col("start")) & (F.col("char_start") < F.col("end"))).select("key", "idx", "page", "n_pages")
+    facts = t.select("key", "pages", "labels", F.char_length("text").alias("length"))
+    rows = chunks.join(facts, "key", "left").join(exact, ["key", "idx"], "left")
+    guess = estimated_page(F.col("char_start"), F.col("length"), F.col("pages"))
+    at = F.coalesce("page", guess - 1)
+    label = F.when(at.isNotNull(), page_label(at, F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("n_pages", "pages")))
+    return rows.select(*[chunks[c] for c in chunks.columns], label.alias("page_label"), (F.col("page").isNull() & at.isNotNull()).alias("estimated"))
+
+
+def paragraphs(c: Column) -> Column:
+    """Array of a text's paragraphs: runs of lines that are not blank, without the white space around them."""
+    parts = F.transform(F.split(c, "\n\\s*\n"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", ""))
+    return F.filter(parts, lambda p: p != "")

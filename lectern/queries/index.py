@@ -50,17 +50,55 @@ def page_positions(spark, sf_dir):
     return t.select("key", pages.estimated_page(pos, F.col("n"), F.col("pages")).cast("long").alias("estimated"), pages.page_of(bounds, pos).cast("long").alias("page"))
 
 
-@query("SELECT doc_id AS key, CAST(count(*) AS BIGINT) AS n_paragraphs, CAST(max(length(p)) AS BIGINT) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE trim(p) <> '' GROUP BY 1")
+@query(
+    r"""SELECT doc_id AS key, CAST(count(*) AS BIGINT) AS n_paragraphs, CAST(max(length(p)) AS BIGINT) AS longest
+FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS p FROM documents) WHERE p <> '' GROUP BY 1"""
+)
 def paragraphs(spark, sf_dir):
-    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.explode(F.split("text", "\n")).alias("p")).where(F.trim("p") != "")
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.explode(pages.paragraphs(F.col("text"))).alias("p"))
     return p.groupBy("key").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.max(F.length("p")).cast("long").alias("longest"))
 
 
-@query()
+#: Chunks of at most 128 tokens with an eighth of overlap: tokens with their offsets and the rank of the cut before each, then one chunk after the other.
+_CHUNKS = r"""parts AS (
+  SELECT doc_id AS key, text, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS g FROM documents
+), numbered AS (
+  SELECT key, text, unnest(range(len(w))) AS i, unnest(w) AS w, unnest(g[1:len(w)]) AS g FROM parts WHERE len(w) > 0
+), placed AS (
+  SELECT key, i, w, g, CAST(sum(length(g) + length(w)) OVER (PARTITION BY key ORDER BY i) AS BIGINT) AS e, lag(w) OVER (PARTITION BY key ORDER BY i) AS before FROM numbered
+), ranked AS (
+  SELECT key, list(e - length(w) ORDER BY i) AS starts, list(e ORDER BY i) AS ends, count(*) AS n,
+    list(CASE WHEN i = 0 THEN 0 WHEN length(g) - length(replace(g, chr(10), '')) > 1 THEN 2 WHEN contains(g, chr(10)) OR right(before, 1) IN ('.', '!', '?', ';', '。', '！', '？', '；') THEN 1 ELSE 0 END ORDER BY i) AS ranks
+  FROM placed GROUP BY key
+), cuts AS (
+  SELECT key, n, ranks, 0 AS idx, CAST(0 AS BIGINT) AS first, CASE WHEN n <= 128 THEN n ELSE 64 + 65 - list_position(list_reverse(ranks[65:129]), list_max(ranks[65:129])) END AS cut FROM ranked
+  UNION ALL
+  SELECT key, n, ranks, idx + 1, f, CASE WHEN n - f <= 128 THEN n ELSE f + 64 + 65 - list_position(list_reverse(ranks[f + 65:f + 129]), list_max(ranks[f + 65:f + 129])) END
+  FROM (SELECT key, n, ranks, idx, cut - CAST(least(floor((cut - first) * 0.125 + 0.5), cut - first - 1) AS BIGINT) AS f FROM cuts WHERE cut < n)
+), chunks AS (
+  SELECT c.key, c.idx, substr(text, CAST(starts[first + 1] AS BIGINT) + 1, CAST(ends[cut] - starts[first + 1] AS BIGINT)) AS text, CAST(starts[first + 1] AS INTEGER) AS char_start, CAST(ends[cut] AS INTEGER) AS char_end, CAST(cut - first AS INTEGER) AS tokens
+  FROM cuts c JOIN ranked USING (key) JOIN parts USING (key)
+)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT CAST(key AS VARCHAR) AS key, CAST(idx AS INTEGER) AS idx, text, char_start, char_end, substr(sha256(text), 1, 16) AS content_hash, tokens FROM chunks")
 def chunked_text(spark, sf_dir):
     return pages.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
 
 
+@query(
+    f"""WITH RECURSIVE {_CHUNKS}, {_PAGES}, exact AS (SELECT key, page, start, start + len - CASE WHEN page = n_pages - 1 THEN 1 ELSE 0 END AS stop FROM r WHERE status = 'ok')
+SELECT CAST(c.key AS VARCHAR) AS key, CAST(c.idx AS INTEGER) AS idx, char_start,
+  CASE WHEN e.page IS NOT NULL THEN CAST(e.page + 1 AS VARCHAR) WHEN d.doc_id % 7 = 3 THEN CAST(least(3, CAST(floor(char_start / (length(d.text) / 3)) AS BIGINT) + 1) AS VARCHAR) END AS page_label,
+  e.page IS NULL AND d.doc_id % 7 = 3 AS estimated
+FROM chunks c JOIN documents d ON d.doc_id = c.key LEFT JOIN exact e ON e.key = c.key AND c.char_start >= e.start AND c.char_start < e.stop"""
+)
+def chunk_pages(spark, sf_dir):
+    """Page labels of the chunks of documents whose lines are read as pages."""
+    texts = _paged(spark, sf_dir)
+    return pages.labelled_chunks(pages.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")), texts).select("key", "idx", "char_start", "page_label", "estimated")
+
+
 @query(
     """SELECT l_orderkey AS key, substr(sha256(string_agg(h, '|' ORDER BY l_linenumber, h)), 1, 16) AS content_hash, count(*) AS n_chunks
 FROM (SELECT l_orderkey, l_linenumber, substr(sha256(l_partkey || '/' || l_suppkey), 1, 16) AS h FROM lineitem) GROUP BY 1"""

@@ -18,7 +18,12 @@ def basic_words(spark, sf_dir):
     return w.select("key", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+')) AS w FROM documents
+), k AS (SELECT doc_id, regexp_full_match(w, '[!-~]+') AS known, length(w) AS n FROM w)
+SELECT CAST(d.doc_id AS VARCHAR) AS key, CAST(coalesce(sum(CASE WHEN known THEN n ELSE 1 END), 0) AS BIGINT) AS n_tokens, CAST(coalesce(sum(CASE WHEN known THEN 0 ELSE 1 END), 0) AS BIGINT) AS n_unknown
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1"""
+)
 def word_piece_counts(spark, sf_dir):
     """Pieces under the smallest vocabulary: single letters and digits."""
     letters = [chr(c) for c in range(33, 127)]
@@ -34,10 +39,10 @@ def identified_files(spark, sf_dir):
     s = k.cast("string")
     title = F.concat(F.lit("A study of the "), F.col("p_name"))
     text = (
-        F.when(k % 4 == 0, F.concat(F.lit("doi 10.1000/"), s, F.lit("."))).when(k % 4 == 1, F.concat(F.lit('<x prism:doi="10.1000/'), s, F.lit('" dc:title="T one">')))
+        F.when(k % 4 == 0, F.concat(F.lit("doi 10.1000/"), s, F.lit("."))).when(k % 4 == 1, F.concat(F.lit('<rdf:RDF><rdf:Description prism:doi="10.1000/'), s, F.lit('" dc:title="T one"/></rdf:RDF>')))
         .when(k % 4 == 2, F.concat(F.lit("/Title ("), title, F.lit(") /Author (Smith)"))).otherwise("no metadata")
     )
-    # a DOI inside XMP is metadata, not running text, so its slash is written as a reference there
+    # a DOI inside a packet is metadata, not running text, so its slash is written as a reference there
     text = F.when(k % 4 == 1, F.replace(text, F.lit("10.1000/"), F.lit("doi:10.1000&#47;"))).otherwise(text)
     p = table(spark, sf_dir, "part")
     files = p.select(k.alias("key"), F.concat(F.lit("scan"), s, F.lit(".pdf")).alias("file_name"), text.alias("text"))
