@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict, deque
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -52,10 +54,33 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def could_reach(a, b, threshold: float):
-    """Cheap native test that no pair at or above ``threshold`` fails: the shorter text must be long enough.
+#: Characters that ``letters`` tells apart; all others count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
-    With r the ratio of lengths, Jaro is at most (2 + r) / 3 and the prefix lifts it by at most 0.4 of the rest.
+
+def letters(c: Column) -> Column:
+    """struct(a, b, c, more): up to four occurrences of each of LETTERS and of anything else as bits of three longs, and the number beyond; made before rows are paired."""
+    each = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS]
+    each.append(F.length(c) - F.length(F.regexp_replace(c, f"[^{LETTERS}]", "")))
+    bits = lambda n: F.when(n > 3, 15).when(n == 3, 7).when(n == 2, 3).otherwise(n).cast("long")
+    words = []
+    for k in range(0, len(each), 16):
+        word = F.lit(0).cast("long")
+        for j, n in enumerate(each[k : k + 16]):
+            word = word.bitwiseOR(F.shiftleft(bits(n), 4 * j))
+        words.append(word)
+    more = functools.reduce(lambda x, y: x + y, [F.greatest(n - 4, F.lit(0)) for n in each])
+    return F.struct(*[w.alias(x) for w, x in zip(words, "abc")], more.alias("more"))
+
+
+def at_most(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
+    """An upper bound of ``jaro_winkler(a, b)`` from the letters and the common prefix, compiled by Spark.
+
+    No more characters match than both texts hold of each kind, and no transposition is the best case.
     """
-    least = 3 * (threshold - 0.4) / 0.6 - 2
-    return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * max(0.0, least) - 1e-9
+    shared = functools.reduce(lambda x, y: x + y, [F.bit_count(a_letters[w].bitwiseAND(b_letters[w])) for w in "abc"]) + F.least(a_letters["more"], b_letters["more"])
+    jaro = F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise((shared / F.length(a) + shared / F.length(b) + 1) / 3)
+    prefix = F.lit(0)
+    for n in (1, 2, 3, 4):
+        prefix = F.when(F.substring(a, 1, n) == F.substring(b, 1, n), n).otherwise(prefix)
+    return jaro + prefix * 0.1 * (1 - jaro)

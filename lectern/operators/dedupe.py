@@ -5,12 +5,12 @@ Items: key, item_type, title, author (comparison form is derived), year INT, str
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers as ids
 from lectern.functions import text as tx
-from lectern.functions.similarity import could_reach, jaro_winkler_udf
+from lectern.functions.similarity import at_most, jaro_winkler_udf, letters
 from lectern.operators.graph import connected_components
 from lectern.storage import materialize
 
@@ -35,23 +35,40 @@ def folded(c: DataFrame) -> DataFrame:
     return c.where((F.col("title_key") != "") & F.col("item_type").isNotNull()).groupBy("item_type", "title_key", "author_key", "year").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
+#: Forms of one type and year bucket that one part of a block holds, about; larger blocks are split.
+BLOCK = 4096
+
+
+def _compared(c: DataFrame, reach: int, width: int) -> DataFrame:
+    """Pairs (l_*, r_*) of distinct comparison forms of one type whose year buckets are at most ``reach`` apart, and of forms without a year with all dated ones.
+
+    A block is a type and a bucket of years; its right side is dealt to as many parts as its size asks
+    for, which the left side meets one by one, so no task holds a large block whole. Buckets of forms
+    without a year are all those that their type has.
+    """
+    columns = ("title_key", "author_key", "year", "rep", "letters")
+    f = materialize(folded(c).withColumn("letters", letters(F.col("title_key"))), "forms")
+    side = lambda df, p: df.select("item_type", "bucket", *[F.col(x).alias(f"{p}_{x}") for x in columns])
+    dated = f.where("year is not null").withColumn("bucket", F.floor(F.col("year") / width))
+    sizes = dated.groupBy("item_type", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    near = dated.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach)))
+    undated = f.where("year is null").join(sizes.select("item_type", "bucket"), "item_type").select(*near.columns)
+    left = side(near.unionByName(undated), "l").join(sizes, ["item_type", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = side(dated, "r").join(sizes, ["item_type", "bucket"]).withColumn("part", F.pmod(F.xxhash64("r_rep"), F.col("parts")).cast("int")).drop("parts")
+    pairs = left.join(right, ["item_type", "bucket", "part"])
+    pairs = pairs.where(F.col("l_year").isNull() | (F.col("l_rep") < F.col("r_rep")))
+    return pairs.withColumn("bound", at_most(F.col("l_title_key"), F.col("r_title_key"), F.col("l_letters"), F.col("r_letters"))).drop("bucket", "part", "l_letters", "r_letters")
+
+
 def weak_pairs(c: DataFrame, title_threshold: float = 0.9, author_threshold: float = 0.9, year_tolerance: int = 1) -> DataFrame:
     """(src, dst, title_score, author_score, year_gap): pairs of distinct comparison forms, by their least keys, that match.
 
     Same type; titles and authors at least as similar as their thresholds, years within the tolerance; a
-    missing author or one missing year skips that test, two missing years are not compared. Blocks are
-    (type, year bucket); items without a year meet the whole type, so they are folded first.
+    missing author or one missing year skips that test, two missing years are not compared. Spark drops the
+    pairs whose letters rule the threshold out; only the rest is scored.
     """
-    f = folded(c)
-    width = max(1, year_tolerance + 1)
-    bucket = F.floor(F.col("year") / width)
-    left = lambda df: df.select("item_type", *[F.col(x).alias(f"l_{x}") for x in ("title_key", "author_key", "year", "rep")], *[x for x in df.columns if x == "bucket"])
-    right = lambda df: df.select("item_type", *[F.col(x).alias(f"r_{x}") for x in ("title_key", "author_key", "year", "rep")], *[x for x in df.columns if x == "bucket"])
-    dated, undated = f.where("year is not null"), f.where("year is null")
-    near = left(dated.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))).join(right(dated.withColumn("bucket", bucket)), ["item_type", "bucket"])
-    near = near.where((F.col("l_rep") < F.col("r_rep")) & (F.abs(F.col("l_year") - F.col("r_year")) <= year_tolerance)).drop("bucket")
-    any_year = left(undated).join(right(dated), "item_type")
-    pairs = near.unionByName(any_year).where(could_reach(F.col("l_title_key"), F.col("r_title_key"), title_threshold))
+    pairs = _compared(c, 1, max(1, year_tolerance + 1)).where(F.col("bound") >= title_threshold - 1e-9)
+    pairs = pairs.where(F.col("l_year").isNull() | (F.abs(F.col("l_year") - F.col("r_year")) <= year_tolerance))
     pairs = pairs.withColumn("title_score", jaro_winkler_udf("l_title_key", "r_title_key")).where(F.col("title_score") >= title_threshold)
     pairs = pairs.withColumn("author_score", jaro_winkler_udf("l_author_key", "r_author_key")).where(F.coalesce(F.col("author_score") >= author_threshold, F.lit(True)))
     return pairs.select(
@@ -63,20 +80,15 @@ def rejected_pairs(c: DataFrame, title_threshold: float = 0.9, author_threshold:
     """(first, second, reason): compared pairs of distinct comparison forms that do not match, with the first test that fails.
 
     Compared are forms of one type whose year buckets are at most two apart, and forms without a year with
-    all dated ones of the type. Take a limit where only examples are wanted.
+    all dated ones of the type. These are many: aggregate the result or take a limit.
     """
-    f = folded(c)
-    width = max(1, year_tolerance + 1)
-    columns = ("title_key", "author_key", "year", "rep")
-    side = lambda df, p: df.select("item_type", *[F.col(x).alias(f"{p}_{x}") for x in columns], *[x for x in df.columns if x == "bucket"])
-    dated, bucket = f.where("year is not null"), F.floor(F.col("year") / width)
-    wide = dated.withColumn("bucket", F.explode(F.sequence(bucket - 2, bucket + 2)))
-    near = side(wide, "l").join(side(dated.withColumn("bucket", bucket), "r"), ["item_type", "bucket"]).where("l_rep < r_rep").drop("bucket")
-    pairs = near.unionByName(side(f.where("year is null"), "l").join(side(dated, "r"), "item_type"))
-    short = ~could_reach(F.col("l_title_key"), F.col("r_title_key"), title_threshold)
+    pairs = _compared(c, 2, max(1, year_tolerance + 1))
+    open_ = F.col("bound") >= title_threshold - 1e-9  # the others fail by their letters, and are not scored
+    pairs = pairs.withColumn("t", jaro_winkler_udf(F.when(open_, F.col("l_title_key")), F.when(open_, F.col("r_title_key"))))
+    passed = F.col("t") >= title_threshold
+    pairs = pairs.withColumn("a", jaro_winkler_udf(F.when(passed, F.col("l_author_key")), F.when(passed, F.col("r_author_key"))))
     far = F.coalesce(F.abs(F.col("l_year") - F.col("r_year")) > year_tolerance, F.lit(False))
-    pairs = pairs.withColumn("t", jaro_winkler_udf("l_title_key", "r_title_key")).withColumn("a", jaro_winkler_udf("l_author_key", "r_author_key"))
-    reason = F.when(short | (F.col("t") < title_threshold), "title").when(far, "year").when(F.col("a") < author_threshold, "author")
+    reason = F.when(~F.coalesce(passed, F.lit(False)), "title").when(far, "year").when(F.col("a") < author_threshold, "author")
     return pairs.select(F.least("l_rep", "r_rep").alias("first"), F.greatest("l_rep", "r_rep").alias("second"), reason.alias("reason")).where("reason is not null")
 
 
@@ -90,8 +102,8 @@ def equal_form_edges(c: DataFrame) -> DataFrame:
 def clusters(items: DataFrame, attachment_counts: DataFrame, **thresholds) -> DataFrame:
     """(cluster_id, key, n_members, match_type, match_key, primary): members of clusters of two or more.
 
-    The primary record has most attachments, then most collections, then most fields, then the least
-    key. match_type is the best kind of strong key that members share, else weak; match_key is the
+    attachment_counts: key, n_attachments and, where known, n_annotations. The primary record has most
+    attachments, then most annotations, collections and fields, then the least key. match_type is the best kind of strong key that members share, else weak; match_key is the
     primary's own shared key of that kind, else the least one, else the primary's title.
     """
     c = materialize(candidates(items), "candidates")
@@ -106,7 +118,8 @@ def clusters(items: DataFrame, attachment_counts: DataFrame, **thresholds) -> Da
     )
     rank = F.when(F.col("n_key").isNull(), 0).when(F.col("strong_key").startswith("doi:"), 3).when(F.col("strong_key").startswith("isbn:"), 2).otherwise(1)
     rows = members.join(facts, "key").withColumn("rank", rank)
-    order = F.struct(-F.coalesce("n_attachments", F.lit(0)), -F.col("n_collections"), -F.col("fields"), "key")
+    notes = F.coalesce("n_annotations", F.lit(0)) if "n_annotations" in attachment_counts.columns else F.lit(0)
+    order = F.struct(-F.coalesce("n_attachments", F.lit(0)), -notes, -F.col("n_collections"), -F.col("fields"), "key")
     per = rows.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_members"), F.max("rank").alias("best"), F.min_by(F.struct("key", "title_key", "strong_key", "rank"), order).alias("p"), F.min(F.struct(-F.col("rank"), "strong_key")).alias("own")
     )
@@ -117,6 +130,29 @@ def clusters(items: DataFrame, attachment_counts: DataFrame, **thresholds) -> Da
     return members.join(per, "cluster_id")
 
 
+def cluster_reasons(c: DataFrame, members: DataFrame, **thresholds) -> DataFrame:
+    """(cluster_id, reasons): the sorted distinct reasons why a cluster's members were joined.
+
+    A shared strong key names itself; a fuzzy match names its scores with three decimals; equal forms say so.
+    """
+    three = lambda x: F.format_string("%.3f", x)
+    strong = strong_edges(c).join(c.select(F.col("key").alias("dst"), "strong_key"), "dst").select("src", F.concat(F.lit("same "), "strong_key").alias("reason"))
+    author = F.coalesce(F.concat(F.lit(", author "), three(F.col("author_score"))), F.lit(""))
+    weak = weak_pairs(c, **thresholds).select("src", F.concat(F.lit("title "), three(F.col("title_score")), author).alias("reason"))
+    same = equal_form_edges(c).select("src", F.lit("same form").alias("reason"))
+    rows = strong.unionByName(weak).unionByName(same).join(members.select(F.col("key").alias("src"), "cluster_id"), "src")
+    return rows.select("cluster_id", "reason").distinct().groupBy("cluster_id").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+
+
+def cluster_statistics(found: DataFrame) -> DataFrame:
+    """One row from the rows of ``clusters``: clusters, strong and weak ones, and the items in them."""
+    per = found.groupBy("cluster_id").agg(F.min("match_type").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return per.agg(
+        F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("kind") != "weak").alias("strong"), F.count_if(F.col("kind") == "weak").alias("weak"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"),
+    )
+
+
 def pair_metrics(predicted: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, from (key, cluster_id) and (key, group_id).
 

@@ -17,7 +17,7 @@ ITEMS = """items AS (
     CASE WHEN p_partkey % 4 > 0 THEN ['C' || CAST(p_partkey % 4 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS collections
   FROM part
 ), attachments AS (
-  SELECT l_partkey AS parent, CASE WHEN l_returnflag = 'A' THEN 'application/pdf' ELSE 'text/html' END AS content_type FROM lineitem
+  SELECT l_partkey AS parent, CASE WHEN l_returnflag = 'A' THEN 'application/pdf' ELSE 'text/html' END AS content_type, year(l_shipdate) AS year FROM lineitem
 ), candidates AS (
   SELECT key, item_type, trim(regexp_replace(trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) +', '')) AS title_key,
     nullif(regexp_replace(lower(strip_accents(author)), '[^a-z0-9]+', '', 'g'), '') AS author_key,
@@ -132,15 +132,16 @@ def rejected_pairs(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return attachments(spark, sf_dir).groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("n_attachments"))
+    """Attachments of each item, and annotations: those of its attachments that are dated 1995."""
+    return attachments(spark, sf_dir).groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("n_attachments"), F.count_if(F.col("year") == 1995).alias("n_annotations"))
 
 
 @query(
     f"""WITH RECURSIVE {ITEMS}, {WEAK}, {EDGES}, shared AS (SELECT strong_key FROM candidates WHERE strong_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1
-), n AS (SELECT parent AS key, count(*) AS n_attachments FROM attachments GROUP BY 1
+), n AS (SELECT parent AS key, count(*) AS n_attachments, count(*) FILTER (WHERE year = 1995) AS n_annotations FROM attachments GROUP BY 1
 ), facts AS (
   SELECT m.cluster_id, m.key, c.title_key, s.strong_key, CASE WHEN s.strong_key IS NULL THEN 0 ELSE 3 END AS rank,
-    row_number() OVER (PARTITION BY m.cluster_id ORDER BY coalesce(n.n_attachments, 0) DESC, len(i.collections) DESC,
+    row_number() OVER (PARTITION BY m.cluster_id ORDER BY coalesce(n.n_attachments, 0) DESC, coalesce(n.n_annotations, 0) DESC, len(i.collections) DESC,
       CAST(i.title <> '' AS INT) + CAST(coalesce(i.doi <> '', false) AS INT) + CAST(c.year IS NOT NULL AS INT) + CAST(coalesce(i.author <> '', false) AS INT) DESC, m.key) AS r
   FROM members m JOIN items i USING (key) JOIN candidates c USING (key) LEFT JOIN shared s ON s.strong_key = c.strong_key LEFT JOIN n USING (key)
 ), per AS (
@@ -154,6 +155,28 @@ def duplicate_clusters(spark, sf_dir):
     return dedupe.clusters(catalogue(spark, sf_dir), _counts(spark, sf_dir))
 
 
+@query(
+    f"""WITH RECURSIVE {ITEMS}, {WEAK}, {EDGES}, shared AS (SELECT strong_key FROM candidates WHERE strong_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1
+), per AS (SELECT cluster_id, count(*) AS n, bool_or(s.strong_key IS NOT NULL) AS strong FROM members JOIN candidates c USING (key) LEFT JOIN shared s ON s.strong_key = c.strong_key GROUP BY 1)
+SELECT count(*) AS clusters, count(*) FILTER (WHERE strong) AS strong, count(*) FILTER (WHERE NOT strong) AS weak, CAST(sum(n) AS BIGINT) AS items, CAST(sum(n - 1) AS BIGINT) AS surplus FROM per"""
+)
+def cluster_statistics(spark, sf_dir):
+    return dedupe.cluster_statistics(dedupe.clusters(catalogue(spark, sf_dir), _counts(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {ITEMS}, {WEAK}, {EDGES}, reasons AS (
+  SELECT key AS src, 'same ' || strong_key AS reason FROM (SELECT key, strong_key, min(key) OVER (PARTITION BY strong_key) AS dst FROM candidates WHERE strong_key IS NOT NULL) WHERE key <> dst
+  UNION ALL SELECT src, 'same form' FROM same WHERE src <> dst
+  UNION ALL SELECT src, 'title ' || printf('%.3f', jaro_winkler_similarity(a.title_key, b.title_key)) || coalesce(', author ' || printf('%.3f', jaro_winkler_similarity(a.author_key, b.author_key)), '')
+    FROM weak JOIN candidates a ON a.key = src JOIN candidates b ON b.key = dst
+) SELECT cluster_id, list_sort(list(DISTINCT reason)) AS reasons FROM reasons JOIN members ON members.key = src GROUP BY 1"""
+)
+def cluster_reasons(spark, sf_dir):
+    items = catalogue(spark, sf_dir)
+    return dedupe.cluster_reasons(dedupe.candidates(items), dedupe.clusters(items, _counts(spark, sf_dir)).select("key", "cluster_id"))
+
+
 @query(
     f"""WITH RECURSIVE {ITEMS}, {WEAK}, {EDGES}, labelled AS (SELECT key, first_value(key) OVER (PARTITION BY item_type, title_key ORDER BY key) AS group_id FROM candidates
 ), p AS (SELECT sum(n * (n - 1) // 2) AS v FROM (SELECT count(*) AS n FROM members GROUP BY cluster_id)
