@@ -88,6 +88,20 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def decode_numeric(c: Column) -> Column:
+    """Decimal and hexadecimal references to characters outside markup (&#38; and &#60; become the named ones, which are decoded last); those beyond Unicode stay.
+
+    A text is cut at its references, so each is decoded once.
+    """
+    found = F.regexp_extract_all(c, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0))
+    between = F.split(c, "&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+    code = lambda r: F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, "[xX]([0-9A-Fa-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(r, "([0-9]+)", 1)).cast("int")
+    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    char = lambda r: F.when(code(r) == 38, "&amp;").when(code(r) == 60, "&lt;").when((code(r) == 0) | (code(r) > 0x10FFFF) | code(r).between(0xD800, 0xDFFF), r).otherwise(utf32(code(r)))
+    decoded = F.transform(between, lambda p, k: F.concat(p, F.coalesce(char(F.get(found, k)), F.lit(""))))
+    return F.when(c.contains("&#"), F.array_join(decoded, "")).otherwise(c)
+
+
 def escape_html(c: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(char), F.lit(entity))
@@ -105,8 +119,8 @@ def note_html(c: Column) -> Column:
 
 
 def plain_text(c: Column) -> Column:
-    """Markup removed, white space squeezed, references decoded (numeric ones too where the page has any), trimmed."""
-    return F.trim(decode_entities(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "\\s+", " ")))
+    """Markup removed, white space squeezed, references decoded (numeric ones too), trimmed."""
+    return F.trim(decode_entities(decode_numeric(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "\\s+", " "))))
 
 
 def strip_markup(c: Column) -> Column:

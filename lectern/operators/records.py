@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,16 +83,29 @@ def deletions(keys: DataFrame, in_trash: Column, permanent: bool) -> DataFrame:
     return keys.select("key", F.posexplode(steps).alias("step", "kind"))
 
 
-def packed_parts(files: DataFrame, names: str = ".*\\.xml") -> DataFrame:
-    """(file, name, content) of the entries of ZIP files (path, content), as ``binaryFile`` reads them, whose name matches."""
+def packed_parts(files: DataFrame, names: str = ".*\\.xml", most: int = 64 << 20) -> DataFrame:
+    """(file, name, content, error) of the entries of ZIP files (path, content), as ``binaryFile`` reads them, whose name matches.
+
+    Only those are unpacked. An entry of more than ``most`` bytes has no content but an error, and so has a file
+    that is no readable archive.
+    """
+    wanted = re.compile(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    yield pd.DataFrame([(path, n, z.read(n)) for n in z.namelist()], columns=["file", "name", "content"])
-
-    return files.select("path", "content").mapInPandas(run, "file string, name string, content binary").where(F.col("name").rlike(f"^{names}$"))
+                rows: list[tuple] = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for entry in z.infolist():
+                            if wanted.fullmatch(entry.filename):
+                                fits = entry.file_size <= most
+                                rows.append((path, entry.filename, z.read(entry) if fits else None, None if fits else "too large"))
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, ValueError, zlib.error) as e:
+                    rows.append((path, None, None, type(e).__name__))
+                yield pd.DataFrame(rows, columns=["file", "name", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "file string, name string, content binary, error string")
 
 
 def paragraphs(parts: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def update(folder: str, texts: DataFrame, manifest: DataFrame, embedder: Embedde
 
     Only items newer than the watermark are read, only those whose fingerprint changed are embedded.
     Another model or vector length starts the index anew. An item whose text became empty leaves
-    the index.
+    the index. The watermark never passes an item of the manifest whose text was not delivered.
     """
     spark = texts.sparkSession
     meta = latest(spark, folder)
@@ -106,8 +106,9 @@ def update(folder: str, texts: DataFrame, manifest: DataFrame, embedder: Embedde
     rows = changed.withColumn("deleted", F.lit(False)).unionByName(gone.select("key", nothing.cast("string").alias("content_hash"), nothing.cast("long").alias("n_chunks"), F.lit(True).alias("deleted")))
     embedded(chunks.join(changed.select("key"), "key", "left_semi"), embedder).write.mode("overwrite").parquet(f"{folder}/chunks/run={run}")
     rows.write.mode("overwrite").parquet(f"{folder}/items/run={run}")
-    mark = manifest.agg(F.max("version")).first()[0]
-    row = [(run, base, embedder.name, embedder.dim, max(watermark, mark or 0))]
+    undelivered = newer.join(texts.select(F.col("key").cast("string").alias("key")), "key", "left_anti")
+    mark = index.next_watermark(manifest, undelivered, watermark).first()[0]
+    row = [(run, base, embedder.name, embedder.dim, mark)]
     spark.createDataFrame(row, "run long, base long, model string, dim int, watermark long").coalesce(1).write.mode("append").parquet(f"{folder}/meta")
     n_changed, n_read = changed.count(), prints.count()
     return {"embedded": n_changed, "skipped": n_read - n_changed, "removed": gone.count(), "run": run}

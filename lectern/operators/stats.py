@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.storage import materialize
+
 
 def library_stats(items: DataFrame, attachments: DataFrame) -> DataFrame:
     """One row: items, and how many lack a PDF, a DOI, metadata or a collection, and authors who occur more than once.
@@ -28,8 +30,20 @@ def repeated(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicate_creators"))
 
 
-def search(items: DataFrame, query: str, columns: list[str], item_type: str | None = None, collection: str | None = None, limit: int = 25, start: int = 0) -> DataFrame:
-    """Items any of whose columns contain the query, in key order; limit is held to 1..100."""
+def in_trash(items: DataFrame, trashed: DataFrame) -> DataFrame:
+    """Items with a boolean column ``deleted``: flagged by themselves (a truthy ``deleted``) or listed in ``trashed`` (key)."""
+    flag = F.lower(F.col("deleted").cast("string")).isin("1", "true") if "deleted" in items.columns else F.lit(False)
+    listed = trashed.select("key").distinct().withColumn("_listed", F.lit(True))
+    return items.join(listed, "key", "left").withColumn("deleted", F.coalesce(flag, F.lit(False)) | F.coalesce("_listed", F.lit(False))).drop("_listed")
+
+
+def search(
+    items: DataFrame, query: str, columns: list[str], item_type: str | None = None, collection: str | None = None, tag: str | None = None, deleted: bool | None = None, limit: int = 25, start: int = 0
+) -> DataFrame:
+    """Items any of whose columns contain the query, in key order; at least one, ``limit`` at most.
+
+    Filters: item type, membership of a collection, a tag of ``tags`` (array of names), and the boolean ``deleted``.
+    """
     wanted = F.lit(query.lower())
     hit: Column = F.lit(False)
     for c in columns:
@@ -38,23 +52,30 @@ def search(items: DataFrame, query: str, columns: list[str], item_type: str | No
         hit = hit & (F.col("item_type") == item_type)
     if collection is not None:
         hit = hit & F.array_contains("collections", collection)
-    return items.where(hit).orderBy("key").offset(start).limit(min(100, max(1, limit)))
+    if tag is not None:
+        hit = hit & F.array_contains("tags", tag)
+    if deleted is not None:
+        hit = hit & (F.col("deleted") == deleted)
+    return items.where(hit).orderBy("key").offset(start).limit(max(1, limit))
 
 
-def collection_paths(collections: DataFrame, depth: int = 32) -> DataFrame:
+def collection_paths(collections: DataFrame, max_depth: int = 200) -> DataFrame:
     """(key, name, parent, path, level) of a collection table (key, name, parent); orphans count as roots.
 
     Level by level from the roots, joined on the parent, until a level is empty; a cycle has no root and
-    does not appear.
+    does not appear. Each level is written once. Raises RuntimeError when levels go on beyond ``max_depth``.
     """
     known = collections.select(F.col("key").alias("known"))
     parents = collections.join(known, F.col("parent") == F.col("known"), "left")
     level = parents.where("known is null").select("key", "name", "parent", F.col("name").alias("path"), F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth):
+    level = out = materialize(level, "collection-level")
+    for k in range(1, max_depth + 2):
         above = level.select(F.col("key").alias("parent"), F.col("path").alias("above"))
         level = collections.join(above, "parent").select("key", "name", "parent", F.concat_ws(" / ", "above", "name").alias("path"), F.lit(k).alias("level"))
+        level = materialize(level, "collection-level")
         if level.isEmpty():
-            break
+            return out
+        if k > max_depth:
+            raise RuntimeError(f"collections go deeper than {max_depth} levels")
         out = out.unionByName(level)
     return out

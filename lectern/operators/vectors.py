@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Vectors of up to so many components are averaged by one aggregate a component, longer ones component rows.
+WIDE = 512
+
+
 def l2_distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays of equal length, summed in double precision."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
@@ -19,7 +23,7 @@ def score_of(distance: Column) -> Column:
 def nearest(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows nearest to one query vector, ties to the smaller id: one scan and a top-k, no shuffle of vectors."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("distance", l2_distance(F.col(vector_col), q)).orderBy("distance", id_col).limit(min(50, max(1, k)))
+    return vectors.withColumn("distance", l2_distance(F.col(vector_col), q)).orderBy("distance", id_col).limit(max(1, k))
 
 
 def best_hit_per_item(hits: DataFrame, item: str, score: str, position: str) -> DataFrame:
@@ -30,7 +34,14 @@ def best_hit_per_item(hits: DataFrame, item: str, score: str, position: str) ->
 
 
 def mean_pool(vectors: DataFrame, group: str, vector_col: str = "embedding") -> DataFrame:
-    """(group, pooled): mean vector of each group scaled to length 1."""
-    means = vectors.select(group, F.posexplode(vector_col).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    w = Window.partitionBy(group)
-    return means.withColumn("v", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(w))).select(group, "i", "v")
+    """(group, i, v): mean vector of each group scaled to length 1."""
+    # vectors are summed inside the partitions first, so that what is shuffled is one vector a group and partition
+    names, dims = vectors.schema[group].dataType, vectors.agg(F.max(F.size(vector_col))).first()[0] or 0
+    x = F.col(vector_col)
+    sums = vectors.groupBy(group).agg(*[F.avg(F.get(x, F.lit(k)).cast("double")).alias(f"m{k}") for k in range(dims)]) if dims <= WIDE else None
+    if sums is None:
+        means = vectors.select(group, F.posexplode(vector_col).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        return means.withColumn("v", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(group)))).select(group, "i", "v")
+    m = F.array(*[F.col(f"m{k}") for k in range(dims)])
+    norm = F.sqrt(F.aggregate(m, F.lit(0.0), lambda s, v: s + v * v))
+    return sums.select(F.col(group).cast(names), F.posexplode(F.transform(m, lambda v: v / norm)).alias("i", "v"))

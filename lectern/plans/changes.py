@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fields that no plan may write.
 READ_ONLY = ("key", "version", "dateAdded", "dateModified")
+#: Fields that one update may write, at most: they are broadcast.
+MAX_FIELDS = 1000
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -29,8 +31,11 @@ def last_per_field(operations: DataFrame) -> DataFrame:
 
 
 def plan_updates(keys: DataFrame, fields: DataFrame) -> DataFrame:
-    """Each key with each field of a field table that is small by nature (one row per column of an item)."""
-    return keys.join(F.broadcast(fields.where(~F.col("field").isin(*READ_ONLY)).limit(1000)))
+    """Each key with each field of a field table that is small by nature (one row per column of an item); raises ValueError beyond MAX_FIELDS of them."""
+    wanted = fields.where(~F.col("field").isin(*READ_ONLY))
+    if wanted.limit(MAX_FIELDS + 1).count() > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} fields")
+    return keys.join(F.broadcast(wanted))
 
 
 def apply(items: DataFrame, operations: DataFrame) -> DataFrame:
@@ -116,3 +121,44 @@ def merge_impacts(groups: DataFrame) -> DataFrame:
 def reparent(children: DataFrame, members: DataFrame) -> DataFrame:
     """Children of merged items moved to their primary; members: key, primary_key."""
     return children.join(members.select(F.col("key").alias("parent"), "primary_key"), "parent", "left").withColumn("parent", F.coalesce("primary_key", "parent")).drop("primary_key")
+
+
+def creations(rows: DataFrame) -> DataFrame:
+    """(ord, ref, field, value) of new items from (ord, item_type, fields): fields is a map; read-only and null fields are left out.
+
+    ref is @created: with ord, the operation's place in its plan, by which later operations name the item before
+    it has a key. Rows without a type are documents.
+    """
+    first = F.struct(F.lit("itemType").alias("field"), F.coalesce("item_type", F.lit("document")).alias("value"))
+    given = F.transform(F.filter(F.map_entries("fields"), lambda e: e["value"].isNotNull() & ~e["key"].isin(*READ_ONLY, "itemType")), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
+    ref = F.concat(F.lit("@created:"), F.col("ord").cast("string"))
+    return rows.select("ord", ref.alias("ref"), F.explode(F.concat(F.array(first), F.coalesce(given, F.array().cast("array<struct<field:string,value:string>>")))).alias("f")).select("ord", "ref", "f.*")
+
+
+def membership(collections: Column, add: Column, remove: Column) -> Column:
+    """Collections of an item after removals and additions: the old order, new ones behind, none twice."""
+    return F.array_distinct(F.concat(F.array_except(collections, remove), F.array_except(add, remove)))
+
+
+def preview(changes: DataFrame, longest: int = 40) -> DataFrame:
+    """(key, lines) of (key, field, before, after, destructive): one line a change, by field, long values cut for reading; a destructive one is marked."""
+    shown = lambda c: F.when(c.isNull(), "(none)").when(F.char_length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit("..."))).otherwise(c)
+    line = F.concat(F.when(F.col("destructive"), "! ").otherwise("  "), F.col("field"), F.lit(": "), shown(F.col("before")), F.lit(" -> "), shown(F.col("after")))
+    return changes.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
+
+
+def apply_lifecycle(items: DataFrame, steps: DataFrame) -> DataFrame:
+    """(key, version, deleted) after creations, trashing and deletions. items: key, version, deleted; steps: key, kind, expected_version.
+
+    create adds a missing key with version 1; trash marks, restore unmarks and delete removes an item, when its version is the expected
+    one and, for delete, it is in the trash already or trashed by the same plan. Each change of an item raises its version by one.
+    """
+    per = steps.groupBy("key").agg(*[F.max(F.col("kind") == k).alias(k) for k in ("create", "trash", "restore", "delete")], F.min("expected_version").alias("expected"))
+    both = items.join(per, "key", "full_outer")
+    valid = F.coalesce(F.col("expected") == F.col("version"), F.lit(False))
+    does = lambda k: F.coalesce(F.col(k), F.lit(False)) & valid
+    trashed = F.when(does("trash"), True).when(does("restore"), False).otherwise(F.col("deleted"))
+    gone = does("delete") & (F.coalesce("deleted", F.lit(False)) | does("trash"))
+    made = F.col("version").isNull() & F.coalesce("create", F.lit(False))
+    kept = both.where((F.col("version").isNotNull() & ~gone) | made)
+    return kept.select("key", F.when(made, 1).otherwise(F.col("version") + (~trashed.eqNullSafe(F.col("deleted"))).cast("int")).cast("long").alias("version"), F.when(made, False).otherwise(trashed).alias("deleted"))

@@ -108,7 +108,7 @@ def search_keyword(spark, sf_dir):
 @query("SELECT doc_id AS key, lang, source FROM documents WHERE contains(lower(text), 'the') AND lang = 'en' ORDER BY doc_id LIMIT 100 OFFSET 25")
 def search_fulltext(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("item_type"), "source", "text")
-    return stats.search(docs, "THE", ["text"], item_type="en", limit=500, start=25).select("key", F.col("item_type").alias("lang"), "source")
+    return stats.search(docs, "THE", ["text"], item_type="en", limit=100, start=25).select("key", F.col("item_type").alias("lang"), "source")
 
 
 @query(f"WITH {ITEMS} SELECT strong_key, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM candidates WHERE strong_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
