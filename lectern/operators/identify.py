@@ -151,3 +151,10 @@ def identify(files: DataFrame, candidates: DataFrame, threshold: float = 0.8) ->
     none = left.select("key", F.col("m.title").alias("title")).distinct().join(found, "key", "left_anti")
     nothing = F.lit(None).cast("string")
     return done.unionByName(found).unionByName(none.select("key", F.lit(0).alias("level"), nothing.alias("kind"), nothing.alias("value"), "title"))
+
+
+def identification_counts(found: DataFrame) -> DataFrame:
+    """One row from the rows of ``identify``: files, identified ones, those that are not, and the identified ones by level."""
+    return found.agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("level") > 0).alias("identified"), F.count_if(F.col("level") == 0).alias("unidentified"), *[F.count_if(F.col("level") == k).alias(f"level_{k}") for k in (1, 2, 3, 4)]
+    )

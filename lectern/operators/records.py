@@ -128,3 +128,27 @@ def placeholder_report(found: DataFrame, mapping: DataFrame) -> DataFrame:
     both = hits.join(known, ["file", "name"], "full_outer")
     state = F.when(F.col("known").isNull(), "unmapped").when(F.col("n").isNull(), "unused").when(F.col("n") > 1, "repeated").otherwise("ok")
     return both.select("file", "name", F.coalesce("n", F.lit(0)).alias("hits"), state.alias("state"))
+
+
+def first_attachment(attachments: DataFrame) -> DataFrame:
+    """(parent, key, is_pdf): of each item's attachments (key, parent, content_type, n_annotations) the first PDF, one with annotations before others; without a PDF the first of all."""
+    pdf = F.col("content_type") == "application/pdf"
+    order = F.struct(~pdf, ~(F.coalesce("n_annotations", F.lit(0)) > 0), F.col("key"))
+    best = attachments.groupBy("parent").agg(F.min_by(F.struct("key", pdf.alias("is_pdf")), order).alias("a"))
+    return best.select("parent", "a.key", "a.is_pdf")
+
+
+def union_by_key(first: DataFrame, second: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of both ways of access, one a key; those of the first win. A combinable aggregate."""
+    rest = [c for c in first.columns if c != key]
+    both = first.select("*", F.lit(0).alias("_way")).unionByName(second.select(*first.columns, F.lit(1).alias("_way")))
+    best = both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_way", *rest)).alias("_r"))
+    return best.select(key, "_r.*").select(*first.columns)
+
+
+def require_all(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """``lookup`` that raises ValueError, naming up to ten of them, where any key is absent."""
+    absent = [r["key"] for r in keys.select(F.trim("key").alias("key")).where("key <> ''").distinct().join(items, "key", "left_anti").orderBy("key").limit(10).collect()]
+    if absent:
+        raise ValueError(f"no items for: {', '.join(map(str, absent))}")
+    return lookup(items, keys)

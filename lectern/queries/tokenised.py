@@ -35,6 +35,18 @@ def word_piece_counts(spark, sf_dir):
     """SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS level, CASE WHEN p_partkey % 4 < 3 THEN 'doi' END AS kind, CASE WHEN p_partkey % 4 < 3 THEN '10.1000/' || p_partkey END AS value FROM part"""
 )
 def identified_files(spark, sf_dir):
+    return _identified(spark, sf_dir).select("key", "level", "kind", ids.doi_reference(F.replace("value", F.lit("&#47;"), F.lit("/"))).alias("value"))
+
+
+@query(
+    """SELECT count(*) AS files, count(*) FILTER (WHERE p_partkey % 4 < 3) AS identified, count(*) FILTER (WHERE p_partkey % 4 = 3) AS unidentified, count(*) FILTER (WHERE p_partkey % 4 = 0) AS level_1,
+  count(*) FILTER (WHERE p_partkey % 4 = 1) AS level_2, count(*) FILTER (WHERE p_partkey % 4 = 2) AS level_3, 0 AS level_4 FROM part"""
+)
+def identification_counts(spark, sf_dir):
+    return identify.identification_counts(_identified(spark, sf_dir))
+
+
+def _identified(spark, sf_dir):
     k = F.col("p_partkey")
     s = k.cast("string")
     title = F.concat(F.lit("A study of the "), F.col("p_name"))
@@ -47,5 +59,4 @@ def identified_files(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     files = p.select(k.alias("key"), F.concat(F.lit("scan"), s, F.lit(".pdf")).alias("file_name"), text.alias("text"))
     candidates = p.select(k.alias("key"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("Entirely different work").alias("title"), F.lit("10.9/z").alias("doi")), F.struct(F.lit(1).alias("pos"), title.alias("title"), F.concat(F.lit("10.1000/"), s).alias("doi")))).alias("c")).select("key", "c.*")
-    out = identify.identify(files, candidates)
-    return out.select("key", "level", "kind", ids.doi_reference(F.replace("value", F.lit("&#47;"), F.lit("/"))).alias("value"))
+    return identify.identify(files, candidates)

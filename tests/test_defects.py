@@ -114,3 +114,17 @@ def test_the_search_ladder_steps_down_and_says_why(spark):
     assert (row["key"], row["level"], row["degraded"]) == ("a", "keyword", ["semantic: there is no index", "fulltext: no hits"])
     near = lambda query: spark.createDataFrame([("c", 0.9), ("b", 0.8)], "key string, score double")
     assert [(r["key"], r["level"]) for r in search.ladder(items, trash, "x", semantic=near).collect()] == [("b", "semantic")]
+
+
+def test_small_values(spark):
+    from lectern.functions import values
+
+    now = F.lit("2026-01-01 00:00:10").cast("timestamp")
+    rows = spark.createDataFrame([("2026-01-01 00:00:09",), ("2026-01-01 00:00:00",), ("2026-01-01 00:00:11",), (None,)], "last string")
+    assert [r[0] for r in rows.select(values.within_window(F.col("last").cast("timestamp"), now, 5000)).collect()] == [True, False, False, False]
+    texts = spark.createDataFrame([('{"b": [" x ", ""], "a": 1.5}',), ("no json",), (None,)], "t string")
+    assert [r[0] for r in texts.select(values.canonical_json("t")).collect()] == ['{"a":1.5,"b":["x",null]}', None, None]
+    items = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert records.require_all(items, spark.createDataFrame([(0, " b "), (1, "")], "ord int, key string")).count() == 1
+    with pytest.raises(ValueError, match="no items for: c"):
+        records.require_all(items, spark.createDataFrame([(0, "c")], "ord int, key string"))
