@@ -21,7 +21,7 @@ from lectern.llm.vectors import matrix, units, usable
 from lectern.operators.graph import connected_components
 from lectern.storage import materialize
 
-#: Vectors a cell should hold, at most and (on small tables, 1/64 of the rows) at least; pivots in all, their bytes and labels that get any, at most (the pivots are sent to
+#: Vectors a cell should hold, at most and (on small tables, 1/24 of the rows) at least; pivots in all, their bytes and labels that get any, at most (the pivots are sent to
 #: every task); a label without pivots is one cell. Blocks bound what one task holds, however large a cell is.
 CELL, LEAST_CELL, MAX_PIVOTS, PIVOT_BYTES, MAX_LABELS, BLOCK = 2048, 64, 8192, 1 << 25, 1024, 4096
 
@@ -44,7 +44,7 @@ def thinned(x: np.ndarray, distance: float) -> np.ndarray:
 def _pivots(vectors: DataFrame, radius: float) -> dict[tuple[int, int], np.ndarray]:
     """Pivots by (label, components): a hash sample in proportion to each large label, thinned so that no two are within 2 radii, as near copies would all be."""
     sizes = vectors.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
-    cell = min(CELL, max(LEAST_CELL, (sizes.agg(F.sum("n")).first()[0] or 0) // 64))
+    cell = min(CELL, max(LEAST_CELL, (sizes.agg(F.sum("n")).first()[0] or 0) // 24))
     large = sizes.where(F.col("n") >= 2 * cell).orderBy(F.desc("n"), "label", "size").limit(MAX_LABELS).collect()
     total = sum(row["n"] for row in large)
     if not large:

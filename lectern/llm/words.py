@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 19
-#: Whole texts that one Arrow batch carries between Spark and Python, at most.
-BATCH_ROWS = 1000
+#: Whole texts that one Arrow batch carries between Spark and Python, at most, and about their bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
@@ -25,11 +25,11 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows for this session; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES (or one row) for this session; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name, "0"))
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
