@@ -27,8 +27,8 @@ _powers: dict[int, np.ndarray] = {}
 def bound_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES (or one row) for this session; smaller settings stay."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(name, "0"))
-        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
 

@@ -355,3 +355,14 @@ def test_statistics_of_slices_do_not_depend_on_the_batch():
     whole = quality.statistics(pa.array(texts))
     alone = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
     assert np.allclose(whole, alone)
+
+
+def test_arrow_batches_are_bounded_by_rows_and_bytes(spark):
+    session = spark.newSession()
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    words.bound_batches(session)
+    assert [session.conf.get(n).removesuffix("b") for n in names] == [str(words.BATCH_ROWS), str(words.BATCH_BYTES)]
+    for n in names:
+        session.conf.set(n, "10")
+    words.bound_batches(session)
+    assert [session.conf.get(n).removesuffix("b") for n in names] == ["10", "10"]
