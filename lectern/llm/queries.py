@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, near_sql, packing, pii
+from lectern.llm import bpe, corpus_sql, near_sql, packing, pii
 from lectern.llm.ann import nearest_neighbours
 from lectern.llm.embedding_dedup import embedding_duplicates
+from lectern.llm.hard_negatives import hard_negatives
 from lectern.llm.html_extract import extract
+from lectern.llm.mixing import mix
 from lectern.llm.ngram_join import near_duplicates
 from lectern.llm.quality import quality_scores
 from lectern.llm.token_histogram import token_length_limits
@@ -81,3 +84,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
+
+
+@query(corpus_sql.MIX)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+@query(corpus_sql.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", relabelled.alias("label")))
