@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, corpus_sql, near_sql, packing, pii
 from lectern.llm.ann import nearest_neighbours
+from lectern.llm.divergence import divergence
 from lectern.llm.embedding_dedup import embedding_duplicates
 from lectern.llm.hard_negatives import hard_negatives
 from lectern.llm.html_extract import extract
@@ -95,3 +96,8 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", relabelled.alias("label")))
+
+
+@query(corpus_sql.DIVERGENCE)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
