@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.words import bound_batches, raw_bytes, slices, span_hashes, spans
+from lectern.llm.words import bound_batches, mix, raw_bytes, slices, span_hashes, spans
 
 #: Bytes of text worked through at once (or one text), and counts gathered before they are sent on.
-SLICE, GATHER = 1 << 20, 1 << 18
+SLICE, GATHER = 1 << 20, 1 << 20
 _TERM = np.zeros(256, bool)
 _TERM[ord("a") : ord("z") + 1] = _TERM[ord("A") : ord("Z") + 1] = _TERM[128:] = True
 #: Bytes dealt anew for a second hash, so that two terms count as one only where 128 bits agree.
@@ -23,13 +23,24 @@ _OTHER = np.random.default_rng(13).permutation(256).astype(np.uint8)
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first places) of equal keys; the last key counts most."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
+    """(order, first places) that bring rows equal in all keys together."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = mix(mixed + k.astype(np.uint64))
+    order = np.argsort(mixed)
+    m = mixed[order]
+    new = np.ones(len(order), bool)
+    new[1:] = m[1:] != m[:-1]
+    differ = np.zeros(max(0, len(order) - 1), bool)
     for k in keys:
         k = k[order]
-        new[1:] |= k[1:] != k[:-1]
+        differ |= k[1:] != k[:-1]
+    if (differ & ~new[1:]).any():  # unlike rows with one mixed key: sort by the keys themselves
+        order = np.lexsort(keys)
+        new[1:] = False
+        for k in keys:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
     return order, np.flatnonzero(new)
 
 
