@@ -46,7 +46,10 @@ def kept_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def group_facts(docs: DataFrame, counts: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, place, kept, total, lang_total, p0, n_terms, sum_p): every group of the documents, numbered inside its language."""
+    """(lang, source, place, kept, total, lang_total, n_terms, slices, blocks, p0): every group of the documents, numbered inside its language.
+
+    slices and blocks say into how many parts the language's postings and sources are dealt.
+    """
     column = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = docs.groupBy(column(lang_col).alias("lang"), column(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_terms"))
@@ -54,7 +57,10 @@ def group_facts(docs: DataFrame, counts: DataFrame, lang_col: str = "lang", sour
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     facts = groups.join(sizes, ["lang", "source"], "left").join(terms, "lang", "left").select("lang", "source", *map(zero, ("kept", "total", "lang_total", "n_terms")))
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("place")
-    return facts.select("*", place, probability(F.lit(0), F.col("total"), F.col("kept")).alias("p0"))
+    of_lang = Window.partitionBy("lang")
+    slices = F.greatest(F.lit(1), F.ceil(F.sum("n_terms").over(of_lang) / POSTINGS)).cast("int").alias("slices")
+    blocks = F.ceil(F.count(F.lit(1)).over(of_lang) / SOURCES).cast("int").alias("blocks")
+    return facts.select("*", place, slices, blocks, probability(F.lit(0), F.col("total"), F.col("kept")).alias("p0"))
 
 
 def top_terms(scored: DataFrame, k: int = TERMS) -> DataFrame:
@@ -108,11 +114,14 @@ def _shared(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places[i], places[j], sums[i, j]
 
 
-def _postings(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-    left, right = key[-2].as_py(), key[-1].as_py()
-    a, b, v = _shared(batch)
-    mine = (a // SOURCES == left) & (b // SOURCES == right) | (a // SOURCES == right) & (b // SOURCES == left)
-    return pa.table({"lang": pa.array([key[0].as_py()] * int(mine.sum()), pa.string()), "place": a[mine], "other": b[mine], "shared": v[mine]})
+def _postings(width: int):
+    def run(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
+        left, right = key[-2].as_py(), key[-1].as_py()
+        a, b, v = _shared(batch)
+        mine = (a // width == left) & (b // width == right) | (a // width == right) & (b // width == left)
+        return pa.table({"lang": pa.array([key[0].as_py()] * int(mine.sum()), pa.string()), "place": a[mine], "other": b[mine], "shared": v[mine]})
+
+    return run
 
 
 def _own(key: tuple[pa.Scalar, ...], counts: pa.Table, others: pa.Table) -> pa.Table:
@@ -128,7 +137,7 @@ def _own(key: tuple[pa.Scalar, ...], counts: pa.Table, others: pa.Table) -> pa.T
 
 
 def pair_values(scored: DataFrame, facts: DataFrame) -> DataFrame:
-    """(lang, source, item, value): sums over all kept terms of |p - p'| for every two sources of a language. scored: lang, term, place, p, p0."""
+    """(lang, source, item, value): sums over all kept terms of |p - p'| for every two sources of a language. scored: lang, term, place, slices, blocks, p, p0."""
     g = facts.select("lang", "source", "place", "kept", "p0", "n_terms")
     h = facts.select("lang", F.col("source").alias("item"), F.col("place").alias("other"), F.col("p0").alias("z0"))
     # the result itself has a row for every two sources of a language
@@ -137,13 +146,10 @@ def pair_values(scored: DataFrame, facts: DataFrame) -> DataFrame:
     asked = pairs.where("n_terms > 0").select(F.col("lang").alias("o_lang"), F.col("place").alias("o_place"), F.col("other").alias("o_other"), F.col("p0").alias("own_p0"), F.col("z0").alias("o_p0"))
     own = histogram.groupBy("lang", "place").cogroup(asked.groupBy("o_lang", "o_place")).applyInArrow(_own, "lang string, place int, other int, own long")
     own = materialize(own, "own-sums")
-    per_lang = scored.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).cast("int").alias("slices"))
-    blocks = facts.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("blocks"))
-    placed = scored.join(per_lang.join(blocks, "lang"), "lang")
     mine = F.floor(F.col("place") / SOURCES).cast("int")
-    placed = placed.select("lang", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice"), "term", "place", "p", "p0", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("peer"))
+    placed = scored.select("lang", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice"), "term", "place", "p", "p0", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("peer"))
     placed = placed.select("lang", "slice", F.least("mine", "peer").alias("left"), F.greatest("mine", "peer").alias("right"), "term", "place", "p", "p0")
-    shared = placed.groupBy("lang", "slice", "left", "right").applyInArrow(_postings, "lang string, place int, other int, shared long")
+    shared = placed.groupBy("lang", "slice", "left", "right").applyInArrow(_postings(SOURCES), "lang string, place int, other int, shared long")
     shared = shared.groupBy("lang", "place", "other").agg(F.sum("shared").alias("shared"))
     back = own.select("lang", F.col("place").alias("other"), F.col("other").alias("place"), F.col("own").alias("theirs"))
     key = ["lang", "place", "other"]
@@ -166,9 +172,9 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     counts = materialize(kept_terms(docs, text_col, lang_col, source_col), "kept-terms")
     facts = materialize(group_facts(docs, counts, lang_col, source_col), "groups")
-    small = facts.select("lang", "source", "place", "kept", "total", "lang_total", "p0")
+    small = facts.drop("n_terms")
     scored = counts.join(small, ["lang", "source"]).select(
-        "lang", "source", "place", "term", "n", "p0",
+        "lang", "source", "place", "slices", "blocks", "term", "n", "p0",
         probability(F.col("n"), F.col("total"), F.col("kept")).alias("p"), probability(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"),
     )
     scored = materialize(scored, "scored-terms")

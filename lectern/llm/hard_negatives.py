@@ -30,12 +30,14 @@ STAGES = (0.5, 0.2, 0.05)
 ROTATION_BYTES = 1 << 26
 #: Products up to this size are exact in double precision.
 _EXACT = float(1 << 52)
+#: Scores at the ends of long stand for all beyond.
+_LOWEST = -float(1 << 63)
 
 
 def _lists(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), size)
 
 
 def integers(x: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ def candidates(rows: _Side, anchors: _Side, at: np.ndarray, least: np.ndarray, m
 
 def best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each group: higher scores first, then smaller ids."""
-    order = np.lexsort((ids, -score, group))
+    order = np.lexsort((ids, ~score, group))
     g = group[order]
     first = np.searchsorted(g, g, "left")
     return order[np.arange(len(g)) - first < k]
@@ -165,7 +167,7 @@ def _positives(turns: dict[int, tuple[np.ndarray, list[int]]]):
                     full = np.bincount(held[0], minlength=len(owner)) >= POSITIVES
                     worst = np.full(len(owner), np.inf)
                     np.minimum.at(worst, held[0], held[2].astype(np.float64))
-                    least = np.where(full, worst, -np.inf)
+                    least = np.where(full & (worst > _LOWEST), worst, -np.inf)
                 for column, v in zip(out, (owner[held[0]], ids[held[1]], held[2])):
                     column.append(v)
         return pa.table({n: np.concatenate([np.zeros(0, np.int64), *c]) for n, c in zip(("anchor_id", "positive_id", "score"), out)})
@@ -188,7 +190,7 @@ def _negatives(turns: dict[int, tuple[np.ndarray, list[int]]]):
             slots = max(map(len, lists))
             high = np.array([p + [-1] * (slots - len(p)) for p in lists], np.int64)  # scores below 0 have no negatives: -1 is no score
             floor = np.where(high >= 0, high - (high // 100 * (100 - MARGIN) + high % 100 * (100 - MARGIN) // 100), np.iinfo(np.int64).max)  # ceil of MARGIN hundredths
-            need, most = floor.astype(np.float64), high[:, 0].astype(np.float64)
+            need, most = floor.astype(np.float64), np.where(high[:, 0] == np.iinfo(np.int64).max, np.inf, high[:, 0].astype(np.float64))
             held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64),) * 3  # anchor * slots + slot, row, score
             for lo, hi in _chunks(len(ids), len(owner)):
                 # doubles round long scores by less than one part in 2^52: one more unit of slack keeps them in

@@ -151,9 +151,9 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Needs unique ids: documents meet their counts by id.
     """
     taken = mix(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("_id"), "size", "taken").where("taken > 0")
-    rows = docs.join(taken, F.col(id_col) == F.col("_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).join(taken, F.col("doc_id") == F.col("_id"))
     copy = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("n")
-    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), "size", "taken", copy)
+    rows = rows.select("doc_id", "source", "text", "size", "taken", copy)
     rest = (F.col("taken") - F.col("n") * F.col("size")).cast("int")
     runs = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+"), F.lit(0))  # words and gaps take turns
     led = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
