@@ -11,6 +11,9 @@ ARXIV_IN_TEXT = "(?i)arXiv:\\s*(\\d{4}\\.\\d{4,5})(?:v\\d+)?"
 ISBN_IN_TEXT = "\\bISBN(?:-1[03])?:?\\s*((?:97[89][-\\s]?)?\\d[-\\d\\s]{9,16}[\\dXx])\\b"
 DOI_ADDRESS = "(?i)^https?://(dx\\.)?doi\\.org/"
 DOI_LABEL = "(?i)^doi:\\s*"
+#: A label, an address and a body; what a DOI begins with.
+LABELLED = "(?is)^(?:(doi|isbn|pmid)(?:\\s*:|\\s)\\s*)?(\\S*?doi\\.org/)?(.*)$"
+REGISTRANT = "^10\\.[0-9]{4,9}/\\S+$"
 
 
 def _filled(c: Column) -> Column:
@@ -52,22 +55,31 @@ def pmc_address(pmc: Column) -> Column:
     return F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/PMC"), pmc, F.lit("/"))
 
 
-def identifier_kind(c: Column) -> Column:
-    """doi, isbn or pmid by form; null where no form fits."""
-    raw = F.trim(c)
-    low, bare = F.lower(raw), F.regexp_replace(raw, "[-\\s]", "")
-    return (
-        F.when(low.rlike("^pmid[: ]"), "pmid").when(low.rlike("^isbn[: ]"), "isbn").when(low.startswith("doi:") | low.contains("doi.org/"), "doi")
-        .when(raw.rlike("^10\\.\\d{4,9}/\\S+$"), "doi").when(raw.rlike("^\\d{1,8}$"), "pmid").when(bare.rlike("^(\\d{9}[\\dxX]|\\d{13})$"), "isbn")
+def parsed_identifier(c: Column) -> Column:
+    """struct(kind, value) of a whole string: its label or address names the kind, else the shape of what is left; null fields where nothing fits.
+
+    A string is read as an optional label (doi, isbn or pmid, with a colon or blank), an optional address of the DOI resolver, and a body. A body
+    of digits is told by their number: up to 8 make a PMID, 10 (the last may be an x) or 13 an ISBN; a registrant and a slash make a DOI.
+    """
+    part = lambda k: F.regexp_extract(F.trim(c), LABELLED, k)
+    label, address, body = F.lower(part(1)), part(2), F.trim(part(3))
+    compact = F.translate(body, "- \t\n", "")
+    digits, n = F.regexp_count(compact, F.lit("[0-9]")), F.length(compact)
+    checked = (n == 10) & (digits == 9) & F.lower(compact).endswith("x")
+    shape = (
+        F.when((digits == n) & (n == F.length(body)) & n.between(1, 8), "pmid").when(((digits == n) & n.isin(10, 13)) | checked, "isbn")
+        .when(F.regexp_extract(body, REGISTRANT, 0) != "", "doi")
     )
+    kind = F.when(label != "", label).when(address != "", "doi").otherwise(shape)
+    return F.struct(kind.alias("kind"), F.when(kind == "isbn", compact).when(kind.isNotNull(), body).alias("value"))
+
+
+def identifier_kind(c: Column) -> Column:
+    return parsed_identifier(c)["kind"]
 
 
 def identifier_value(c: Column) -> Column:
-    """The identifier without label, address, hyphens or spaces, by its kind."""
-    raw, kind = F.trim(c), identifier_kind(c)
-    doi = F.trim(F.regexp_replace(F.regexp_replace(raw, DOI_LABEL, ""), DOI_ADDRESS, ""))
-    isbn = F.regexp_replace(F.regexp_replace(raw, "(?i)^isbn[:\\s]*", ""), "[-\\s]", "")
-    return F.when(kind == "doi", doi).when(kind == "isbn", isbn).when(kind == "pmid", F.trim(F.regexp_replace(raw, "(?i)^pmid[:\\s]*", "")))
+    return parsed_identifier(c)["value"]
 
 
 def found_identifier(c: Column) -> Column:

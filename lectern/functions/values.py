@@ -13,6 +13,13 @@ from pyspark.sql.types import StringType
 ANNOTATION_COLOUR = "#ffd400"
 EXPORT_FORMATS = {"bib": "bibtex", "bibtex": "bibtex", "ris": "ris", "csljson": "csljson", "citation": "bib", "bibliography": "bib"}
 REDACTED = "***"
+#: What compilers print when their environment fails, as (reason, program that must be named, messages as the words of a line), in order of precedence.
+ENVIRONMENT_MESSAGES = (
+    ("updates", "", [["not checked for miktex updates"]]),
+    ("download", "", [["api2.miktex.org"], ["going to download"]]),
+    ("repository", "", [["cannot contact", "repository"]]),
+    ("network", "miktex", [["fatal"], ["could not resolve host"], ["failed to connect"], ["connection timed out"], ["ssl connect error"], ["could not be contacted"]]),
+)
 
 
 def _normal(value):
@@ -63,16 +70,18 @@ def undefined_lines(log: Column) -> Column:
 
 
 def environment_issue(log: Column) -> Column:
-    """Why a compiler's run failed for reasons of its environment: updates, download, repository or network; null for errors of the text itself.
+    """Why a compiler's run failed for reasons of its environment: the first row of ENVIRONMENT_MESSAGES that the log shows; null for errors of the text itself.
 
-    A missing package alone is no such reason.
+    A row shows when one line holds all words of one of its messages and its program is named anywhere. A missing package alone is no
+    such reason.
     """
-    says = lambda pattern: log.rlike(f"(?i){pattern}")
-    broken = says("fatal|could not resolve host|failed to connect|connection timed out|ssl connect error|could not be contacted")
-    return (
-        F.when(says("not checked for miktex updates"), "updates").when(says("api2\\.miktex\\.org|going to download"), "download")
-        .when(says("cannot contact.*repository"), "repository").when(says("miktex") & broken, "network")
-    )
+    words = lambda message: F.array(*map(F.lit, message))
+    rows = F.array(*[F.struct(F.lit(reason).alias("reason"), F.lit(program).alias("program"), F.array(*map(words, messages)).alias("messages")) for reason, program, messages in ENVIRONMENT_MESSAGES])
+    low = F.lower(log)
+    lines = F.split(low, "\n")
+    says = lambda message: F.exists(lines, lambda line: F.forall(message, lambda w: F.contains(line, w)))
+    shown = F.filter(rows, lambda r: F.contains(low, r["program"]) & F.exists(r["messages"], says))
+    return F.get(shown, F.lit(0))["reason"]
 
 
 def export_format(wanted: Column) -> Column:

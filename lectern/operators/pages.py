@@ -7,26 +7,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page of (key, status, lengths), with running sums of all lengths of a batch at once."""
+    for b in batches:
+        lengths = b.column(2)
+        n = np.diff(lengths.offsets.to_numpy())
+        flat = lengths.flatten().to_numpy().astype(np.int64)
+        ends, first = np.cumsum(flat), np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), n)
+        base = np.concatenate(([0], ends))[first]
+        page = np.arange(len(flat)) - first[row]
+        start, end = ends - flat - base[row], ends - base[row] - (page == n[row] - 1)
+        ints = [pa.array(x.astype(np.int32)) for x in (page, start, end, n[row])]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *ints, b.column(1).take(pa.array(row))], names=["key", "page", "start", "end", "n_pages", "status"])
+
+
 def page_table(texts: DataFrame, separator: str = "\f") -> DataFrame:
     """(key, page, start, end, n_pages, status): one row per page of (key, text, pages).
 
     status is ok, no-separators, count-mismatch (``pages`` is known and differs) or empty-page; offsets are
-    code points and a page keeps its separator, as in running text. Only ok pages are exact.
+    code points and a page keeps its separator, as in running text. Only ok pages are exact. A null text has no pages.
     """
-    parts = F.split("text", separator)
-    lengths = F.transform(parts, lambda p: F.char_length(p) + 1)
-    starts = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x))
+    parts = texts.where("text is not null").select("key", "pages", F.split("text", separator).alias("parts"))
+    n = F.size("parts")
     status = (
-        F.when(F.size(parts) == 1, "no-separators").when((F.col("pages") > 0) & (F.col("pages") != F.size(parts)), "count-mismatch")
-        .when(F.exists(parts, lambda p: F.trim(F.regexp_replace(p, "\\s", "")) == ""), "empty-page").otherwise("ok")
+        F.when(n == 1, "no-separators").when((F.col("pages") > 0) & (F.col("pages") != n), "count-mismatch")
+        .when(F.exists("parts", lambda p: F.trim(F.regexp_replace(p, "\\s", "")) == ""), "empty-page").otherwise("ok")
     )
-    rows = texts.select("key", parts.alias("parts"), F.size(parts).alias("n_pages"), status.alias("status"), F.posexplode(F.arrays_zip(starts.alias("start"), lengths.alias("length"))).alias("page", "p"))
-    end = F.col("p.start") + F.col("p.length") - F.when(F.col("page") == F.col("n_pages") - 1, 1).otherwise(0)
-    return rows.select("key", "page", F.col("p.start").alias("start"), end.alias("end"), "n_pages", "status")
+    lengths = parts.select("key", status.alias("status"), F.transform("parts", lambda p: F.char_length(p) + 1).alias("lengths"))
+    kind = texts.schema["key"].dataType.simpleString()
+    return lengths.mapInArrow(_page_rows, f"key {kind}, page int, start int, end int, n_pages int, status string")
 
 
 def page_label(page: Column, labels: Column, n_pages: Column) -> Column:
@@ -138,13 +152,16 @@ def labelled_chunks(chunks: DataFrame, texts: DataFrame, separator: str = "\f")
 
     Where the separators agree with the page count (``page_table`` says ok), the page is exact and its
     label comes from the table. Otherwise it is estimated in proportion to the position, and without a page
-    count there is no label. Each chunk meets the pages of its own text only.
+    count there is no label. Pages and chunks of a text are put in one order, in which a chunk takes the last page begun.
     """
     t = texts.withColumn("key", F.col("key").cast("string"))
     labels = F.col("labels") if "labels" in texts.columns else F.lit(None).cast("array<string>")
     t = t.select("key", "text", F.col("pages").cast("int").alias("pages"), labels.alias("labels"))
-    ok = page_table(t, separator).where("status = 'ok'").select(F.col("key").alias("p_key"), "page", "start", "end", "n_pages")
-    exact = chunks.select("key", "idx", "char_start").join(ok, (F.col("key") == F.col("p_key")) & (F.col("char_start") >= F.col("start")) & (F.col("char_start") < F.col("end"))).select("key", "idx", "page", "n_pages")
+    begun = page_table(t, separator).where("status = 'ok'").select("key", F.col("start").alias("at"), F.lit(None).cast("int").alias("idx"), "page", "n_pages")
+    asked = chunks.select("key", F.col("char_start").alias("at"), "idx", F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("n_pages"))
+    so_far = Window.partitionBy("key").orderBy("at", F.col("idx").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far).alias(c)
+    exact = begun.unionByName(asked).select("key", "idx", last("page"), last("n_pages")).where("idx is not null and page is not null").distinct()
     facts = t.select("key", "pages", "labels", F.char_length("text").alias("length"))
     rows = chunks.join(facts, "key", "left").join(exact, ["key", "idx"], "left")
     guess = estimated_page(F.col("char_start"), F.col("length"), F.col("pages"))

@@ -22,7 +22,7 @@ def ladder(items: DataFrame, trashed: DataFrame, query: str, semantic: Callable[
     alive = stats.in_trash(items, trashed).where("not deleted")
     if semantic is not None:
         try:
-            allowed = stats.search(alive, "", ["key"], limit=(1 << 31) - 1, **filters).select("key")
+            allowed = alive.where(stats.matching("", [], **filters)).select("key")
             hits = materialize(semantic(query).join(allowed, "key", "left_semi").orderBy(F.desc("score"), "key").limit(max(1, limit)), "hits")
             if not hits.isEmpty():
                 return hits.withColumn("level", F.lit("semantic")).withColumn("degraded", F.array().cast("array<string>"))

@@ -37,15 +37,15 @@ def in_trash(items: DataFrame, trashed: DataFrame) -> DataFrame:
     return items.join(listed, "key", "left").withColumn("deleted", F.coalesce(flag, F.lit(False)) | F.coalesce("_listed", F.lit(False))).drop("_listed")
 
 
-def search(
-    items: DataFrame, query: str, columns: list[str], item_type: str | None = None, collection: str | None = None, tag: str | None = None, deleted: bool | None = None, limit: int = 25, start: int = 0
-) -> DataFrame:
-    """Items any of whose columns contain the query, in key order; at least one, ``limit`` at most.
+def matching(
+    query: str, columns: list[str], item_type: str | None = None, collection: str | None = None, tag: str | None = None, deleted: bool | None = None
+) -> Column:
+    """The condition that any of the columns contains the query (every item where there are none) and all filters hold.
 
     Filters: item type, membership of a collection, a tag of ``tags`` (array of names), and the boolean ``deleted``.
     """
     wanted = F.lit(query.lower())
-    hit: Column = F.lit(False)
+    hit: Column = F.lit(not columns)
     for c in columns:
         hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).contains(wanted), F.lit(False))
     if item_type is not None:
@@ -56,7 +56,12 @@ def search(
         hit = hit & F.array_contains("tags", tag)
     if deleted is not None:
         hit = hit & (F.col("deleted") == deleted)
-    return items.where(hit).orderBy("key").offset(start).limit(max(1, limit))
+    return hit
+
+
+def search(items: DataFrame, query: str, columns: list[str], limit: int = 25, start: int = 0, **filters) -> DataFrame:
+    """Items that are ``matching``, in key order; at least one, ``limit`` at most."""
+    return items.where(matching(query, columns, **filters)).orderBy("key").offset(start).limit(max(1, limit))
 
 
 def collection_paths(collections: DataFrame, max_depth: int = 200) -> DataFrame:

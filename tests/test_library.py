@@ -115,3 +115,20 @@ def test_bibliography_problems(spark):
     content = "@article{a,\n title={x}, author={y}, year={1}}\n@book{b,\n title={x}\n@misc nothing"
     got = exports.audit(spark.createDataFrame([("f", content)], "file string, content string")).collect()
     assert [(r["key"], sorted(r["problems"])) for r in got] == [("a", []), ("b", ["lacks author", "lacks year", "unbalanced"]), (None, ["no head"])]
+
+
+def test_bibliographies_are_scanned_by_their_grammar():
+    text = (
+        'see title = {x}\n@string{a = "b"}\n@Article(k1, Title = "a {quoted "" b} = c, year = 1", author = {A (B) and {C}} # x, year = 2000)\n'
+        "@comment{k, year = 1}\n@book{k2, abstract = {title = {no}, @home\n}, YEAR=1\n}\n@misc{k3}\n@misc{, title={t}}"
+    )
+    assert exports.scan(text) == [("article", "k1", ["title", "author", "year"], True), ("book", "k2", ["abstract", "year"], True), ("misc", "k3", [], True), ("misc", None, ["title"], True)]
+    assert exports.scan("") == [] and exports.scan("@") == [] and exports.scan("@a{k, b = {x\n@c{d}") == [("a", "k", ["b"], False), ("c", "d", [], True)]
+
+
+def test_identifiers_are_parsed_once(spark):
+    raw = ["doi: 10.1/x", "HTTPS://dx.doi.org/10.5555/a b", "10.5555/abc", "10.55/abc", "ISBN 0-306-40615-2", "978 0 306 40615 7", "1234 5678", "12345678", "123456789", "PMID:  77 ", "x", "", None]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, raw string").select("k", ids.parsed_identifier(F.col("raw")).alias("p")).orderBy("k").collect()
+    kinds = ["doi", "doi", "doi", None, "isbn", "isbn", None, "pmid", None, "pmid", None, None, None]
+    values = ["10.1/x", "10.5555/a b", "10.5555/abc", None, "0306406152", "9780306406157", None, "12345678", None, "77", None, None, None]
+    assert [r["p"]["kind"] for r in rows] == kinds and [r["p"]["value"] for r in rows] == values
