@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lectern.operators import index, pages, vectors
+from lectern.operators import index, pages, semantic, vectors
 from lectern.queries import query, table
+from lectern.storage import shared_dir
 
 _PAGES = """p AS (
   SELECT doc_id AS key, string_split(text, chr(10)) AS parts, doc_id % 7 AS known FROM documents
@@ -151,13 +154,54 @@ def incremental_merged(spark, sf_dir):
     return index.merged(stored, index.changed(current, stored), current)
 
 
+#: The chunks of the index that two updates and a compaction leave: all documents but those that vanished, with the pages they begin on.
+_INDEXED = f"""{_CHUNKS}, {_PAGES}, exact AS (SELECT key, page, start, start + len - CASE WHEN page = n_pages - 1 THEN 1 ELSE 0 END AS stop FROM r WHERE status = 'ok'
+), indexed AS (
+  SELECT c.key, c.idx, c.text, c.char_start, CASE WHEN e.page IS NOT NULL THEN CASE WHEN e.page % 2 = 0 THEN 'S' || (e.page + 1) ELSE CAST(e.page + 1 AS VARCHAR) END
+    WHEN d.doc_id % 7 = 3 THEN CASE WHEN least(2, floor(char_start / (length(d.text) / 3))) % 2 = 0 THEN 'S' ELSE '' END || CAST(least(3, CAST(floor(char_start / (length(d.text) / 3)) AS BIGINT) + 1) AS VARCHAR) END AS page_label,
+    e.page IS NULL AND d.doc_id % 7 = 3 AS estimated
+  FROM chunks c JOIN documents d ON d.doc_id = c.key LEFT JOIN exact e ON e.key = c.key AND c.char_start >= e.start AND c.char_start < e.stop WHERE c.key % 7 <> 2
+)"""
+
+
+def _index(spark, sf_dir) -> str:
+    """The folder of an index that was built, updated and compacted: a third of the documents come late, a fifth in a new version, a seventh vanish.
+
+    Lines are read as pages, every seventh text claims three; pages have labels on every other page only.
+    """
+    folder, model = f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", semantic.character_embedder(16)
+    d, late, renewed = F.col("doc_id"), F.col("doc_id") % 3 == 1, F.col("doc_id") % 5 == 0
+    docs = table(spark, sf_dir, "documents").select(d, "text", F.when(d % 7 == 3, 3).alias("pages"))
+    n = F.greatest(F.size(F.split("text", "\n")), F.lit(3))
+    docs = docs.withColumn("labels", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i % 2 == 0, F.concat(F.lit("S"), (i + 1).cast("string"))).otherwise("")))
+    first = docs.where(~late).select(d.alias("key"), F.when(renewed, F.concat("text", F.lit(" of old"))).otherwise(F.col("text")).alias("text"), "pages", "labels")
+    semantic.update(folder, first, first.select("key", F.lit(1).alias("version")), model, separator="\n")
+    second = docs.where(d % 7 != 2).select(d.alias("key"), "text", "pages", "labels", F.when(late | renewed, 2).otherwise(1).alias("version"))
+    semantic.update(folder, second.drop("version"), second.select("key", "version"), model, separator="\n")
+    semantic.compact(spark, folder, model)
+    semantic.vacuum(spark, folder)
+    return folder
+
+
 @query(
-    """WITH RECURSIVE t AS (SELECT doc_id AS key, CASE WHEN doc_id % 5 > 0 THEN 'x' END AS page_label, doc_id % 2 = 0 AS estimated FROM documents)
-SELECT count(DISTINCT key) AS items, count(*) AS chunks, count(*) FILTER (WHERE page_label IS NOT NULL AND NOT estimated) AS precise, count(*) FILTER (WHERE page_label IS NOT NULL AND estimated) AS estimated, count(*) FILTER (WHERE page_label IS NULL) AS unlabelled FROM t"""
+    f"""WITH RECURSIVE {_INDEXED}, why AS (SELECT status, count(*) AS n FROM s JOIN (SELECT DISTINCT key FROM indexed) USING (key) WHERE status <> 'ok' GROUP BY 1)
+SELECT count(DISTINCT key) AS items, count(*) AS chunks, count(*) FILTER (WHERE page_label IS NOT NULL AND NOT estimated) AS precise, count(*) FILTER (WHERE page_label IS NOT NULL AND estimated) AS estimated, count(*) FILTER (WHERE page_label IS NULL) AS unlabelled,
+  CAST(2 AS BIGINT) AS watermark, 1 AS runs, (SELECT string_agg(status || ': ' || n, ', ' ORDER BY n DESC, status) FROM why) AS degraded FROM indexed"""
 )
 def index_status(spark, sf_dir):
-    d = F.col("doc_id")
-    return index.status(table(spark, sf_dir, "documents").select(d.alias("key"), F.when(d % 5 > 0, "x").alias("page_label"), (d % 2 == 0).alias("estimated")))
+    rows = semantic.status(spark, _index(spark, sf_dir))
+    return rows.select("items", "chunks", "precise", "estimated", "unlabelled", "watermark", "runs", F.array_join("degraded", ", ").alias("degraded"))
+
+
+@query(
+    f"""WITH RECURSIVE {_INDEXED}, c AS (SELECT key, idx, char_start, page_label, estimated, list_transform(string_split(text, ''), lambda x: unicode(x) % 16) AS codes FROM indexed
+), q AS (SELECT list_transform(string_split('the vector of a query', ''), lambda x: unicode(x) % 16) AS codes
+), v AS (SELECT c.*, list_transform(range(16), lambda k: CAST(len(list_filter(c.codes, lambda x: x = k)) AS DOUBLE)) AS a, list_transform(range(16), lambda k: CAST(len(list_filter(q.codes, lambda x: x = k)) AS DOUBLE)) AS b FROM c, q)
+SELECT CAST(key AS VARCHAR) AS key, CAST(idx AS INTEGER) AS idx, char_start, page_label, estimated, round(list_cosine_similarity(a, b), 4) AS score FROM v ORDER BY list_cosine_similarity(a, b) DESC, CAST(key AS VARCHAR), idx LIMIT 20"""
+)
+def semantic_hits(spark, sf_dir):
+    hits = semantic.search(spark, _index(spark, sf_dir), "the vector of a query", semantic.character_embedder(16), 20)
+    return hits.select("key", "idx", "char_start", "page_label", "estimated", F.round("score", 4).alias("score"))
 
 
 _QUERY = "(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 0)"
