@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers as ids
-from lectern.operators import identify, tokens
+from lectern.operators import identify, tokens, unigram
 from lectern.queries import query, table
 
 
@@ -31,6 +31,22 @@ def word_piece_counts(spark, sf_dir):
     return tokens.encode_word_pieces(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), vocabulary).select("key", "n_tokens", "n_unknown")
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ß', 'ss'), '\s+')) AS w FROM documents
+), k AS (SELECT doc_id, length(w) + CASE WHEN regexp_matches(w, '^[a-z]') THEN 0 ELSE 1 END AS n, length(regexp_replace(w, '[!-~]', '', 'g')) AS u FROM w WHERE w <> '')
+SELECT CAST(d.doc_id AS VARCHAR) AS key, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens, CAST(coalesce(sum(u), 0) AS BIGINT) AS n_unknown FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1"""
+)
+def unigram_counts(spark, sf_dir):
+    """Likeliest pieces of small-letter words under single characters and letters that begin a word."""
+    single = [chr(c) for c in range(33, 127)]
+    begins = [unigram.METASPACE + chr(c) for c in range(97, 123)]
+    pieces = ["<unk>", unigram.METASPACE, *single, *begins]
+    scores = [0.0, -3.0, *[-4.0 - k / 100 for k in range(len(single))], *[-5.0 - k / 100 for k in range(len(begins))]]
+    rules = {chr(c).encode(): chr(c + 32).encode() for c in range(65, 91)} | {"ß".encode(): b"ss"}
+    model = unigram.UnigramModel(pieces, scores, rules=rules)
+    return unigram.encode(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), model).select("key", "n_tokens", "n_unknown")
+
+
 @query(
     """SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS level, CASE WHEN p_partkey % 4 < 3 THEN 'doi' END AS kind, CASE WHEN p_partkey % 4 < 3 THEN '10.1000/' || p_partkey END AS value FROM part"""
 )
