@@ -1,11 +1,13 @@
-"""Highlight exchange: items and their annotations as one XML document per export request."""
+"""Highlight exchange: items and their annotations as XML elements, numbered and ordered by export request."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.numbering import numbered_within
+from lectern.storage import materialize
 
 SECTIONS = ("References", "Locations", "KnowledgeItems", "Annotations", "EntityLinks")
 
@@ -38,30 +40,45 @@ def _element(tag: str, key: Column | None, fields: list[tuple[str, Column]], att
     return F.concat_ws("\n", head, *body, F.lit(f"    </{tag}>"))
 
 
-def exchange(items: DataFrame, annotations: DataFrame, root: str, prefix: str = "x-", type_col: str = "reference_type") -> DataFrame:
-    """(export, xml, n_items, n_annotations).
+def elements(items: DataFrame, annotations: DataFrame, prefix: str = "x-", type_col: str = "reference_type") -> DataFrame:
+    """(export, section, k, xml): every element of the exports, in no order; section is its place in SECTIONS and k its number there.
 
     items: export, ord, key, title, year, doi, path and reference_type; those without a path are left out.
     annotations: key, pos, type, text, comment, color, label, position; those without usable quads are left
-    out. Ids count within an export: references and locations by ord, annotations by (ord, pos).
+    out. Ids count within an export, without gaps: references and locations by ord, annotations by (ord, pos). An export of any size
+    is numbered by range totals, over as many tasks as its rows need.
     """
-    i = items.where(F.coalesce("path", F.lit("")) != "").withColumn("n", F.row_number().over(Window.partitionBy("export").orderBy("ord")).cast("string"))
+    i = numbered_within(items.where(F.coalesce("path", F.lit("")) != ""), ["export"], [F.col("ord"), F.col("key")], "k")
+    i = materialize(i.withColumn("n", (F.col("k") + 1).cast("string")), "exchange-items")
     ref, loc = F.concat(F.lit(f"{prefix}R"), "n"), F.concat(F.lit(f"{prefix}L"), "n")
     kind = F.concat(F.lit('    <Reference id="'), ref, F.lit('" ReferenceType="'), tx.escape_xml(F.col(type_col)), F.lit('">'))
     reference = F.concat_ws("\n", kind, *[F.concat(F.lit(f"      <{n}>"), tx.escape_xml(F.coalesce(F.col(c), F.lit(""))), F.lit(f"</{n}>")) for n, c in (("Title", "title"), ("Year", "year"), ("DOI", "doi"))], F.lit("    </Reference>"))
     address = F.to_json(F.struct(F.col("path").alias("UriString")))
     location = _element("Location", loc, [("ReferenceID", ref), ("Address", address)])
     a = annotations.withColumn("quads", quads(F.col("position"))).where("quads is not null").join(i.select("export", "ord", "key", "n"), "key")
-    a = a.withColumn("m", F.row_number().over(Window.partitionBy("export").orderBy("ord", "pos")).cast("string"))
+    a = numbered_within(a, ["export"], [F.col("ord"), F.col("key"), F.col("pos")], "k").withColumn("m", (F.col("k") + 1).cast("string"))
     note, mark = F.concat(F.lit(f"{prefix}K"), "m"), F.concat(F.lit(f"{prefix}A"), "m")
     knowledge = _element("KnowledgeItem", note, [("CoreStatement", F.col("comment")), ("Text", F.col("text")), ("QuotationType", tx.quotation_type(F.col("color"), F.col("comment")).cast("string")), ("PageRange", F.col("label"))])
     annotation = _element("Annotation", mark, [("Quads", F.col("quads")), ("LocationID", loc)])
     link = _element("EntityLink", None, [("SourceID", note), ("TargetID", mark)])
-    part = lambda s, x: F.struct(F.lit(SECTIONS.index(s)).alias("s"), x.alias("x"))
-    rows = i.select("export", F.col("n").cast("int").alias("k"), F.explode(F.array(part("References", reference), part("Locations", location))).alias("p"))
-    rows = rows.unionByName(a.select("export", F.col("m").cast("int").alias("k"), F.explode(F.array(part("KnowledgeItems", knowledge), part("Annotations", annotation), part("EntityLinks", link))).alias("p")))
-    lists = rows.groupBy("export").agg(F.array_sort(F.collect_list(F.struct("p.s", "k", "p.x"))).alias("ps"))
-    of = lambda k: F.transform(F.filter("ps", lambda p: p["s"] == k), lambda p: p["x"])
-    sections = [F.concat_ws("\n", F.lit(f"  <{s}>"), of(k), F.lit(f"  </{s}>")) for k, s in enumerate(SECTIONS)]
-    xml = F.concat_ws("\n", F.lit('<?xml version="1.0" encoding="utf-8"?>'), F.lit(f'<{root} Version="6">'), *sections, F.lit(f"</{root}>"), F.lit(""))
-    return lists.select("export", xml.alias("xml"), F.size(of(0)).alias("n_items"), F.size(of(3)).alias("n_annotations"))
+    part = lambda s, x: F.struct(F.lit(SECTIONS.index(s)).alias("section"), x.alias("xml"))
+    of = lambda rows, *parts: rows.select("export", F.explode(F.array(*parts)).alias("p"), "k").select("export", "p.section", "k", "p.xml")
+    return of(i, part("References", reference), part("Locations", location)).unionByName(of(a, part("KnowledgeItems", knowledge), part("Annotations", annotation), part("EntityLinks", link)))
+
+
+def lines(parts: DataFrame, root: str) -> DataFrame:
+    """(export, section, k, xml) of the elements with the tags around sections and documents: ordered by section and k, each export is its XML document."""
+    tags = [(-1, 0, f'<?xml version="1.0" encoding="utf-8"?>\n<{root} Version="6">'), (len(SECTIONS), 0, f"</{root}>")]
+    tags += [t for s, name in enumerate(SECTIONS) for t in ((s, -1, f"  <{name}>"), (s, (1 << 62), f"  </{name}>"))]
+    around = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).cast("long").alias("k"), F.lit(x).alias("xml")) for s, k, x in tags])
+    frames = parts.select("export").distinct().select("export", F.explode(around).alias("t")).select("export", "t.*")
+    return parts.withColumn("k", F.col("k").cast("long")).unionByName(frames)
+
+
+def exchange(items: DataFrame, annotations: DataFrame, root: str, prefix: str = "x-", type_col: str = "reference_type") -> DataFrame:
+    """(export, xml, n_items, n_annotations): one document a row, for exports that a row can hold; larger ones are written from ``lines``, in order."""
+    rows = lines(materialize(elements(items, annotations, prefix, type_col), "exchange-elements"), root)
+    count = lambda s: F.count_if((F.col("section") == SECTIONS.index(s)) & F.col("k").between(0, (1 << 62) - 1)).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct("section", "k", "xml")))
+    xml = F.concat(F.array_join(F.transform(ordered, lambda p: p["xml"]), "\n"), F.lit("\n"))
+    return rows.groupBy("export").agg(xml.alias("xml"), count("References").alias("n_items"), count("Annotations").alias("n_annotations"))
