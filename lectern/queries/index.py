@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lectern.operators import index, pages, semantic, vectors
+from lectern.operators import containment, index, pages, semantic, vectors
 from lectern.queries import query, table
 from lectern.storage import shared_dir
 
@@ -240,6 +240,58 @@ def retrieval_metrics(spark, sf_dir):
     )
 
 
+_MANY = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, ['de', 'en', 'fr', 'es'][vec_id % 4 + 1] AS lang, CASE WHEN vec_id % 60 > 0 THEN label END AS expected, vec_id % 9 / 10.0 AS unknown_rate, v AS qv FROM e WHERE vec_id % 15 = 0
+), h AS (SELECT query_id, vec_id AS id, label AS item, list_distance(v, qv) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(v, qv), vec_id) AS rank FROM q JOIN e ON vec_id <> query_id QUALIFY rank <= 10)"""
+
+
+def _many(spark, sf_dir):
+    v, d = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    queries = v.where(d % 15 == 0).select(d.alias("query_id"), "embedding", F.get(F.array(*map(F.lit, ("de", "en", "fr", "es"))), (d % 4).cast("int")).alias("lang"), F.when(d % 60 > 0, F.col("label")).alias("expected"), (d % 9 / 10).alias("unknown_rate"))
+    return queries, vectors.nearest_many(v.select(d.alias("id"), "embedding"), queries.select("query_id", "embedding"), 10)
+
+
+@query(f"WITH {_MANY} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM h")
+def nearest_to_many(spark, sf_dir):
+    return _many(spark, sf_dir)[1].withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    f"""WITH {_MANY}, p AS (SELECT query_id, coalesce(bool_or(item = expected AND rank = 1), false) AS first, coalesce(bool_or(item = expected), false) AS among, max(greatest(-1, least(1, 1 - distance * distance / 2))) AS best FROM h JOIN q USING (query_id) GROUP BY 1)
+SELECT lang, count(expected) AS queries, round(count(*) FILTER (WHERE expected IS NOT NULL AND first) / nullif(count(expected), 0), 4) AS top1, round(count(*) FILTER (WHERE expected IS NOT NULL AND among) / nullif(count(expected), 0), 4) AS in_top,
+  round(avg(unknown_rate), 4) AS unknown_rate, count(*) FILTER (WHERE expected IS NULL) AS negatives, round(max(best) FILTER (WHERE expected IS NULL), 4) AS highest_negative FROM q LEFT JOIN p USING (query_id) GROUP BY 1"""
+)
+def retrieval_by_language(spark, sf_dir):
+    """Hits of many queries held against expected labels, by language, with queries that nothing answers."""
+    queries, hits = _many(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("item"))
+    hits = hits.join(labels, "id").withColumn("score", vectors.score_of(F.col("distance")))
+    return vectors.retrieval_report(queries.drop("embedding"), hits)
+
+
+@query(
+    r"""WITH s AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS v FROM benchmark UNION ALL SELECT 1000000 + item_id, substr(regexp_replace(text, '\s+', '', 'g'), 1, 9) FROM benchmark
+), t AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS v FROM documents) SELECT item_id AS string_id, doc_id AS text_id FROM s JOIN t ON contains(t.v, s.v) WHERE s.v <> ''"""
+)
+def contained_passages(spark, sf_dir):
+    """Documents that hold a benchmark passage or its first nine characters, white space aside."""
+    b = table(spark, sf_dir, "benchmark")
+    short = F.substring(containment.squeezed(F.col("text")), 1, 9)
+    strings = b.select(F.col("item_id").alias("id"), F.col("text").alias("value")).unionByName(b.select((F.col("item_id") + 1000000).alias("id"), short.alias("value")))
+    return containment.containing(strings, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("value")))
+
+
+@query(
+    f"""WITH {_PAGES}, g AS (SELECT r.key, page, regexp_replace(substr(text, CAST(start AS BIGINT) + 1, CAST(len AS BIGINT)), '\\s+', '', 'g') AS segment, regexp_replace(substr(text, CAST(start AS BIGINT) + 1 + CASE WHEN page % 10 = 3 THEN 30 ELSE 0 END, 25), '\\s+', '', 'g') AS head FROM r JOIN documents ON doc_id = r.key)
+SELECT count(*) AS pages, count(*) FILTER (WHERE head <> '' AND contains(segment, head)) AS matched, round(count(*) FILTER (WHERE head <> '' AND contains(segment, head)) / count(*), 4) AS share FROM g"""
+)
+def page_head_matches(spark, sf_dir):
+    """Lines as pages: whether the 25 characters at a page's start (on some pages, 30 further on) stand in its segment."""
+    rows = pages.page_table(_paged(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), "key")
+    text = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    head = F.substring("text", F.col("start") + 1 + F.when(F.col("page") % 10 == 3, 30).otherwise(0), F.lit(25))
+    return containment.page_heads(rows.select("key", "page", head.alias("head")), rows.select("key", "page", text.alias("text")))
+
+
 @query(
     """WITH e AS (SELECT label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2)
 SELECT label, CAST(i AS INTEGER) AS i, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v FROM m"""
