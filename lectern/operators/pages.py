@@ -71,6 +71,8 @@ _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *
 _ENDS = np.array([ord(c) for c in ".!?;\u3002\uff01\uff1f\uff1b"], np.uint32)
 
 Spans = tuple[np.ndarray, np.ndarray]
+#: Words whose pieces a task remembers.
+KNOWN_WORDS = 200_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -123,17 +125,82 @@ def chunk_spans(text: str, max_tokens: int, overlap: float = 0.125, tokens: Call
     return out
 
 
-def chunk(texts: DataFrame, max_tokens: int = 128, overlap: float = 0.125) -> DataFrame:
+#: The tokens of a text and the pieces that a model makes of each.
+Weights = Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def weighted_spans(text: str, max_pieces: int, weights: Weights, overlap: float = 0.125) -> list[tuple[int, int, int]]:
+    """(start, end, pieces) of overlapping chunks of at most ``max_pieces`` pieces: ``chunk_spans`` for tokens of unequal weight.
+
+    Limits are looked up in the running sums of the weights, which increase. A chunk that cannot hold the rest ends at the best boundary
+    of its later half; the next one begins at the first token from which on at most ``overlap`` of its pieces are repeated. Only a single token that is too heavy by itself
+    makes a chunk beyond the limit: ``weights`` should split such tokens.
+    """
+    if not 0 < overlap <= 0.2:
+        raise ValueError(f"overlap must lie in (0, 0.2]: {overlap}")
+    if max_pieces <= 0:
+        raise ValueError(f"max_pieces must be positive: {max_pieces}")
+    starts, ends, weight = weights(text)
+    sums = np.concatenate(([0], np.cumsum(weight)))
+    n, first, out = len(starts), 0, []
+    rank = boundary_ranks(text, starts, ends)
+    while first < n:
+        most = max(first + 1, int(np.searchsorted(sums, sums[first] + max_pieces, "right")) - 1)
+        cut = n
+        if most < n:
+            least = min(most, max(first + 1, int(np.searchsorted(sums, sums[first] + max_pieces // 2, "left"))))
+            later = rank[least : most + 1]
+            cut = least + len(later) - 1 - int(later[::-1].argmax())
+        out.append((int(starts[first]), int(ends[cut - 1]), int(sums[cut] - sums[first])))
+        if cut == n:
+            break
+        repeated = math.floor((sums[cut] - sums[first]) * overlap + 0.5)
+        first = max(first + 1, int(np.searchsorted(sums, sums[cut] - repeated, "left")))
+    return out
+
+
+def piece_weights(lengths_of: Callable[[str], list[int]], most: int) -> Weights:
+    """Weights of white-space separated words from the lengths, in characters, of the pieces that a model makes of a word.
+
+    A word of more than ``most`` pieces is split at every piece. Lengths that do not sum up to the word (a tokeniser may fold letters) count
+    but do not split. Words are looked up once a task.
+    """
+    known: dict[str, list[int]] = {}
+
+    def weights(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends = whitespace_tokens(text)
+        rows: list[tuple[int, int, int]] = []
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            word = text[s:e]
+            sizes = known.get(word)
+            if sizes is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                sizes = known[word] = lengths_of(word)
+            if len(sizes) <= most or sum(sizes) != e - s:
+                rows.append((s, e, max(1, len(sizes))))
+            else:
+                at = s + np.concatenate(([0], np.cumsum(sizes)))
+                rows += [(int(x), int(y), 1) for x, y in zip(at[:-1], at[1:])]
+        columns = np.array(rows, np.int64).reshape(-1, 3)
+        return columns[:, 0], columns[:, 1], columns[:, 2]
+
+    return weights
+
+
+def chunk(texts: DataFrame, max_tokens: int = 128, overlap: float = 0.125, lengths_of: Callable[[str], list[int]] | None = None) -> DataFrame:
     """(key, idx, text, char_start, char_end, content_hash, tokens) of (key, text); text[char_start:char_end] is the chunk's text.
 
-    A null, empty or blank text has no chunks; rows that repeat a key are chunked each.
+    Tokens are white-space separated words or, with ``lengths_of`` (lengths of the pieces of a word), the pieces of a model. A null, empty or
+    blank text has no chunks; rows that repeat a key are chunked each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = piece_weights(lengths_of, max_tokens) if lengths_of is not None else None
         for b in batches:
             keys, index, start, end, size, parts = [], [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                spans = chunk_spans(text or "", max_tokens, overlap)
+                spans = chunk_spans(text or "", max_tokens, overlap) if weights is None else weighted_spans(text or "", max_tokens, weights, overlap)
                 keys += [key] * len(spans)
                 index += range(len(spans))
                 start += [x[0] for x in spans]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ def basic_words(c: Column, ideographs_alone: bool = True) -> Column:
     return F.regexp_extract_all(tx.fold(c), F.lit(f"(?U)[{alone}]|[^\\s{alone}]+"), F.lit(0))
 
 
-def word_pieces(word: str, vocabulary: dict[str, int], unknown: str = "[UNK]") -> list[str]:
+def word_pieces(word: str, vocabulary: Container[str], unknown: str = "[UNK]") -> list[str]:
     """Longest pieces from the left, inner ones marked ##; a word with a gap is unknown as a whole."""
     out, at = [], 0
     while at < len(word):
@@ -36,6 +37,21 @@ def word_pieces(word: str, vocabulary: dict[str, int], unknown: str = "[UNK]") -
     return out
 
 
+def word_piece_lengths(vocabulary: list[str]):
+    """For ``pages.chunk``: the lengths of the pieces of a white-space separated word; its marks and ideographs stand alone, an unknown part is one piece."""
+    known = frozenset(vocabulary)
+    parts = re.compile(f"[{PUNCTUATION}{IDEOGRAPHS}]|[^{PUNCTUATION}{IDEOGRAPHS}]+")
+
+    def lengths(word: str) -> list[int]:
+        out = []
+        for part in parts.findall(word):
+            pieces = word_pieces(decomposed(part), known)
+            out += [len(part)] if len(pieces) == 1 else [len(p.removeprefix("##")) for p in pieces]
+        return out
+
+    return lengths
+
+
 def unigram_pieces(text: str, scores: dict[str, float], longest: int = 32) -> list[str]:
     """The likeliest segmentation under piece log-probabilities; a character without a piece costs 10 more than the worst."""
     penalty = min(scores.values(), default=0.0) - 10

@@ -102,6 +102,34 @@ def chunk_pages(spark, sf_dir):
     return pages.labelled_chunks(pages.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")), texts).select("key", "idx", "char_start", "page_label", "estimated")
 
 
+#: Chunks of at most 700 letters: running sums of the words' letters, then one chunk after the other.
+_PIECES = r"""parts AS (SELECT doc_id AS key, text, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS g FROM documents
+), numbered AS (SELECT key, unnest(range(len(w))) AS i, unnest(w) AS w, unnest(g[1:len(w)]) AS g FROM parts WHERE len(w) > 0
+), placed AS (SELECT key, i, w, g, CAST(sum(length(g) + length(w)) OVER (PARTITION BY key ORDER BY i) AS BIGINT) AS e, CAST(sum(length(w)) OVER (PARTITION BY key ORDER BY i) AS BIGINT) AS s, lag(w) OVER (PARTITION BY key ORDER BY i) AS before FROM numbered
+), ranked AS (
+  SELECT key, list(e - length(w) ORDER BY i) AS starts, list(e ORDER BY i) AS ends, list_concat([CAST(0 AS BIGINT)], list(s ORDER BY i)) AS sums, count(*) AS n,
+    list_concat(list(CASE WHEN i = 0 THEN 0 WHEN length(g) - length(replace(g, chr(10), '')) > 1 THEN 2 WHEN contains(g, chr(10)) OR right(before, 1) IN ('.', '!', '?', ';', '。', '！', '？', '；') THEN 1 ELSE 0 END ORDER BY i), [2]) AS ranks
+  FROM placed GROUP BY key
+), edges AS (
+  SELECT key, 0 AS idx, CAST(0 AS BIGINT) AS first, CAST(len(list_filter(sums, lambda x: x <= 700)) - 1 AS BIGINT) AS most, CAST(len(list_filter(sums, lambda x: x < 350)) AS BIGINT) AS low FROM ranked
+), cuts AS (
+  SELECT key, idx, first, CASE WHEN most >= n THEN n ELSE most + 1 - list_position(list_reverse(ranks[greatest(first + 1, least(most, low)) + 1:most + 1]), list_max(ranks[greatest(first + 1, least(most, low)) + 1:most + 1])) END AS cut FROM edges JOIN ranked USING (key)
+  UNION ALL
+  SELECT key, idx + 1, f, CASE WHEN most >= n THEN n ELSE most + 1 - list_position(list_reverse(ranks[greatest(f + 1, least(most, low)) + 1:most + 1]), list_max(ranks[greatest(f + 1, least(most, low)) + 1:most + 1])) END
+  FROM (SELECT *, CAST(len(list_filter(sums, lambda x: x <= sums[f + 1] + 700)) - 1 AS BIGINT) AS most, CAST(len(list_filter(sums, lambda x: x < sums[f + 1] + 350)) AS BIGINT) AS low
+    FROM (SELECT c.key, idx, n, ranks, sums, greatest(first + 1, CAST(len(list_filter(sums, lambda x: x < sums[cut + 1] - CAST(floor((sums[cut + 1] - sums[first + 1]) * 0.125 + 0.5) AS BIGINT))) AS BIGINT)) AS f FROM cuts c JOIN ranked USING (key) WHERE cut < n))
+)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PIECES} SELECT CAST(c.key AS VARCHAR) AS key, CAST(idx AS INTEGER) AS idx, CAST(starts[first + 1] AS INTEGER) AS char_start, CAST(ends[cut] AS INTEGER) AS char_end, CAST(sums[cut + 1] - sums[first + 1] AS INTEGER) AS tokens FROM cuts c JOIN ranked USING (key)"""
+)
+def chunks_by_pieces(spark, sf_dir):
+    """Chunks of at most 700 pieces under a vocabulary of single characters, in which a word weighs its letters."""
+    single = lambda word: [1] * len(word)
+    return pages.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), 700, lengths_of=single).select("key", "idx", "char_start", "char_end", "tokens")
+
+
 @query(
     """SELECT l_orderkey AS key, substr(sha256(string_agg(h, '|' ORDER BY l_linenumber, h)), 1, 16) AS content_hash, count(*) AS n_chunks
 FROM (SELECT l_orderkey, l_linenumber, substr(sha256(l_partkey || '/' || l_suppkey), 1, 16) AS h FROM lineitem) GROUP BY 1"""
