@@ -12,7 +12,7 @@ from lectern.sources.windows import file_windows, window_text
 def test_only_windows_are_read(spark, tmp_path):
     folder = tmp_path / "files"
     (folder / "deep").mkdir(parents=True)
-    (folder / "a.pdf").write_bytes(b"%PDF-1.4 doi 10.1000/abc." + b"x" * 75)
+    (folder / "a.pdf").write_bytes(b"%PDF-1.4 doi 10.1000/abc. " + b"x" * 74)
     with open(folder / "deep" / "large name.pdf", "wb") as f:  # a hole of 3 GB: reading it whole would not go unnoticed
         f.write(b"H" * 10)
         f.truncate(3 << 30)
