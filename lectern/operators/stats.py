@@ -64,6 +64,48 @@ def search(items: DataFrame, query: str, columns: list[str], limit: int = 25, st
     return items.where(matching(query, columns, **filters)).orderBy("key").offset(start).limit(max(1, limit))
 
 
+#: Conditions of one saved search, at most: they become one expression.
+MAX_CONDITIONS = 500
+
+
+def _holds(row, columns: dict[str, str]) -> Column:
+    """One condition of a saved search on the column that its field names."""
+    c, value = F.col(columns[row["field"]]), row["value"] or ""
+    some = (lambda test: F.exists(c, test)) if row["field"] in ("tag", "collection") else (lambda test: test(c.cast("string")))
+    low = value.lower()
+    tests = {
+        "is": lambda x: F.lower(x) == low, "contains": lambda x: F.contains(F.lower(x), F.lit(low)), "beginsWith": lambda x: F.startswith(F.lower(x), F.lit(low)),
+        "isLessThan": lambda x: x.try_cast("double") < F.lit(value).try_cast("double"), "isGreaterThan": lambda x: x.try_cast("double") > F.lit(value).try_cast("double"),
+        "isBefore": lambda x: x < value, "isAfter": lambda x: x > value,
+    }
+    negated = {"isNot": "is", "doesNotContain": "contains"}
+    operator = row["operator"]
+    if operator not in tests and operator not in negated:
+        raise ValueError(f"unknown operator {operator}")
+    found = F.coalesce(some(tests[negated.get(operator, operator)]), F.lit(False))
+    return ~found if operator in negated else found
+
+
+def saved_search(items: DataFrame, searches: DataFrame, search_key: str, columns: dict[str, str]) -> DataFrame:
+    """Items that a saved search finds. searches: search, field, operator, value, and any (whether one condition is enough; the same in all rows of a search).
+
+    columns names the column of each field; tag and collection are arrays of which one element must fit. Operators: is, isNot, contains,
+    doesNotContain, beginsWith, isLessThan, isGreaterThan (numbers), isBefore, isAfter (texts), without case. A null fits no condition but the negated ones. Raises
+    ValueError for an unknown search, field or operator, and beyond MAX_CONDITIONS.
+    """
+    rows = searches.where(F.col("search") == search_key).limit(MAX_CONDITIONS + 1).collect()
+    if not rows or len(rows) > MAX_CONDITIONS:
+        raise ValueError(f"no search {search_key}" if not rows else f"more than {MAX_CONDITIONS} conditions")
+    unknown = sorted({r["field"] for r in rows} - columns.keys())
+    if unknown:
+        raise ValueError(f"unknown fields {unknown}")
+    either = bool(rows[0]["any"])
+    hit = F.lit(not either)
+    for r in rows:
+        hit = hit | _holds(r, columns) if either else hit & _holds(r, columns)
+    return items.where(hit)
+
+
 def collection_paths(collections: DataFrame, max_depth: int = 200) -> DataFrame:
     """(key, name, parent, path, level) of a collection table (key, name, parent); orphans count as roots.
 

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lectern.plans import journal
+from lectern.operators import stats
+from lectern.plans import compiled, journal
 from lectern.queries import query, table
+from lectern.sources.tables import catalogue
 from lectern.storage import shared_dir
 
 #: Parts as items, with one plan of several ordered operations on each; every fifth was planned on an older version.
@@ -72,3 +74,53 @@ def plan_taken_back(spark, sf_dir):
     folder = _library(spark, sf_dir)
     journal.roll_back(spark, folder, "plan-1")
     return _shown(journal.current(spark, folder))
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS key, s AS seq, CASE s WHEN 0 THEN 'remove-tag' ELSE 'add-tag' END AS kind, CASE s WHEN 0 THEN 'Brand#11' ELSE 'renamed' END AS value, CAST(p_size AS BIGINT) AS expected_version
+FROM part, (SELECT unnest([CAST(0 AS BIGINT), 1]) AS s) WHERE p_brand = 'Brand#11' AND p_partkey % 3 = 0"""
+)
+def tag_rename_plan(spark, sf_dir):
+    """A tag renamed on those of the asked items that hold it."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    items = p.select(k.cast("string").alias("key"), F.col("p_size").alias("version"), F.array("p_brand", "p_type").alias("tags"))
+    asked = p.where(k % 3 == 0).select(k.cast("string").alias("key"))
+    return compiled.rename_tag(items, "Brand#11", "renamed", asked.unionByName(asked)).select("key", "seq", "kind", "value", "expected_version")
+
+
+@query(
+    """WITH p AS (SELECT *, '@created:' || p_partkey AS key FROM part), o AS (
+  SELECT key, CAST(0 AS BIGINT) AS seq, 'create' AS kind, NULL AS field, CASE WHEN p_partkey % 3 = 0 THEN 'document' ELSE 'book' END AS value FROM p
+  UNION ALL SELECT key, 1, 'set', 'publisher', p_brand FROM p WHERE p_partkey % 2 = 0 UNION ALL SELECT key, 1 + (p_partkey % 2 = 0)::INT, 'set', 'title', p_name FROM p
+  UNION ALL SELECT key, 2 + (p_partkey % 2 = 0)::INT, 'add-tag', NULL, p_type FROM p UNION ALL SELECT key, 3 + (p_partkey % 2 = 0)::INT, 'add-collection', NULL, 'C1' FROM p WHERE p_partkey % 5 = 0
+) SELECT * FROM o"""
+)
+def added_items(spark, sf_dir):
+    k = F.col("p_partkey")
+    fields = F.create_map(F.lit("title"), F.col("p_name"), F.lit("version"), F.lit("7"), F.lit("publisher"), F.when(k % 2 == 0, F.col("p_brand")), F.lit("note"), F.lit(""))
+    records = table(spark, sf_dir, "part").select(k.alias("ord"), F.when(k % 3 > 0, "book").alias("item_type"), fields.alias("fields"), F.array("p_type", F.lit(None)).alias("tags"), F.when(k % 5 == 0, F.array(F.lit("C1"))).alias("collections"))
+    return compiled.add_items(records).drop("expected_version")
+
+
+@query(
+    """SELECT CAST(2 * count(*) AS BIGINT) AS items, CAST(sum(7 + (p_partkey % 2)) AS BIGINT) AS operations, (2 * count(*)) || ' create, ' || CAST(sum(5 + (p_partkey % 2)) AS BIGINT) || ' set' AS text FROM part"""
+)
+def import_plan_summary(spark, sf_dir):
+    """Files imported as items with attachments; every other one was identified."""
+    k = F.col("p_partkey")
+    files = table(spark, sf_dir, "part").select(k.alias("ord"), F.concat(F.lit("/scans/a study of "), k.cast("string"), F.lit(".pdf")).alias("path"), F.col("p_name").alias("title"), F.when(k % 2 == 1, "doi").alias("kind"), F.when(k % 2 == 1, F.concat(F.lit("10.1000/"), k.cast("string"))).alias("value"))
+    return compiled.summary(compiled.import_files(files))
+
+
+@query(
+    """SELECT p_partkey AS key FROM part WHERE contains(lower(p_name), 'bolt') AND p_type <> 'PROMO' AND p_partkey % 4 = 1 AND p_partkey > 300
+UNION ALL SELECT -p_partkey FROM part WHERE lower(p_brand) = 'brand#12' OR p_partkey < 20"""
+)
+def saved_searches(spark, sf_dir):
+    """Two saved searches: one all of whose conditions must hold, one of which one is enough."""
+    rows = [("s1", "title", "contains", "BOLT", False), ("s1", "type", "isNot", "promo", False), ("s1", "collection", "is", "c1", False), ("s1", "key", "isGreaterThan", "300", False), ("s2", "author", "is", "Brand#12", True), ("s2", "key", "isLessThan", "20", True)]
+    searches = spark.createDataFrame(rows, "search string, field string, operator string, value string, any boolean")
+    columns = {"title": "title", "type": "item_type", "collection": "collections", "key": "key", "author": "author"}
+    items = catalogue(spark, sf_dir)
+    found = lambda s: stats.saved_search(items, searches, s, columns).select("key")
+    return found("s1").unionByName(found("s2").select((-F.col("key")).alias("key")))
