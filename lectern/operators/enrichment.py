@@ -31,8 +31,12 @@ def _filled(c: Column) -> Column:
 
 
 def records(payloads: DataFrame) -> DataFrame:
-    """Every answered payload in the common form; all services are read by one projection, without a row-wise function."""
-    rows = payloads.withColumn("p", F.from_json("body", PAYLOAD))
+    """Every answered payload in the common form; all services are read by one projection, without a row-wise function.
+
+    Bodies are JSON, those of the preprint server an Atom feed of which the first entry counts.
+    """
+    feed = F.when(F.col("source") == "arxiv", arxiv_record(F.col("body")))
+    rows = payloads.withColumn("p", F.when(F.col("source") != "arxiv", F.from_json("body", PAYLOAD))).withColumn("x", feed)
     p = lambda path: F.col(f"p.{path}")
     is_ = lambda *names: F.col("source").isin(*names)
     retraction = lambda c: F.get(F.filter(c, lambda e: e["type"] == "retraction"), F.lit(0))
@@ -43,12 +47,12 @@ def records(payloads: DataFrame) -> DataFrame:
     crossref_doi = ids.doi_reference(p("message.DOI"))
     hit = (
         F.when(is_("openalex"), _filled(p("id")).isNotNull()).when(is_("semanticscholar"), _filled(p("paperId")).isNotNull()).when(is_("crossref"), p("message").isNotNull())
-        .when(is_("pubmed"), p("summary").isNotNull()).otherwise(F.col("p").isNotNull())
+        .when(is_("pubmed"), p("summary").isNotNull()).when(is_("arxiv"), F.col("x").isNotNull()).otherwise(F.col("p").isNotNull())
     )
     found = rows.where((F.col("status") == 200) & F.coalesce(hit, F.lit(False)))
     open_place = F.coalesce(_filled(p("best_oa_location.url_for_pdf")), _filled(p("best_oa_location.url")), _filled(p("best_oa_location.url_for_landing_page")))
     values = {
-        "doi": F.when(is_("openalex", "unpaywall"), ids.doi_reference(p("doi"))).when(is_("semanticscholar"), ids.doi_reference(p("externalIds.DOI"))).when(is_("crossref"), crossref_doi).when(is_("pubmed"), ids.doi_reference(article_id("doi"))),
+        "doi": F.when(is_("openalex", "unpaywall"), ids.doi_reference(p("doi"))).when(is_("semanticscholar"), ids.doi_reference(p("externalIds.DOI"))).when(is_("crossref"), crossref_doi).when(is_("pubmed"), ids.doi_reference(article_id("doi"))).when(is_("arxiv"), F.col("x.doi")),
         "cited_by": F.when(is_("openalex"), p("cited_by_count")),
         "citations": F.when(is_("semanticscholar"), p("citationCount")),
         "influential": F.when(is_("semanticscholar"), p("influentialCitationCount")),
@@ -57,8 +61,8 @@ def records(payloads: DataFrame) -> DataFrame:
         "retraction_doi": F.when(is_("crossref"), F.when(by.isNotNull(), ids.doi_reference(by["DOI"])).when(to.isNotNull(), crossref_doi)),
         "journal": F.when(is_("openalex"), _filled(p("primary_location.source.display_name"))).when(is_("crossref"), first_filled(F.col("p.message.`container-title`"))),
         "abbreviation": F.when(is_("openalex"), _filled(p("primary_location.source.abbreviated_title"))).when(is_("crossref"), first_filled(F.col("p.message.`short-container-title`"))).when(is_("pubmed"), _filled(p("summary.source"))),
-        "oa_url": F.when(is_("semanticscholar"), _filled(p("openAccessPdf.url"))).when(is_("unpaywall") & p("is_oa"), open_place),
-        "oa_license": F.when(is_("semanticscholar"), _filled(p("openAccessPdf.license"))).when(is_("unpaywall") & p("is_oa"), _filled(p("best_oa_location.license"))),
+        "oa_url": F.when(is_("semanticscholar"), _filled(p("openAccessPdf.url"))).when(is_("unpaywall") & p("is_oa"), open_place).when(is_("arxiv"), F.col("x.pdf_url")),
+        "oa_license": F.when(is_("semanticscholar"), _filled(p("openAccessPdf.license"))).when(is_("unpaywall") & p("is_oa"), _filled(p("best_oa_location.license"))).when(is_("arxiv"), F.col("x.license")),
         "oa_status": F.when(is_("unpaywall"), _filled(p("oa_status"))),
         "pmc_id": F.when(is_("openalex"), ids.pmc_id(p("ids.pmcid"))).when(is_("semanticscholar"), ids.pmc_id(p("externalIds.PubMedCentral"))).when(is_("pubmed"), ids.pmc_id(article_id("pmc"))),
     }

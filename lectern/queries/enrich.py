@@ -93,3 +93,30 @@ def preprint_feed(spark, sf_dir):
     )
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), enrichment.arxiv_record(feed).alias("r"))
     return t.select("key", "r.*")
+
+
+@query(
+    """WITH e AS (SELECT p_partkey AS key, p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s FROM part)
+SELECT key, '10.1000/' || CASE WHEN k % 3 > 0 THEN 'P' ELSE 'x' END || s AS doi, k % 4 = 0 AS retracted, CASE WHEN k % 4 = 0 THEN 'pubmed' ELSE '' END AS retraction_sources, CASE WHEN k % 4 = 0 THEN 'Retracted Publication' END AS retraction_label,
+  'J Med' AS abbreviation, 'pubmed' AS abbreviation_source, CASE WHEN k % 5 > 0 THEN 'arxiv' WHEN k % 2 = 0 THEN 'pmc' END AS oa_source,
+  CASE WHEN k % 5 > 0 THEN 'https://arxiv.org/pdf/2101.' || s WHEN k % 2 = 0 THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || (k + 100000) || '/' END AS oa_url, CASE WHEN k % 5 > 0 THEN 'https://license/' || s END AS oa_license, CASE WHEN k % 2 = 0 THEN CAST(k + 100000 AS VARCHAR) END AS pmc_id
+FROM e WHERE k % 7 > 0
+UNION ALL SELECT key, '10.1000/x' || s, false, '', NULL, NULL, NULL, CASE WHEN k % 5 > 0 THEN 'arxiv' END, CASE WHEN k % 5 > 0 THEN 'https://arxiv.org/pdf/2101.' || s END, CASE WHEN k % 5 > 0 THEN 'https://license/' || s END, NULL FROM e WHERE k % 7 = 0"""
+)
+def summaries_and_preprints(spark, sf_dir):
+    """Article summaries, some without a DOI or missing, and feeds of a preprint server, some without a PDF link, merged by item."""
+    k = F.col("p_partkey")
+    s = k.cast("string")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    some = lambda cond, *parts: F.when(cond, line(*parts)).otherwise("")
+    summary = line(
+        '{"summary":{"pubtype":["Journal Article"', some(k % 4 == 0, ',"Retracted Publication"'), '],"source":" J Med ","articleids":[{"idtype":"pubmed","value":"', s, '"}', some(k % 3 > 0, ',{"idtype":"doi","value":"10.1000/P', s, '"}'), some(k % 2 == 0, ',{"idtype":"pmc","value":"PMC', (k + 100000).cast("string"), '"}'), "]}}"
+    )
+    feed = line(
+        "<feed><entry><id>http://arxiv.org/abs/2101.", s, "</id><title>Of part ", s, "</title><arxiv:doi xmlns:arxiv='a'>10.1000/x", s, '</arxiv:doi><link rel="license" href="https://license/', s, '"/>',
+        some(k % 5 > 0, '<link title="pdf" rel="related" href="https://arxiv.org/pdf/2101.', s, '"/>'), "</entry><entry><id>http://other</id></entry></feed>",
+    )
+    row = lambda source, rank, status, body: F.struct(F.lit(source).alias("source"), F.lit(rank).alias("rank"), status.alias("status"), body.alias("body"))
+    answers = F.array(row("pubmed", 0, F.when(k % 7 == 0, 404).otherwise(200), summary), row("arxiv", 1, F.lit(200), feed))
+    merged = enrichment.merge(enrichment.records(table(spark, sf_dir, "part").select(k.alias("key"), F.explode(answers).alias("r")).select("key", "r.*")))
+    return merged.select("key", "doi", "retracted", F.array_join("retraction_sources", ", ").alias("retraction_sources"), "retraction_label", "abbreviation", "abbreviation_source", "oa_source", "oa_url", "oa_license", "pmc_id")
