@@ -5,9 +5,11 @@ Items in long form: key, version, field, value. Operations: seq, key, field, val
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.numbering import numbered_within
+
 #: Fields that no plan may write.
 READ_ONLY = ("key", "version", "dateAdded", "dateModified")
 #: Fields that one update may write, at most: they are broadcast.
@@ -93,12 +95,12 @@ def new_annotations(batch: DataFrame, existing: DataFrame) -> DataFrame:
 def label_backfill(source: DataFrame, target: DataFrame) -> DataFrame:
     """(source_key, target_key, before, after): annotations paired one to one by text and page, in key order; labels that differ.
 
-    Candidates of one (text, page) are interchangeable, so the k-th source meets the k-th target.
+    Candidates of one (text, page) are interchangeable, so the k-th source meets the k-th target. They are numbered by range
+    totals, so that a text on a page may have any number of them.
     """
     text = lambda c: F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "\\s+", " ")
-    order = Window.partitionBy("t", "page").orderBy("key")
-    s = source.where(F.coalesce("label", F.lit("")) != "").where("page is not null").withColumn("t", text(F.col("text"))).withColumn("k", F.row_number().over(order))
-    g = target.where("page is not null").withColumn("t", text(F.col("text"))).withColumn("k", F.row_number().over(order))
+    placed = lambda rows: numbered_within(rows.where("page is not null").select("key", "page", "label", text(F.col("text")).alias("t")), ["t", "page"], [F.col("key")], "k")
+    s, g = placed(source.where(F.coalesce("label", F.lit("")) != "")), placed(target)
     pairs = s.select("t", "page", "k", F.col("key").alias("source_key"), F.col("label").alias("after")).join(g.select("t", "page", "k", F.col("key").alias("target_key"), F.col("label").alias("before")), ["t", "page", "k"])
     return pairs.where(~F.col("before").eqNullSafe(F.col("after"))).select("source_key", "target_key", "before", "after")
 
