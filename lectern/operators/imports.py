@@ -20,6 +20,7 @@ _BOOK = "title string, isbn_13 string, isbn_10 string, publish_date string, publ
 _SUMMARY = "title string, source string, pubdate string, volume string, issue string, pages string, articleids array<struct<idtype:string,value:string>>, authors array<struct<name:string>>"
 _ITEM = "itemType string, title string, date string, publicationTitle string, volume string, issue string, pages string, publisher string, language string, url string, ISSN string, ISBN string, DOI string, abstractNote string"
 FIELDS = ("title", "date", "container", "volume", "issue", "pages", "publisher", "language", "url", "issn", "isbn", "doi", "abstract", "n_pages")
+#: Fixed value: subjects of a book that become tags, the first ones.
 TAGS = 8
 
 
@@ -47,7 +48,7 @@ def contributors(authors: Column) -> Column:
 def service_records(answers: DataFrame) -> DataFrame:
     """(key, source, rank, item_type, FIELDS, tags, creators, reason) of every answer: reason says why it is no record, and is null for one.
 
-    Each service is read by one projection of its JSON; no row-wise function.
+    Each service is read by one projection of its JSON; no row-wise function. A book's tags are its first TAGS subjects.
     """
     rows = answers.withColumn("w", F.from_json(F.get_json_object("body", "$.message"), _WORK)).withColumn("b", F.from_json("body", _BOOK)).withColumn("s", F.from_json("body", _SUMMARY)).withColumn("i", F.from_json("body", _ITEM))
     is_ = lambda name: F.col("source") == name
