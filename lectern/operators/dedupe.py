@@ -12,6 +12,7 @@ from lectern.functions import identifiers as ids
 from lectern.functions import text as tx
 from lectern.functions.similarity import at_most, jaro_winkler_udf, letters
 from lectern.operators.graph import connected_components
+from lectern.operators.similar import BLOCK, meet, similar_texts, with_keys
 from lectern.storage import materialize
 
 
@@ -35,10 +36,6 @@ def folded(c: DataFrame) -> DataFrame:
     return c.where((F.col("title_key") != "") & F.col("item_type").isNotNull()).groupBy("item_type", "title_key", "author_key", "year").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-#: Forms of one type and year bucket that one part of a block holds, about; larger blocks are split.
-BLOCK = 4096
-
-
 def _compared(c: DataFrame, reach: int, width: int) -> DataFrame:
     """Pairs (l_*, r_*) of distinct comparison forms of one type whose year buckets are at most ``reach`` apart, and of forms without a year with all dated ones.
 
@@ -60,27 +57,108 @@ def _compared(c: DataFrame, reach: int, width: int) -> DataFrame:
     return pairs.withColumn("bound", at_most(F.col("l_title_key"), F.col("r_title_key"), F.col("l_letters"), F.col("r_letters"))).drop("bucket", "part", "l_letters", "r_letters")
 
 
+#: The place of forms that meet forms of any year, and of forms in groups that need no keys of authors.
+ANY, WHOLE = -(1 << 31), 0
+
+
+def _title_pairs(forms: DataFrame, threshold: float) -> DataFrame:
+    """(item_type, title_key, other, title_score): similar titles of a type in both directions; equal titles are left out."""
+    found = materialize(similar_texts(forms.select("item_type", "title_key").distinct(), "item_type", "title_key", threshold), "titles")
+    way = lambda a, b: found.select("item_type", F.col(a).alias("title_key"), F.col(b).alias("other"), F.col("score").alias("title_score"))
+    return way("l", "r").unionByName(way("r", "l"))
+
+
+def _with_others(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rows with every title that theirs matches (``other``), their own with score 1 among them."""
+    own = rows.withColumn("other", F.col("title_key")).withColumn("title_score", F.lit(1.0))
+    return own.unionByName(rows.join(titles, ["item_type", "title_key"]).select(*own.columns))
+
+
 def weak_pairs(c: DataFrame, title_threshold: float = 0.9, author_threshold: float = 0.9, year_tolerance: int = 1) -> DataFrame:
     """(src, dst, title_score, author_score, year_gap): pairs of distinct comparison forms, by their least keys, that match.
 
     Same type; titles and authors at least as similar as their thresholds, years within the tolerance; a
-    missing author or one missing year skips that test, two missing years are not compared. Spark drops the
-    pairs whose letters rule the threshold out; only the rest is scored.
+    missing author or one missing year skips that test, two missing years are not compared.
+
+    Distinct titles of a type are matched first, through an index of their rare letters; forms then meet by
+    equal title, or matched title, and year. Where over BLOCK forms stand at one type, title and year, authors
+    meet by such an index too, so no group is ever compared whole.
     """
-    pairs = _compared(c, 1, max(1, year_tolerance + 1)).where(F.col("bound") >= title_threshold - 1e-9)
-    pairs = pairs.where(F.col("l_year").isNull() | (F.abs(F.col("l_year") - F.col("r_year")) <= year_tolerance))
-    pairs = pairs.withColumn("title_score", jaro_winkler_udf("l_title_key", "r_title_key")).where(F.col("title_score") >= title_threshold)
+    return _weak(materialize(folded(c), "forms"), title_threshold, author_threshold, year_tolerance)[0]
+
+
+def _weak(forms: DataFrame, title_threshold: float, author_threshold: float, year_tolerance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``weak_pairs``, and the pairs of titles that they come from."""
+    titles = _title_pairs(forms, title_threshold)
+    years = F.when(F.col("year").isNull(), F.array(F.lit(ANY).cast("int"))).otherwise(F.sequence(F.col("year") - year_tolerance, F.col("year") + year_tolerance))
+    columns = ("author_key", "year", "rep")
+    left = _with_others(forms, titles).select("item_type", F.col("other").alias("title_key"), F.explode(years).alias("slot"), *[F.col(x).alias(f"l_{x}") for x in columns], "title_score")
+    right = forms.where("year is not null").select("item_type", "title_key", F.explode(F.array(F.col("year"), F.lit(ANY).cast("int"))).alias("slot"), *[F.col(x).alias(f"r_{x}") for x in columns])
+    place = ["item_type", "title_key", "slot"]
+    large = right.groupBy(*place).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BLOCK).select(*place, F.lit(True).alias("large"))
+    left = _keyed(left.join(large, place, "left"), "l_author_key", author_threshold, True)
+    right = _keyed(right.join(large, place, "left"), "r_author_key", author_threshold, False)
+    pairs = meet(left, right, [*place, "key"]).where(F.col("l_year").isNull() | (F.col("l_rep") < F.col("r_rep")))
+    pairs = pairs.select("l_rep", "r_rep", "l_author_key", "r_author_key", "title_score", F.abs(F.col("l_year") - F.col("r_year")).alias("year_gap"), "large")
+    pairs = pairs.where("large is null").unionByName(pairs.where("large").distinct())  # only keys of authors bring a pair together twice
     pairs = pairs.withColumn("author_score", jaro_winkler_udf("l_author_key", "r_author_key")).where(F.coalesce(F.col("author_score") >= author_threshold, F.lit(True)))
-    return pairs.select(
-        F.greatest("l_rep", "r_rep").alias("src"), F.least("l_rep", "r_rep").alias("dst"), "title_score", "author_score", F.abs(F.col("l_year") - F.col("r_year")).alias("year_gap")
+    return pairs.select(F.greatest("l_rep", "r_rep").alias("src"), F.least("l_rep", "r_rep").alias("dst"), "title_score", "author_score", "year_gap"), titles
+
+
+def _keyed(rows: DataFrame, author: str, threshold: float, is_left: bool) -> DataFrame:
+    """Rows by the keys at which they meet: one for all in small groups; in large ones those of the author, one of any author and one of none."""
+    small = rows.where("large is null").withColumn("key", F.lit(WHOLE).cast("long"))
+    keyed = with_keys(rows.where("large"), author, threshold, "shorter", "longer")
+    # either text may be the shorter one: what one side holds as the shorter the other holds as the longer
+    marked = lambda keys, mark: F.transform(F.col(keys), lambda k: F.xxhash64(k, F.lit(mark)))
+    own = F.concat(marked("shorter", 0 if is_left else 1), marked("longer", 1 if is_left else 0))
+    anyone, nobody = F.array(F.lit(1).cast("long")), F.array(F.lit(2).cast("long"))
+    keys = F.when(F.col(author).isNull(), anyone if is_left else F.concat(anyone, nobody)).otherwise(F.concat(own, nobody if is_left else anyone))
+    keyed = keyed.withColumn("key", F.explode(F.array_distinct(keys))).drop("shorter", "longer")
+    met = small.unionByName(keyed.select(*small.columns))
+    return met if is_left else met.drop("large")
+
+
+def _pairs_counted(counts: DataFrame, titles: DataFrame | None, reach: int) -> DataFrame:
+    """One row ``n``: pairs of distinct forms with matching titles (``titles`` None: of any) whose slots differ by ``reach`` at most, and of undated with dated ones.
+
+    counts: item_type, title_key, slot (null: undated), n. Pairs are products of counts; none is formed.
+    """
+    left = (_with_others(counts, titles) if titles is not None else counts.withColumn("other", F.col("title_key"))).select("item_type", F.col("other").alias("title_key"), "slot", F.col("n").alias("l_n"))
+    near = F.when(F.col("slot").isNull(), F.array(F.lit(ANY).cast("long"))).otherwise(F.sequence(F.col("slot") - reach, F.col("slot") + reach))
+    left = left.groupBy("item_type", "title_key", "slot").agg(F.sum("l_n").alias("l_n")).withColumn("undated", F.col("slot").isNull()).withColumn("slot", F.explode(near))
+    dated = counts.where("slot is not null").withColumn("slot", F.explode(F.array(F.col("slot"), F.lit(ANY).cast("long")))).groupBy("item_type", "title_key", "slot").agg(F.sum("n").alias("r_n"))
+    met = left.join(dated, ["item_type", "title_key", "slot"]).agg(
+        F.coalesce(F.sum(F.when(F.col("undated"), F.col("l_n") * F.col("r_n"))), F.lit(0)).alias("u"), F.coalesce(F.sum(F.when(~F.col("undated"), F.col("l_n") * F.col("r_n"))), F.lit(0)).alias("d")
     )
+    forms = counts.where("slot is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("self"))
+    return met.join(forms).select((F.col("u") + (F.col("d") - F.col("self")).cast("long") / F.lit(2)).cast("long").alias("n"))  # one row each
+
+
+def rejected_counts(c: DataFrame, title_threshold: float = 0.9, author_threshold: float = 0.9, year_tolerance: int = 1) -> DataFrame:
+    """(reason, n): how many pairs ``rejected_pairs`` holds for each reason, without forming them.
+
+    Compared pairs, those with matching titles and those with matching titles and years are products of
+    counts by type, title and year; the last step takes the matching pairs off.
+    """
+    forms = materialize(folded(c), "forms")
+    weak, titles = _weak(forms, title_threshold, author_threshold, year_tolerance)
+    width = max(1, year_tolerance + 1)
+    by = lambda title, slot: forms.groupBy("item_type", title.alias("title_key"), slot.cast("long").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.floor(F.col("year") / width)
+    compared = _pairs_counted(by(F.lit(""), bucket), None, 2).select(F.col("n").alias("compared"))
+    titled = _pairs_counted(by(F.col("title_key"), bucket), titles, 2).select(F.col("n").alias("titled"))
+    dated = _pairs_counted(by(F.col("title_key"), F.col("year")), titles, year_tolerance).select(F.col("n").alias("dated"))
+    one = compared.join(titled).join(dated).join(weak.agg(F.count(F.lit(1)).alias("matched")))  # one row each
+    steps = (("title", F.col("compared") - F.col("titled")), ("year", F.col("titled") - F.col("dated")), ("author", F.col("dated") - F.col("matched")))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("reason"), n.alias("n")) for r, n in steps]))).where("n > 0")
 
 
 def rejected_pairs(c: DataFrame, title_threshold: float = 0.9, author_threshold: float = 0.9, year_tolerance: int = 1) -> DataFrame:
     """(first, second, reason): compared pairs of distinct comparison forms that do not match, with the first test that fails.
 
     Compared are forms of one type whose year buckets are at most two apart, and forms without a year with
-    all dated ones of the type. These are many: aggregate the result or take a limit.
+    all dated ones of the type. These are many, one for nearly every two forms: take a limit, or ``rejected_counts`` for their numbers.
     """
     pairs = _compared(c, 2, max(1, year_tolerance + 1))
     open_ = F.col("bound") >= title_threshold - 1e-9  # the others fail by their letters, and are not scored

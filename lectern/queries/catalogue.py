@@ -128,7 +128,7 @@ def weak_pairs(spark, sf_dir):
 SELECT CASE WHEN t < 0.9 THEN 'title' WHEN gap > 1 THEN 'year' ELSE 'author' END AS reason, count(*) AS n FROM p WHERE t < 0.9 OR coalesce(gap > 1, false) OR coalesce(s < 0.9, false) GROUP BY 1"""
 )
 def rejected_pairs(spark, sf_dir):
-    return dedupe.rejected_pairs(dedupe.candidates(catalogue(spark, sf_dir))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return dedupe.rejected_counts(dedupe.candidates(catalogue(spark, sf_dir)))
 
 
 def _counts(spark, sf_dir):
