@@ -64,6 +64,13 @@ class _Composer:
             return f' {self.rng.choice(["class", "class", "id"])}="{self.rng.choice(choices)}"'
         return f' class="c{self.rng.randrange(1000)}"' if self.chance(0.5) else ""
 
+    def layout(self) -> str:
+        """A class attribute that names other parts of the page without being one: what its layout has or lacks."""
+        part = self.rng.choice(dom.TOKENS[self.rng.choice([g for g in dom.GROUPS if g != "good"])].split())
+        before, after = self.rng.choice(["has", "no", "with", "layout", "is", "col"]), self.rng.choice(["content", "left", "right", "on", "fixed", "wrap", "main"])
+        name = self.rng.choice([f"{before}-{part}", f"{part}-{after}", f"{before}-{part}-{after}", f"{self.words(1, 1).strip('.,').lower()}-{part}", f"{before}-{after} {part}"])
+        return f' {self.rng.choice(["class", "class", "id"])}="{name}"'
+
     def tag(self, semantic: str, plain: str = "div") -> str:
         return semantic if self.semantic and self.chance(0.85) else plain
 
@@ -126,7 +133,7 @@ class _Composer:
         if self.chance(0.3):
             out.append(self.share())
         loose, broken = self.chance(0.12), self.chance(0.3)
-        tiny = self.chance(0.2)
+        tiny = self.chance(0.3)
         n = self.rng.randrange(1, 4) if tiny or self.chance(0.25) else self.rng.randrange(3, 16)
         for _ in range(n):
             kind = self.rng.random()
@@ -153,8 +160,9 @@ class _Composer:
         out += [f() for f, p in ((self.share, 0.2), (self.sidebar, 0.08), (self.comments, 0.08)) if self.chance(p)]
         body = title + "".join(out)
         if self.chance(0.5):
-            body = f"<div{self.name('content', 'entry-content', 'post-body', 'article-body', 'text')}{gold}>{body}</div>"
-        return f"<{self.tag('article')}{self.name('article', 'post', 'entry', 'story', 'main-content', 'content')}{gold}>{body}</" + "div></article>"
+            body = f"<div{self.layout() if self.chance(0.1) else self.name('content', 'entry-content', 'post-body', 'article-body', 'text')}{gold}>{body}</div>"
+        names = self.layout() if self.chance(0.1) else self.name("article", "post", "entry", "story", "main-content", "content")
+        return f"<{self.tag('article')}{names}{gold}>{body}</" + "div></article>"
 
     def bare(self) -> str:
         """An article alone or nearly so: paragraphs right in the body or in plain wrappers, a single one, or text without any element."""
@@ -166,10 +174,11 @@ class _Composer:
         body = f"<{tag}{gold}>{self.paragraph(12, 140)}</{tag}>" + "".join(f"<{tag}{gold}>{self.paragraph(4, 120)}</{tag}>" for _ in range(n - 1))
         title = f"<h1{gold}>{self.words(2, 10)}</h1>" if self.chance(0.4) else ""
         for _ in range(self.rng.randrange(0, 3)):
-            body = f"<{self.tag('article')}{gold}>{body}</div></article>"
+            body = f"<{self.tag('article')}{self.layout() if self.chance(0.3) else ''}{gold}>{body}</div></article>"
         if self.chance(0.35):
             return title + body
-        return f"<html><body>{self.menu() if self.chance(0.4) else ''}{title}{body}{self.footer() if self.chance(0.4) else ''}"
+        body = f"{self.menu() if self.chance(0.4) else ''}{title}{body}{self.footer() if self.chance(0.4) else ''}"
+        return f"<html><body>{self.wrap('form', '', body) if self.chance(0.1) else body}"
 
     def page(self) -> str:
         if self.chance(0.2):
@@ -180,7 +189,14 @@ class _Composer:
         main = self.article()
         if self.chance(0.35):
             main = f"<{self.tag('main')}{self.name('main', 'container', 'wrapper', 'page')}>{some((self.menu, 0.15), (self.advert, 0.2))}{main}{some((self.sidebar, 0.2), (self.comments, 0.2))}</div></main>"
-        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{above}{main}{below}</body></html>"
+        if self.chance(0.08):  # what the layout has or lacks, said of the article's surroundings or of the whole page
+            main = self.wrap("div", self.layout(), main)
+        body = above + main + below
+        if self.chance(0.1):
+            body = self.wrap("div", self.layout(), body)
+        if self.chance(0.07):  # servers that put every page into one form
+            body = self.wrap("form", self.layout() if self.chance(0.2) else self.name("page", "main", "aspnet", "wrapper"), body)
+        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{body}</body></html>"
 
 
 def training_set(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:

@@ -366,3 +366,16 @@ def test_arrow_batches_are_bounded_by_rows_and_bytes(spark):
         session.conf.set(n, "10")
     words.bound_batches(session)
     assert [session.conf.get(n).removesuffix("b") for n in names] == ["10", "10"]
+
+
+def test_main_text_whatever_its_wrapper_is_called():
+    model, rng = html_extract.trained(), random.Random(4)
+    lexicon = "the of river quiet morning people window garden history letter market winter paper station early bright stone music report travel".split()
+    names = ["has-comments", "no-sidebar", "with-sidebar", "layout-sidebar-right", "widget-content", "news-box", "col-main box", "page-with-comments", "banner-layout", "has-ads"]
+    wrappers = [f"<div class='{n}'>|</div>" for n in names] + ["<form id='aspnetForm' action='/'><div>|</div></form>"]
+    for wrapper in wrappers:
+        for n in (2, 6):
+            lines = ["Title of the article", *[" ".join(rng.choices(lexicon, k=42)).capitalize() + "." for _ in range(n)]]
+            start, end = wrapper.split("|")
+            page = f"<html><body><nav><a href='/'>Home</a><a href='/a'>About us</a></nav>{start}<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:]) + f"{end}<footer>Copyright 2020 Site</footer></body></html>"
+            assert html_extract.main_texts([page], model) == ["\n".join(lines)], (wrapper, n)
