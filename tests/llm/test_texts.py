@@ -1,6 +1,7 @@
 """Text operators held against brute force, round trips and held-out labels, with awkward rows."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
