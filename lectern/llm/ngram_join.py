@@ -24,18 +24,28 @@ from lectern.llm.id_filter import FILTER_BITS, bitmap, flagged
 from lectern.operators.graph import connected_components
 from lectern.storage import materialize
 
-#: 32 bands of 5 values: a pair of similarity 0.8 shares no band with probability 3e-6.
-BANDS, ROWS = 32, 5
-N_HASHES = BANDS * ROWS
+#: MinHash values of a document, the most of them in one band, and the probability that a pair at the threshold shares no band.
+N_HASHES, BAND_VALUES, MISSED = 160, 5, 1e-5
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
-_C = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_C = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Pairs are compared in tiles of this many rows a side; a block holds at most this many documents and shingles.
 TILE, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4096, 2_000_000
 SEEDS = (0x51ED270B7A1F3C29, 0x2545F4914F6CDD1D)
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, values a band): the longest bands of which a pair at the threshold shares none with probability MISSED at most; 32 of 5 for 0.8.
+
+    Raises ValueError below about 0.07, where bands of one value would miss more.
+    """
+    for rows in range(BAND_VALUES, 0, -1):
+        if (1 - threshold**rows) ** (N_HASHES // rows) <= MISSED:
+            return N_HASHES // rows, rows
+    raise ValueError(f"a threshold of {threshold} is too low for {N_HASHES} values")
+
+
 def minhashes(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(documents, N_HASHES) uint32: least value of each random linear permutation; documents without shingles get the greatest value."""
     out = np.full((len(offsets) - 1, N_HASHES), 0xFFFFFFFF, np.uint32)
@@ -78,8 +88,10 @@ def fingerprint(s: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
     """(doc_id, text_hash, fp1, fp2, n_shingles, bands): fp1, fp2 and n_shingles name the shingle set."""
+    n_bands, n_rows = banding(threshold)
+    weights = _C[: n_bands * n_rows].reshape(n_bands, n_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,9 +100,9 @@ def class_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 n = len(offsets) - 1
                 counts = np.diff(offsets)
                 sums = [fingerprint(s, offsets, seed) for seed in SEEDS]
-                sig = minhashes(s, offsets).astype(np.uint64).reshape(n, BANDS, ROWS)
-                bands = words.mix((sig * _C).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), _signed(bands.reshape(-1)))
+                sig = minhashes(s, offsets)[:, : n_bands * n_rows].astype(np.uint64).reshape(n, n_bands, n_rows)
+                bands = words.mix((sig * weights).sum(axis=2, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), _signed(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, to - lo), b.column(2).slice(lo, to - lo), _signed(sums[0]), _signed(sums[1]), pa.array(counts.astype(np.int64)), flat],
                     names=["doc_id", "text_hash", "fp1", "fp2", "n_shingles", "bands"],
@@ -244,14 +256,15 @@ def near_duplicates(
     least ``threshold``. class_id is the least doc_id reachable by links, n_links the number of
     other documents linked directly (equal texts included), kept is doc_id = class_id. Links are
     verified exactly (on 64-bit shingle hashes), so none below the threshold is reported; a link
-    at the threshold is missed with probability below 1e-5, less above it.
+    at the threshold is missed with probability below 2e-5, less above it: bands are as long as the
+    threshold allows (``banding``).
 
     Defined cases: null or wordless text links with nothing; a text of fewer than ``width`` words
     has one shingle, all its words; rows without an id are left out; rows that repeat an id count as
     one document (the row of least text hash); an empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
-    keys = materialize(class_keys(docs, id_col, text_col, width), "shingle-classes")
+    keys = materialize(class_keys(docs, id_col, text_col, width, threshold), "shingle-classes")
     members = keys.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n_shingles", "fp1", "fp2")).alias("k"), F.count(F.lit(1)).alias("n_rows")).select("doc_id", "n_rows", "k.n_shingles", "k.fp1", "k.fp2")
     classes = (
         keys.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.first("bands").alias("bands"))

@@ -75,6 +75,31 @@ def test_ngram_join_equals_brute_force(spark):
     assert ids == sorted(k for k in root if root[k] == k) + [None]
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5])
+def test_lower_thresholds_lose_no_link(spark, threshold):
+    rng = np.random.default_rng(12)
+    texts, plain = {}, [f"t{k}" for k in range(5000)]
+    for k in range(60):  # pairs that share a run of words, of many similarities
+        run = [str(x) for x in rng.choice(plain, 60)]
+        cut = int(rng.integers(0, 45))
+        texts[2 * k], texts[2 * k + 1] = " ".join(run), " ".join(run[: 60 - cut] + [str(x) for x in rng.choice(plain, int(rng.integers(0, 20)))])
+    sets = {i: shingles_of(t) for i, t in texts.items()}
+    links = [(2 * k, 2 * k + 1) for k in range(60) if len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= threshold]
+    assert 15 < len(links) < 60
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), threshold=threshold).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == components(texts, links)
+    assert sum(r["n_links"] for r in got) == 2 * len(links)
+
+
+def test_banding_keeps_its_promise():
+    assert ngram_join.banding(0.8) == (32, 5)
+    for t in (0.07, 0.2, 0.5, 0.65, 0.8, 0.95):
+        bands, rows = ngram_join.banding(t)
+        assert bands * rows <= ngram_join.N_HASHES and (1 - t**rows) ** bands <= ngram_join.MISSED
+    with pytest.raises(ValueError):
+        ngram_join.banding(0.05)
+
+
 def test_ngram_join_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one_of_each_group(empty).count() == 0
