@@ -135,11 +135,13 @@ def embedding_duplicates(
     radius = float(np.sqrt(2 - 2 * threshold))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")).where("vec_id is not null")
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
+    # two hashes of 64 bits stand for a vector wherever equal ones are brought together
+    rows = rows.withColumn("h1", F.xxhash64(F.lit(1), "embedding")).withColumn("h2", F.xxhash64(F.lit(2), "embedding"))
     good = rows.where(usable("embedding") & F.col("label").isNotNull())
-    classes = materialize(
-        good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("label", F.size("embedding").alias("size"), "rep", "copies", "embedding"),
-        "vector-classes",
-    )
+    counts = good.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = counts.join(good.select(F.col("vec_id").alias("rep"), "embedding"), "rep")
+    classes = materialize(classes.select("label", F.size("embedding").alias("size"), "rep", "copies", "embedding", "h1", "h2"), "vector-classes")
+    hashes, classes = classes.select("label", "h1", "h2", "rep", "copies"), classes.drop("h1", "h2")
     cells = classes.mapInArrow(
         _assign(_pivots(classes, radius), radius), "label long, size int, rep long, copies long, embedding array<double>, cell long, home boolean"
     )
@@ -152,10 +154,10 @@ def embedding_duplicates(
     found = materialize(found, "links")
     component = connected_components(found, "rep", "root").withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("links"))
-    result = classes.join(links, "rep", "left").join(component, "rep", "left").select(
-        "label", "embedding", F.coalesce("component", "rep").alias("found"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    result = hashes.join(links, "rep", "left").join(component, "rep", "left").select(
+        "label", "h1", "h2", F.coalesce("component", "rep").alias("found"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
-    result = result.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "found", "links")
-    joined = rows.join(result, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
+    usable_rows = rows.select("vec_id", F.when(usable("embedding"), F.col("label")).alias("label"), "h1", "h2")
+    joined = usable_rows.join(result, ["label", "h1", "h2"], "left")
     component_id = F.coalesce("found", "vec_id")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), (component_id == F.col("vec_id")).alias("kept"))
