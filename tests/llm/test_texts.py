@@ -1,6 +1,7 @@
 """Text operators held against brute force, round trips and held-out labels, with awkward rows."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -79,6 +81,41 @@ def test_byte_tokens_equal_the_library():
     assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_whole_texts_go_to_the_encoder(monkeypatch):
+    seen = []
+    encode = tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: seen.append(text) or encode(self, text))
+    texts = ["A text of several words,  it's 12.", "another one\n\n"]
+    ByteTokens(default_path()).encode_batch(texts)
+    assert seen == texts
+
+
+def test_byte_tokens_split_every_character_as_the_library():
+    t = library("byte_bpe_50k.json")
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}, {c}  {c}{c}s" for c in characters[lo : lo + 500]) for lo in range(0, len(characters), 500)]
+    got = ByteTokens(default_path()).encode_batch(texts)
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_byte_tokens_of_very_long_white_space():
+    t = library("byte_bpe_50k.json")
+    for text in (" " * 1_100_000 + "x", "a b" + "\n" * 1_100_000, "a" + " " * 300_000 + " b<|endoftext|>" + " \n" * 200_000 + "c"):
+        assert np.frombuffer(ByteTokens(default_path()).encode_batch([text])[0], np.uint16).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_tokens_of_a_vocabulary_in_another_order(tmp_path):
+    with open(default_path(), encoding="utf-8") as f:
+        model = json.load(f)
+    vocab = model["model"]["vocab"]
+    vocab["Ġthe"], vocab["Ġand"] = vocab["Ġand"], vocab["Ġthe"]
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(model), encoding="utf-8")
+    tokens, texts = ByteTokens(str(path)), ["the cat and the dog<|endoftext|> x", ""]
+    assert tokens.ranks is None
+    assert [np.frombuffer(g, np.uint16).tolist() for g in tokens.encode_batch(texts)] == [Tokenizer.from_file(str(path)).encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_packing_places_every_token_once(spark, table, monkeypatch):
     rows, df = table
     monkeypatch.setattr(packing, "RANGE_TOKENS", 150)
