@@ -59,8 +59,10 @@ def merged_json(spark, sf_dir):
     p, s = table(spark, sf_dir, "part"), k.cast("string")
     one = F.concat(F.lit('{"id":"k'), s, F.lit('"}'))
     body = F.when(k % 2 == 0, F.concat(F.lit("["), one, F.lit(', {"id":"k'), s, F.lit('b","n":[1,2]}]'))).otherwise(one)
-    first = p.where(k % 3 > 0).select(((k * 7919) % 100003).alias("ord"), F.concat(F.lit(" "), s).alias("key"))
-    keys = first.unionByName(first.select((F.col("ord") + 200000).alias("ord"), "key")).unionByName(p.select(k.alias("ord"), F.lit(" ").alias("key")))
+    place = lambda n: F.struct(n.alias("place"), k.alias("number")).alias("ord")  # noqa: E731  places come again from part 100003 on; parts at one place go by number
+    at, named = (k * 7919) % 100003, F.concat(F.lit(" "), s).alias("key")
+    asked = p.where(k % 3 > 0)
+    keys = asked.select(place(at), named).unionByName(asked.select(place(at + 200000), named)).unionByName(p.select(place(k), F.lit(" ").alias("key")))
     return assembly.merged(keys, p.select(s.alias("key"), body.alias("body")), "csljson").select("number", "text")
 
 

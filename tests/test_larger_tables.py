@@ -26,5 +26,9 @@ def parts(*keys):
     return [(k, f"name {k}", "brand", "type", k % 50) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
 
+def test_merged_json_of_parts_at_one_place(spark, tmp_path):
+    assert not differences(spark, tmp_path, "merged_json", part=parts(4, 100007, 200010, 5, 100009, 1, 2, 3))
+
+
 def test_created_items_beside_parts_with_their_numbers(spark, tmp_path):
     assert not differences(spark, tmp_path, "trash_and_deletion", part=parts(0, 1, 2, 5, 11, 1000005, 1000011, 1000013, 1999999, 2000005))
