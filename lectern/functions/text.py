@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -26,6 +27,24 @@ def fold(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(c, source, plain), "[\\u0300-\\u036f]", ""))
 
 
+@functools.cache
+def _unmarking() -> tuple[str, str]:
+    """(characters, plain characters): every character that is one other one in canonical decomposition without marks; then the marks, for which there is none."""
+    source, plain, marks = [], [], []
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.category(c).startswith("M"))
+        if not base:
+            marks.append(chr(code))
+        elif len(base) == 1 and base != chr(code):
+            source.append(chr(code)), plain.append(base)
+    return "".join(source + marks), "".join(plain)
+
+
+def unmarked(c: Column) -> Column:
+    """Lower case without the marks of any script: canonical decomposition alone, so that full-width and raised letters stay what they are."""
+    return F.lower(F.translate(c, *_unmarking()))
+
+
 def squeeze(c: Column) -> Column:
     """Trimmed, with each stretch of white space as one space; null counts as empty."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)^\\s+|\\s+$", ""), "(?U)\\s+", " ")

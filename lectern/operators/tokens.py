@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,12 @@ def basic_words(c: Column, ideographs_alone: bool = True) -> Column:
     return F.regexp_extract_all(tx.fold(c), F.lit(f"(?U)[{alone}]|[^\\s{alone}]+"), F.lit(0))
 
 
+def ascii_words(c: Column) -> Column:
+    """Words without the marks of any script; ASCII marks stand alone, and words end at ASCII white space only. Ideographs do not stand alone."""
+    alone = "!-/:-@\\[-`{-~"
+    return F.regexp_extract_all(tx.unmarked(c), F.lit(f"[{alone}]|[^\\t\\n\\f\\r {alone}]+"), F.lit(0))
+
+
 def word_pieces(word: str, vocabulary: Container[str], unknown: str = "[UNK]") -> list[str]:
     """Longest pieces from the left, inner ones marked ##; a word with a gap is unknown as a whole."""
     out, at = [], 0
@@ -69,10 +75,10 @@ def unigram_pieces(text: str, scores: dict[str, float], longest: int = 32) -> li
     return out[::-1]
 
 
-def encode_word_pieces(texts: DataFrame, vocabulary: list[str], limit: int = 510) -> DataFrame:
+def encode_word_pieces(texts: DataFrame, vocabulary: list[str], limit: int = 510, words_of: Callable[[Column], Column] = basic_words) -> DataFrame:
     """(key, ids, n_tokens, n_unknown) of (key, text): [CLS], at most ``limit`` pieces, [SEP]; n_tokens and n_unknown count all pieces.
 
-    Words are made by Spark; Python only looks each distinct word of a batch up once.
+    Words are made by Spark, as ``words_of`` says; Python only looks each distinct word of a batch up once.
     """
     ids = {t: k for k, t in enumerate(vocabulary)}
     if "[CLS]" not in ids or "[SEP]" not in ids or "[UNK]" not in ids:
@@ -87,7 +93,7 @@ def encode_word_pieces(texts: DataFrame, vocabulary: list[str], limit: int = 510
                 rows.append((key, [ids["[CLS]"], *pieces[:limit], ids["[SEP]"]], len(pieces), pieces.count(ids["[UNK]"])))
             yield pd.DataFrame(rows, columns=["key", "ids", "n_tokens", "n_unknown"])
 
-    words = texts.select(F.col("key").cast("string"), basic_words(F.coalesce("text", F.lit(""))).alias("words"))
+    words = texts.select(F.col("key").cast("string"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
     return words.mapInPandas(run, "key string, ids array<int>, n_tokens long, n_unknown long")
 
 

@@ -42,3 +42,10 @@ def test_character_embeddings_of_empty_texts_and_shared_ids(spark, tmp_path):
     assert not differences(spark, tmp_path / "one", "character_embeddings", documents=(one, DOCUMENT))
     shared = [*one, (1, "bb é"), (2, ""), (5, ""), (5, "𝒳y"), (None, "one"), (None, "two"), (3, None)]
     assert not differences(spark, tmp_path / "shared", "character_embeddings", documents=(shared, DOCUMENT))
+
+
+def test_word_piece_counts_of_other_scripts_spaces_and_shared_ids(spark, tmp_path):
+    odd = [0x0B, 0x1C, 0x85, 0xA0, 0xAA, 0xB2, 0x130, 0x300, 0x37E, 0x483, 0x5B0, 0x903, 0x1E9E, 0x1FEF, 0x2003, 0x2014, 0x20D0, 0x212A, 0x212B, 0x2260, 0x3000, 0x3002, 0x65E5, 0xAC00, 0xFB01, 0xFF21, 0x1D4B3, 0x1F600, 0xE0100]
+    rows = [(c, f"a{chr(c)}b {chr(c)} C{chr(c)}") for c in odd] + [(1, "日本語 テキスト, m² éa"), (2, ""), (3, None), (4, "x" * 5000)]
+    assert not differences(spark, tmp_path / "one", "word_piece_counts", documents=(rows, DOCUMENT))
+    assert not differences(spark, tmp_path / "shared", "word_piece_counts", documents=([*rows, (1, "a b"), (2, ""), (3, "x"), (None, "x y"), (None, "é"), (-7, "ß")], DOCUMENT))
