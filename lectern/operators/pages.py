@@ -70,6 +70,14 @@ def fingerprint(chunks: DataFrame) -> DataFrame:
 _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _ENDS = np.array([ord(c) for c in ".!?;\u3002\uff01\uff1f\uff1b"], np.uint32)
 
+
+def _table(points: np.ndarray) -> np.ndarray:
+    """Whether each code point up to the one behind the last of ``points`` is among them."""
+    return np.isin(np.arange(points.max() + 2), points)
+
+
+_IS_SPACE, _IS_END = _table(_SPACES), _table(_ENDS)
+
 Spans = tuple[np.ndarray, np.ndarray]
 #: Words whose pieces a task remembers.
 KNOWN_WORDS = 200_000
@@ -79,9 +87,13 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _among(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(points, len(table) - 1)]
+
+
 def whitespace_tokens(text: str) -> Spans:
     """(starts, ends) of white-space separated tokens, in code points."""
-    inside = np.concatenate(([False], ~np.isin(code_points(text), _SPACES), [False]))
+    inside = np.concatenate(([False], ~_among(code_points(text), _IS_SPACE), [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[::2], edge[1::2]
 
@@ -93,7 +105,7 @@ def boundary_ranks(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     rank = np.zeros(len(starts) + 1, np.int64)
     if len(starts):
         between = lines[starts[1:]] - lines[ends[:-1]]
-        rank[1:-1] = np.where(between > 1, 2, (between > 0) | np.isin(points[ends[:-1] - 1], _ENDS))
+        rank[1:-1] = np.where(between > 1, 2, (between > 0) | _among(points[ends[:-1] - 1], _IS_END))
         rank[-1] = 2
     return rank
 

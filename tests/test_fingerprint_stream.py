@@ -51,3 +51,24 @@ def test_what_is_gone_does_not_come_back_late(spark, tmp_path):
     deliver(spark, place, [("a", 4, "late"), ("b", 4, "late")])
     assert {r["key"] for r in fingerprints.fingerprints(spark, f"{place}/out").collect()} == {"b"}
     assert fingerprints.fingerprints(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_equal_versions_of_later_batches_change_nothing(spark, tmp_path):
+    place, keys = str(tmp_path), [f"k{i}" for i in range(8)]
+    deliver(spark, place, [(k, 5, f"first {k}") for k in keys])
+    deliver(spark, place, [(k, 6, f"first {k}") for k in keys])  # a newer version of the same text is not logged, but known
+    deliver(spark, place, [(k, 6, f"second {k}") for k in keys])
+    assert {r["version"] for r in spark.read.parquet(f"{place}/out").collect()} == {5}
+    deliver(spark, place, [(k, 7, None) for k in keys] + [(k, 7, f"second {k}") for k in keys])  # of one batch, what is gone comes first
+    assert fingerprints.fingerprints(spark, f"{place}/out").count() == 0
+
+
+def test_state_costs_little_a_key(spark, tmp_path):
+    place, n = str(tmp_path), 4000
+    for version in (1, 2):
+        spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit(version).cast("long").alias("version"), F.concat(F.lit(f"text {version} of "), "id").alias("text")).write.mode("append").parquet(f"{place}/in")
+        stream = fingerprints.maintain(spark, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
+        stream.awaitTermination()
+        assert sum(p["stateOperators"][0]["allUpdatesTimeMs"] for p in stream.recentProgress if p["numInputRows"]) < 1.5 * n  # task milliseconds
+    log = spark.read.parquet(f"{place}/out")
+    assert {(r["action"], r["count"]) for r in log.groupBy("action").count().collect()} == {("added", n), ("changed", n)}
